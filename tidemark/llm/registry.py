@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import pii, urls
+from tidemark.llm import bpe, pii, sharding, urls
 
 
 def queries() -> dict:
     return {
+        "op2_histogram_sort": sharding.op2_histogram_sort,
+        "op4_bpe": bpe.op4_bpe,
         "op8_pii": pii.op8_pii,
         "op9_url_filters": urls.op9_url_filters,
     }
