@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, pii, sharding, urls
+from tidemark.llm import bpe, packing, pii, sharding, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_histogram_sort": sharding.op2_histogram_sort,
         "op4_bpe": bpe.op4_bpe,
         "op8_pii": pii.op8_pii,
+        "op10_packing": packing.op10_packing,
         "op9_url_filters": urls.op9_url_filters,
     }
 
