@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, packing, pii, sharding, urls
+from tidemark.llm import bpe, minhash, packing, pii, sharding, urls
 
 
 def queries() -> dict:
     return {
         "op2_histogram_sort": sharding.op2_histogram_sort,
         "op4_bpe": bpe.op4_bpe,
+        "op5_minhash": minhash.op5_minhash,
         "op8_pii": pii.op8_pii,
         "op10_packing": packing.op10_packing,
         "op9_url_filters": urls.op9_url_filters,
