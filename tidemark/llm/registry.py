@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, minhash, packing, pii, sharding, urls
+from tidemark.llm import bpe, minhash, packing, pii, sharding, urls, vectors
 
 
 def queries() -> dict:
     return {
+        "op1_vector_dedup": vectors.op1_vector_dedup,
         "op2_histogram_sort": sharding.op2_histogram_sort,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
