@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, minhash, packing, pii, sharding, urls, vectors
+from tidemark.llm import bpe, minhash, packing, pii, quality, sharding, urls, vectors
 
 
 def queries() -> dict:
     return {
         "op1_vector_dedup": vectors.op1_vector_dedup,
         "op2_histogram_sort": sharding.op2_histogram_sort,
+        "op3_nbsvm": quality.op3_nbsvm,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
         "op8_pii": pii.op8_pii,
