@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, html, minhash, packing, pii, quality, sharding, urls, vectors
+from tidemark.llm import audio, bpe, html, minhash, packing, pii, quality, sharding, urls, vectors
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_nbsvm": quality.op3_nbsvm,
         "op4_bpe": bpe.op4_bpe,
         "op5_minhash": minhash.op5_minhash,
+        "op6_chroma_audio": audio.op6_chroma_audio,
         "op7_html_layout": html.op7_html_layout,
         "op8_pii": pii.op8_pii,
         "op10_packing": packing.op10_packing,
