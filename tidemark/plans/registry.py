@@ -5,15 +5,211 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.config import Settings
+from tidemark.operators import assemble as A
+from tidemark.operators import explore as E
+from tidemark.operators import features as X
+from tidemark.operators import labels as L
+from tidemark.operators import metrics as M
+from tidemark.operators import split as P
+from tidemark.operators import validate as V
+from tidemark.plans.oracle import oracle
+from tidemark.sources import behavior as B
+
+Query = Callable[[SparkSession, str], DataFrame]
+SETTINGS = Settings()
+TABLES = ("feat_user", "feat_item", "feat_category", "feat_user_item", "feat_user_category")
+BUILDERS = {"feat_user": X.user_features, "feat_item": X.item_features, "feat_category": X.category_features, "feat_user_item": X.user_item_features, "feat_user_category": X.user_category_features}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return L.sample_labels(_history(spark, sf_dir, keep_day=True), SETTINGS)
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles to so many digits, so that two engines' last bits don't matter."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _history(spark: SparkSession, sf_dir: str, keep_day: bool = False) -> DataFrame:
+    """The log as far as the last prediction day needs it: labels read that day too."""
+    last = max(SETTINGS.prediction_days)
+    if keep_day:
+        return B.events_log(spark, sf_dir)
+    return B.events_log(spark, sf_dir, before=last)
+
+
+def _explore(f) -> Query:
+    return lambda spark, sf: rounded(f(B.events_log(spark, sf)))
+
+
+def _orders(f) -> Query:
+    return lambda spark, sf: rounded(f(B.orders_log(spark, sf)))
+
+
+def _labels(f) -> Query:
+    return lambda spark, sf: rounded(f(B.events_log(spark, sf), SETTINGS))
+
+
+def _features(f, *columns: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = f(_history(spark, sf), SETTINGS)
+        return rounded(df.select(*columns) if columns else df)
+
+    return run
+
+
+def _sample_query(f) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        log = B.events_log(spark, sf)
+        return rounded(f(log, L.sample_labels(log, SETTINGS)))
+
+    return run
+
+
+def matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Features read only what lies before the last day; the labels' day is read once more for the sample."""
+    return A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(B.events_log(spark, sf), SETTINGS))
+
+
+def _null_report(spark: SparkSession, sf: str) -> DataFrame:
+    frame = A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(B.events_log(spark, sf), SETTINGS), fill=False)
+    nulls = A.null_report(frame)
+    return frame.agg(F.count("*").alias("n_rows"), sum((F.count_if(F.col(c).isNull()) for c in nulls.columns), F.lit(0).cast("bigint")).alias("n_nulls"))
+
+
+def _days(columns) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        days = spark.createDataFrame([(d,) for d in SETTINGS.prediction_days], "cutoff_date string")
+        return days.withColumns(columns())
+
+    return run
+
 
+def _split_counts(log: DataFrame, sample: DataFrame) -> DataFrame:
+    part = F.when(F.col("cutoff_date").isin(*SETTINGS.test_days), "test").otherwise("trainval")
+    return sample.groupBy(part.alias("part")).agg(F.count("*").alias("n_rows"), F.sum("label").alias("n_positives"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
 
+def _trainval(f) -> Query:
+    return _sample_query(lambda log, sample: f(P.split(sample, SETTINGS)[1], P.build_folds(SETTINGS)))
 
+
+def scored_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule scores of every validation row; the rules' columns come from the pair table alone."""
+    _, trainval = P.split(L.sample_labels(B.events_log(spark, sf), SETTINGS), SETTINGS)
+    val = P.in_folds(trainval, P.build_folds(SETTINGS)).where("role = 'val'")
+    return M.rule_scores(val.join(X.user_item_features(_history(spark, sf), SETTINGS), [*L.PAIR, "cutoff_date"], "left"), "fold", "day_type", "cutoff_date")
+
+
+def _rules(f) -> Query:
+    return lambda spark, sf: rounded(f(scored_rules(spark, sf)))
+
+
+def _by_day_type(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.by_day_type(M.curve_areas(scored_rules(spark, sf), ["fold", "model", "day_type"])), 6)
+
+
+def _structural(table: str) -> Query:
+    return lambda spark, sf: V.structural_checks(BUILDERS[table](_history(spark, sf), SETTINGS), V.specs()[table], len(SETTINGS.prediction_days))
+
+
+def _reconcile(table: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        log = _history(spark, sf)
+        return V.reconcile(BUILDERS[table](log, SETTINGS), log, V.specs()[table], SETTINGS)
+
+    return run
+
+
+def _key_sample(table: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        keys = list(V.specs()[table].keys)
+        return V.key_sample(BUILDERS[table](_history(spark, sf), SETTINGS), keys, 16, SETTINGS.seed)
+
+    return run
+
+
+def _peak_recipe(log: DataFrame, settings: Settings) -> DataFrame:
+    """Peak hours from ranked histograms, the second definition of ``user_peak_hours``."""
+    hist = X.user_hours(log, settings)
+    out = None
+    for name, n in (("user_peak_hour", "total_cnt"), ("user_browse_peak_hour", "browse_cnt"), ("user_buy_peak_hour", "buy_cnt")):
+        rank = F.row_number().over(V.W.partitionBy("user_id", "cutoff_date").orderBy(F.desc(n), "hod"))
+        top = hist.withColumn("_r", rank).where("_r = 1").select("user_id", "cutoff_date", F.when(F.col(n) > 0, F.col("hod")).otherwise(-1).cast("bigint").alias(name))
+        out = top if out is None else out.join(top, ["user_id", "cutoff_date"])
+    return out
+
+
+def _semi(log: DataFrame, settings: Settings) -> DataFrame:
+    rows = L.by_day(X.daily(log, "item_id"), settings.prediction_days, X.earlier)
+    kept = rows.join(L.candidates(log, settings, ["item_id"]), ["item_id", "cutoff_date"], "left_semi")
+    return kept.groupBy("item_id", "cutoff_date").agg(F.sum("n").alias("n_rows"))
+
+
+USER, ITEM, PAIRS = ("user_id", "cutoff_date"), ("item_id", "cutoff_date"), ("user_id", "item_id", "cutoff_date")
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {
+        "row_count": _explore(E.row_count), "missing_values": _explore(E.missing_values), "behavior_domain": _explore(E.behavior_domain), "time_range": _explore(E.time_range),
+        "duplicate_rows": _explore(E.duplicate_rows), "item_category_consistency": _explore(E.item_category_consistency), "scale": _explore(E.scale),
+        "daily_breakdown": _explore(E.daily_breakdown), "peak_day": _explore(E.peak_day), "target_prevalence": _explore(E.target_prevalence), "user_activity": _explore(E.user_activity),
+        "activity_percentiles": _explore(E.activity_percentiles), "user_activity_histogram": _explore(E.activity_histogram), "buyers_and_cold_items": _explore(E.buyers_and_cold_items),
+        "sparsity": _explore(E.sparsity), "behavior_share": _explore(E.behavior_share), "positive_rate": _explore(E.positive_rate),
+        "orders_daily": _orders(E.daily_breakdown), "orders_scale": _orders(E.scale),
+        "sample_labels": _labels(L.sample_labels), "candidate_recall": _labels(L.candidate_recall), "positive_recount": _labels(L.positive_recount),
+        "sample_summary": _sample_query(lambda log, s: L.sample_summary(s)), "sample_checks": _sample_query(lambda log, s: L.sample_checks(log, s, SETTINGS)),
+        "spot_check_history": _sample_query(lambda log, s: L.spot_check_history(log, s, SETTINGS)), "candidate_item_semi_join": _features(_semi),
+        "user_hour_histogram": _features(X.user_hours), "item_hour_histogram": _features(X.item_hours), "pair_hour_presence": _features(X.pair_hours), "peak_hour_recipe": _features(_peak_recipe),
+        "user_counts": _features(X.user_features, *USER, "user_browse_1d", "user_browse_7d", "user_browse_all", "user_favorite_all", "user_cart_all", "user_buy_all"),
+        "user_hour_pivot": _features(X.user_features, *USER, *[f"user_action_{h}" for h in range(24)]),
+        "user_peak_hours": _features(X.user_features, *USER, "user_peak_hour", "user_browse_peak_hour", "user_buy_peak_hour"),
+        "user_daypart_fractions": _features(X.user_features, *USER, "user_morning_fraction", "user_afternoon_fraction", "user_night_fraction"),
+        "user_hour_entropy": _features(X.user_features, *USER, "user_hour_entropy"), "user_recency": _features(X.user_features, *USER, "user_since_last_hour"),
+        "conversion_ratios": _features(X.user_features, *USER, "user_conversion_browse_buy", "user_conversion_cart_buy"),
+        "item_counts": _features(X.item_features, *ITEM, "item_category", "item_browse_all", "item_favorite_all", "item_cart_all", "item_buy_all", "item_distinct_user"),
+        "item_peak_hours": _features(X.item_features, *ITEM, "item_peak_hour", "item_browse_peak_hour", "item_buy_peak_hour"),
+        "category_counts": _features(X.category_features, "item_category", "cutoff_date", "category_browse_all", "category_buy_all", "category_distinct_item"),
+        "user_category_counts": _features(X.user_category_features),
+        "user_item_counts": _features(X.user_item_features, *PAIRS, "user_item_browse_1d", "user_item_browse_7d", "user_item_browse_all", "user_item_browse_distinct_hour", "user_item_cart_all", "user_item_buy_all"),
+        "user_item_last_behavior": _features(X.user_item_features, *PAIRS, "user_item_last_behavior"), "user_item_recency": _features(X.user_item_features, *PAIRS, "user_item_since_last_hour"),
+        "user_item_peak_flags": _features(X.user_item_features, *PAIRS, "user_item_is_user_peak_hour", "user_item_is_item_peak_hour"),
+        "combined_feat_category": _features(X.category_features),
+        "context_features": _days(lambda: A.context_columns(SETTINGS)), "day_type": _days(lambda: {"day_type": A.day_type(SETTINGS, F.col("cutoff_date"))}),
+        "assemble": lambda spark, sf: rounded(matrix(spark, sf)), "assembled_null_report": _null_report,
+        "split_counts": _sample_query(_split_counts), "build_folds": lambda spark, sf: P.folds_frame(spark, P.build_folds(SETTINGS)),
+        "fold_spec": _trainval(lambda t, f: P.fold_spec(t, f, SETTINGS.negative_ratio)),
+        "downsampled_train": _trainval(lambda t, f: P.downsampled_train(t, f, SETTINGS.negative_ratio, SETTINGS.seed).select("fold", *PAIRS, "label")),
+        "rule_pr_auc": _rules(lambda s: M.curve_areas(s, ["fold", "model"]).select("fold", "model", "pr_auc")),
+        "rule_roc_auc": _rules(lambda s: M.curve_areas(s, ["fold", "model"]).select("fold", "model", "roc_auc")),
+        "rule_precision_at_k": _rules(lambda s: M.precision_at_k(s, ["fold", "model"])), "metrics_by_day_type": _by_day_type,
+    }
+    found |= {t: _features(b) for t, b in BUILDERS.items()}
+    for t in TABLES:
+        found |= {f"structural_checks_{t}": _structural(t), f"reconcile_{t}": _reconcile(t), f"key_sample_{t}": _key_sample(t)}
+    return found
+
+
+#: Column names and invariants that the SQL twins of the checks need; spelled here because specs need a session.
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle(INVARIANTS, RECIPES, KEYS)
+
+
+INVARIANTS = {
+    "feat_user": [("browse_nested", "user_browse_1d <= user_browse_7d AND user_browse_7d <= user_browse_all"), ("fractions_sum_to_1", "abs(user_morning_fraction + user_afternoon_fraction + user_night_fraction - 1) <= 1e-8"), ("no_buy_no_peak", "(user_buy_all = 0) = (user_buy_peak_hour = -1)")],
+    "feat_item": [("cold_without_buys", "(item_buy_all = 0) = (item_is_cold = 1)"), ("cold_without_peak", "(item_is_cold = 1) = (item_buy_peak_hour = -1)")],
+    "feat_category": [("conversion_not_negative", "category_conversion_browse_buy >= 0")],
+    "feat_user_item": [("browse_nested", "user_item_browse_1d <= user_item_browse_7d AND user_item_browse_7d <= user_item_browse_all"), ("cart_not_buy", "(user_item_cart_not_buy = 1) = (user_item_cart_all > 0 AND user_item_buy_all = 0)"), ("hours_within_browse", "user_item_browse_distinct_hour <= user_item_browse_all")],
+    "feat_user_category": [],
+}
+KEYS = {"feat_user": ["user_id", "cutoff_date"], "feat_item": ["item_id", "cutoff_date"], "feat_category": ["item_category", "cutoff_date"], "feat_user_item": ["user_id", "item_id", "cutoff_date"], "feat_user_category": ["user_id", "item_category", "cutoff_date"]}
+RECIPES = {
+    "feat_user": ["user_browse_1d", "user_browse_7d", "user_browse_all", "user_favorite_all", "user_cart_all", "user_buy_all", "user_conversion_browse_buy", "user_conversion_cart_buy", "user_since_last_hour", "user_peak_hour", "user_browse_peak_hour", "user_buy_peak_hour", "user_morning_fraction", "user_afternoon_fraction", "user_night_fraction", "user_hour_entropy", *[f"user_action_{h}" for h in range(24)]],
+    "feat_item": ["item_category", "item_browse_all", "item_favorite_all", "item_cart_all", "item_buy_all", "item_distinct_user", "item_conversion_browse_buy", "item_is_cold", "item_peak_hour", "item_browse_peak_hour", "item_buy_peak_hour"],
+    "feat_category": ["category_browse_all", "category_buy_all", "category_distinct_item", "category_conversion_browse_buy"],
+    "feat_user_item": ["user_item_browse_1d", "user_item_browse_7d", "user_item_browse_all", "user_item_browse_distinct_hour", "user_item_cart_all", "user_item_cart_not_buy", "user_item_buy_all", "user_item_is_favorited", "user_item_last_behavior", "user_item_since_last_hour", "user_item_is_user_peak_hour", "user_item_is_item_peak_hour"],
+    "feat_user_category": ["user_category_browse_all", "user_category_buy_all"],
+}
