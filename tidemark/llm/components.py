@@ -14,10 +14,9 @@ from tidemark.llm.storage import forget, keep
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``(node, component)`` for every node of an edge; the component is its smallest node.
+    """``(node, component)`` for every node that isn't its component's smallest, which names it.
 
-    Null ends and loops are ignored; an empty edge table gives an empty result. Nodes without edges
-    don't appear.
+    Null ends and loops are ignored; an empty edge table gives an empty result.
     """
     e = keep(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct())
     seen = _state(e)

@@ -172,7 +172,7 @@ def build(page: str) -> Node:
             if value in ("html", "body"):
                 continue
             shelter = {"table"} if value in CELL_TAGS and value != "table" else SHELTER if value not in CELL_TAGS else ()
-            if (i := last({value})) > last(shelter) or i and value == "table":
+            if (i := last({value})) > last(t for t in shelter if t != value) or i and value == "table":
                 cut(i)
     return root
 
