@@ -19,18 +19,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.idfilter import mark_possible
 from tidemark.llm.storage import forget, keep, without
 
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 5e-4
+MOST_BANDS = 20
 #: Documents of a block; a cell has two blocks at most.
 BLOCK = 512
 #: Shingles that are ranked together.
@@ -48,10 +52,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def band_shape(threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """Bands and rows: as many rows as leave at most 255 registers at that miss probability."""
+    """Bands and rows: as many rows as at most ``MOST_BANDS`` bands leave at that miss probability."""
     for rows in range(16, 0, -1):
         bands = math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
-        if bands * rows <= 255:
+        if bands <= MOST_BANDS and bands * rows <= 255:
             return bands, rows
     raise ValueError(f"no banding for a threshold of {threshold}")
 
@@ -75,6 +79,12 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(acc)
 
 
+@lru_cache(maxsize=64)
+def _recent(text: str, words: int) -> np.ndarray:
+    """Of the centers that many pairs in a row share."""
+    return shingle_set(text, words)
+
+
 def superminhash(sets: list[np.ndarray], registers: int) -> np.ndarray:
     """One row of registers per set: draw number above, 32 random bits below. None of the sets is empty."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -148,24 +158,11 @@ def _mark(words: int, bands: int, rows: int):
     return run
 
 
-def _sets(words: int):
-    def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for x in texts:
-            s = shingle_set(x.as_py(), words)
-            d = xxhash.xxh3_128_digest(s.tobytes())
-            rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), s.tobytes()))
-        hi, lo, raw = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(raw, pa.binary())], names=["hi", "lo", "raw"])
-
-    return run
-
-
-def _similar(num: int, den: int):
+def _similar(words: int, num: int, den: int):
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a, b, strict=True):
-            s, t = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
+            s, t = shingle_set(x.as_py(), words), _recent(y.as_py(), words)
             if len(s) > len(t):
                 s, t = t, s
             if len(s) * den < num * len(t):
@@ -206,7 +203,7 @@ def _links_in_cell(ids: list[int], comps: list[int], sets: list[np.ndarray], num
     return links
 
 
-def _cells(num: int, den: int):
+def _cells(words: int, num: int, den: int):
     """Rows come sorted by cell; a cell may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +222,7 @@ def _cells(num: int, den: int):
                     now = c
                 ids.append(rep[i])
                 comps.append(comp[i])
-                sets.append(np.frombuffer(b.column(3)[i].as_py(), U))
+                sets.append(shingle_set(b.column(3)[i].as_py(), words))
         close()
         a, z = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["src", "dst"])
@@ -239,8 +236,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     Two documents are linked if ``den`` times their sets' intersection is at least ``num`` times the
     union (default 0.8 of five-word shingles). ``component_id`` is the smallest id reachable by links,
     ``kept`` whether it is the row's own. A null, empty or blank text has no shingles and links with
-    nothing. Rows that share an id count as one document; a row with a null id links with nothing, has
-    a null component and is kept. Input columns with the three names are replaced.
+    nothing. Rows that share an id count as one document: copies of any of them are linked, near-copies
+    of the one whose text sorts last. A row with a null id links with nothing but the copies of its
+    text: their component, or null, is its own, and it is kept. Input columns with the three names are replaced.
     """
     bands, rows = band_shape(num / den)
     base = without(df, "n_shingles", "component_id", "kept")
@@ -252,65 +250,70 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         .groupBy(F.col("_m.hi").alias("hi"), F.col("_m.lo").alias("lo"))
         .agg(F.min(doc_id).cast("bigint").alias("rep"), F.first("_m.bands").alias("bands"))
     )
-    spread = classes.select("rep", "hi", "lo", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min(F.struct("rep", "hi", "lo")).alias("center"),
-        F.bit_xor(F.xxhash64("rep", "hi")).alias("f1"), F.bit_xor(F.xxhash64("lo", "rep")).alias("f2"),
-    ).where("n > 1")
+    spread = classes.select("rep", F.explode("bands").alias("key"))  # a key holds its band
+    buckets = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("center"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
     # Many bands bring the same documents together: one of them is enough.
-    buckets = buckets.groupBy("n", "f1", "f2").agg(F.min(F.struct("band", "key", "center")).alias("b")).select("b.band", "b.key", "b.center")
-    members = keep(spread.join(buckets, ["band", "key"]).select("band", "key", "rep", "hi", "lo", "center"))
-
-    wanted = members.select(F.col("rep").alias("_rep")).distinct()
-    of = F.arrow_udf(_sets(words), "struct<hi bigint, lo bigint, raw binary>")
-    sets = base.select(F.col(doc_id).cast("bigint").alias("rep"), text).join(wanted, F.col("rep") == F.col("_rep"), "left_semi")
-    sets = keep(sets.select("rep", of(text).alias("_s")).select("rep", "_s.hi", "_s.lo", "_s.raw"))
-
-    def named(side: str) -> DataFrame:
-        return sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns])
-
-    pairs = members.where("rep <> center.rep").selectExpr("rep AS a_rep", "hi AS a_hi", "lo AS a_lo", "center.rep AS b_rep", "center.hi AS b_hi", "center.lo AS b_lo").distinct()
-    checked = pairs.join(named("a"), ["a_rep", "a_hi", "a_lo"]).join(named("b"), ["b_rep", "b_hi", "b_lo"])
-    similar = F.arrow_udf(_similar(num, den), "boolean")
-    stars = connected_components(checked.where(similar("a_raw", "b_raw")).select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")))
-
-    held = members.join(stars, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", "hi", "lo", F.coalesce("component", "rep").alias("comp"))
-    sizes = held.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
+    buckets = buckets.groupBy("n", "center", "mark").agg(F.min("key").alias("key"))
+    members = keep(spread.join(buckets, "key").select("key", "rep", "center", "n"))
+
+    wanted = members.select("rep").distinct()
+    texts = mark_possible(base.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text")), "rep", wanted)
+    texts = texts.where("_possible").select("rep", "text").join(wanted, "rep", "left_semi")
+    texts = keep(texts.groupBy("rep").agg(F.max("text").alias("text")))
+
+    pairs = members.where("rep <> center").select(F.col("rep").alias("src"), F.col("center").alias("dst")).distinct()
+    checked = pairs.join(texts.select(F.col("rep").alias("src"), F.col("text").alias("_a")), "src").join(texts.select(F.col("rep").alias("dst"), F.col("text").alias("_b")), "dst")
+    similar = F.arrow_udf(_similar(words, num, den), "boolean")
+    stars = connected_components(checked.where(similar("_a", "_b")).select("src", "dst"))
+
+    # A bucket of two has been checked whole.
+    held = members.where("n > 2").join(stars, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
     mixed = mixed.selectExpr(
-        "band", "key", f"IF(n > {BLOCK}, top.comp, NULL) AS major",
+        "key", f"IF(n > {BLOCK}, top.comp, NULL) AS major",
         f"ceil(IF(n > {BLOCK}, n - top.c, n) / {BLOCK}) AS minors", f"IF(n > {BLOCK}, ceil(top.c / {BLOCK}), 0) AS majors",
     )
-    dealt = held.join(mixed, ["band", "key"]).selectExpr(
-        "band", "key", "rep", "hi", "lo", "comp", "minors", "majors", "comp <=> major AS big",
-        "pmod(xxhash64(rep), IF(comp <=> major, majors, minors)) AS block",
-    )
+    dealt = held.join(mixed, "key").selectExpr("key", "rep", "comp", "minors", "majors", "comp <=> major AS big", "pmod(xxhash64(rep), IF(comp <=> major, majors, minors)) AS block")
     cells = dealt.selectExpr(
-        "rep AS a_rep", "hi AS a_hi", "lo AS a_lo", "comp", "band", "key",
+        "rep", "comp", "key",
         """explode(IF(big,
              transform(sequence(0, minors - 1), x -> struct(1 AS kind, x AS one, block AS two)),
              concat(IF(majors = 0 OR minors > 1, transform(sequence(0, minors - 1), x -> struct(0 AS kind, least(x, block) AS one, greatest(x, block) AS two)), array()),
                     IF(majors = 0, array(), transform(sequence(0, greatest(majors - 1, 0)), x -> struct(1 AS kind, block AS one, x AS two)))))) AS at""",
     )
-    cells = cells.join(named("a"), ["a_rep", "a_hi", "a_lo"]).selectExpr("xxhash64(band, key, at.kind, at.one, at.two) AS cell", "a_rep AS rep", "comp", "a_raw AS raw")
-    crossed = cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_cells(num, den), "src bigint, dst bigint")
+    cells = cells.selectExpr("rep", "comp", "xxhash64(key, at.kind, at.one, at.two) AS cell").join(texts, "rep").select("cell", "rep", "comp", "text")
+    crossed = cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_cells(words, num, den), "src bigint, dst bigint")
     found = connected_components(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(crossed))
 
     label = classes.select("hi", "lo", "rep").join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("_c"))
     out = marked.join(label, (F.col("_m.hi") == label["hi"]) & (F.col("_m.lo") == label["lo"]) & (F.col("_m.n") > 0), "left")
     own = F.col(doc_id).cast("bigint")
-    component = F.when(own.isNotNull(), F.coalesce("_c", own))
+    component = F.coalesce("_c", own)
     out = out.withColumn("component_id", component).withColumn("kept", F.coalesce(component == own, F.lit(True)))
-    forget(sets)
+    forget(texts)
     forget(members)
     return out.select(*other, F.col("_m.n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``df`` with one document of each group left: the one with the smallest id."""
+    """``df`` with one document of each group left: the one with the smallest id.
+
+    Of rows that share that id, the one whose text sorts last stays. Rows with a null id all stay. Only
+    rows that may have an id to act on are shuffled.
+    """
     flags = near_duplicates(df.select(doc_id, text), doc_id, text, words, num, den)
-    gone = flags.where(~F.col("kept")).select(F.col(doc_id).alias("_gone")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    acts = flags.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.bool_or(~F.col("kept")).alias("_gone"), F.count("*").alias("_n"))
+    acts = keep(acts.where("_gone OR _n > 1"))
+    marked = mark_possible(df, doc_id, acts)
+    maybe = marked.where("_possible").join(acts, F.col(doc_id) == F.col("_id"), "left").where("_gone IS NOT TRUE")
+    first = F.row_number().over(W.partitionBy("_id").orderBy(F.desc_nulls_last(text)))
+    again = maybe.where("_id IS NOT NULL").withColumn("_r", first).where("_r = 1")
+    parts = [marked.where("NOT _possible"), maybe.where("_id IS NULL"), again]
+    out = parts[0].select(*df.columns)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*df.columns))
+    return out
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
