@@ -149,6 +149,34 @@ def _semi(log: DataFrame, settings: Settings) -> DataFrame:
     return kept.groupBy("item_id", "cutoff_date").agg(F.sum("n").alias("n_rows"))
 
 
+#: The models' queries take few shallow trees: what they show is the whole procedure, at a bounded cost.
+PARAMS = {"depth": 3, "rate": 0.1, "trees": 3, "rows": 0.8, "columns": 0.8, "min_rows": 1}
+
+
+def _model(f) -> Query:
+    """On the matrix of all days, kept in memory and on disk while the folds read it again and again."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        from tidemark.operators import models
+
+        whole = matrix(spark, sf).persist()
+        test, trainval = P.split(whole, SETTINGS)
+        return rounded(f(models, test, trainval, P.build_folds(SETTINGS)))
+
+    return run
+
+
+def _final(part: int) -> Query:
+    return _model(lambda m, test, tv, folds: m.train_final(tv, test, m.Candidate("downsample_20", 20), PARAMS["trees"], PARAMS, 42)[part])
+
+
+MODELS = {
+    "model_baselines": _model(lambda m, test, tv, folds: m.run_baselines(tv, folds, SETTINGS)),
+    "model_sweep": _model(lambda m, test, tv, folds: m.run_sweep(tv, folds, [m.Candidate("downsample_20", 20)], SETTINGS, PARAMS, (42,))),
+    "model_final_test": _final(1), "model_importances": _final(2),
+    "model_permutation": _model(lambda m, test, tv, folds: m.permutation_importance(tv, m.normal_folds(SETTINGS)[-1:], m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
+    "model_ablation": _model(lambda m, test, tv, folds: m.run_ablation(tv, m.normal_folds(SETTINGS)[-2:], m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
+}
 USER, ITEM, PAIRS = ("user_id", "cutoff_date"), ("item_id", "cutoff_date"), ("user_id", "item_id", "cutoff_date")
 
 
@@ -190,7 +218,7 @@ def queries() -> dict[str, Query]:
     found |= {t: _features(b) for t, b in BUILDERS.items()}
     for t in TABLES:
         found |= {f"structural_checks_{t}": _structural(t), f"reconcile_{t}": _reconcile(t), f"key_sample_{t}": _key_sample(t)}
-    return found
+    return found | MODELS
 
 
 #: Column names and invariants that the SQL twins of the checks need; spelled here because specs need a session.
