@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_KEPT: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -16,8 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", made) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.sparkContext.setCheckpointDir(made)
     return made
 
@@ -29,16 +35,27 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._tidemark_path = path
+    _KEPT.append(path)
     return kept
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``keep`` wrote for ``df``; only for tables that nothing reads any more."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+        _KEPT.remove(path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete all that ``keep`` wrote in this process; results that read it must have been written before."""
+    while _KEPT:
+        _delete(spark, _KEPT.pop())
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
