@@ -47,7 +47,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def forget(df: DataFrame) -> None:
     """Delete what ``keep`` wrote for ``df``; only for tables that nothing reads any more."""
     path = getattr(df, "_tidemark_path", None)
-    if path:
+    if path in _KEPT:
         _delete(df.sparkSession, path)
         _KEPT.remove(path)
 
