@@ -86,7 +86,7 @@ def run_baselines(trainval: DataFrame, folds: list[Fold], settings: Settings) ->
         logistic = logistic_scores(train, val).withColumn("model", F.lit("logistic"))
         scored = rules.unionByName(logistic).withColumns({"fold": F.lit(f.index), "day_type": F.lit(f.val_day_type)})
         out = scored if out is None else out.unionByName(scored)
-    return M.evaluate(out, ["fold", "day_type", "model"])
+    return M.evaluate(out.persist(), ["fold", "day_type", "model"])  # scored once, read by each metric
 
 
 def boosted(train: DataFrame, names: list[str], params: dict, weight: float, seed: int) -> GBTClassificationModel:
@@ -138,7 +138,7 @@ def run_sweep(trainval: DataFrame, folds: list[Fold], candidates: list[Candidate
                 out = scored if out is None else out.unionByName(scored)
     by = ["config", "seed", "fold"]
     trees = spark.createDataFrame(kept, "config string, seed int, fold int, best_trees int")
-    return M.evaluate(out, [*by, "day_type"]).join(trees, by)
+    return M.evaluate(out.persist(), [*by, "day_type"]).join(trees, by)
 
 
 def best_config(sweep: DataFrame) -> tuple[str, int]:
