@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.storage import keep, without
 
@@ -28,8 +30,10 @@ WINDOW = 4096
 END_ID = 2
 #: Ranks within a length are counted in so many parts.
 PARTS = 64
-#: Words up to so many characters are remembered, so many of them in a worker.
-KEPT_CHARS, KEPT = 64, 500_000
+#: Words and their pieces up to so many characters are remembered, so many of each in a worker.
+KEPT_CHARS, KEPT = 64, 200_000
+#: Bytes of ids that a batch of pieces holds, but for one longer document.
+BATCH_BYTES = 1 << 22
 
 
 #: Words of these characters are cut here by the tokenizer's own pattern, which spares the library's
@@ -99,19 +103,35 @@ def _words(path: str) -> _Words:
 
 
 def _cut(path: str, window: int, with_ids: bool):
-    """Per text: its pieces (start, length, crc, ids or null) and its number of ids, the end's included."""
-    piece = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """Texts (the last column) to their pieces, in batches of bounded size."""
     end = np.array([END_ID], dtype="<u4").tobytes()
+    step = 4 * window
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _words(path)
-        rows, n = [], []
-        for x in texts:
-            raw = own.encode(x.as_py() or "") + end
-            step = 4 * window
-            rows.append([{"start": i // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part), "ids": np.frombuffer(part, dtype="<i4") if with_ids else None} for i in range(0, len(raw), step) if (part := raw[i : i + step])])
-            n.append(len(raw) // 4)
-        return pa.StructArray.from_arrays([pa.array(rows, pa.list_(piece)), pa.array(n, pa.int64())], names=["pieces", "n"])
+        for b in batches:
+            texts, held, size = b.column(b.num_columns - 1), [], 0
+            for i in range(b.num_rows):
+                raw = own.encode(texts[i].as_py() or "") + end
+                held.append((i, raw))
+                size += len(raw)
+                if size >= BATCH_BYTES:
+                    yield pieces(b, held)
+                    held, size = [], 0
+            if held:
+                yield pieces(b, held)
+
+    def pieces(b: pa.RecordBatch, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        parts = [(i, at // 4, len(raw) // 4, raw[at : at + step]) for i, raw in held for at in range(0, len(raw), step)]
+        row, start, total, raw = zip(*parts, strict=True)
+        length = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+        columns = [c.take(pa.array(row)) for c in b.columns[:-1]]
+        columns += [pa.array(total, pa.int64()), pa.array(start, pa.int64()), pa.array(length), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+        names = [*b.schema.names[:-1], "doc_tokens", "start", "length", "ids_crc32"]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -227,11 +247,11 @@ def pack_documents(df: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """
     new = ["start", "length", "ids_crc32", "ids", "doc_tokens", "sequence_id", "offset"]
     base = without(df, *new)
-    cut = F.arrow_udf(_cut(path, window, with_ids), "struct<pieces array<struct<start bigint, length bigint, ids_crc32 bigint, ids array<int>>>, n bigint>")
-    rest = [F.col(c) for c in base.columns if c != text]
-    pieces = base.select(*rest, cut(text).alias("_c")).select(*rest, F.col("_c.n").alias("doc_tokens"), F.explode("_c.pieces").alias("_p"))
-    ids = ["ids"] if with_ids else []
-    pieces = keep(pieces.select(*rest, "doc_tokens", *[F.col(f"_p.{c}").alias(c) for c in ("start", "length", "ids_crc32", *ids)]))
+    rest = [c for c in base.columns if c != text]
+    made = [T.StructField(c, T.LongType()) for c in ("doc_tokens", "start", "length", "ids_crc32")]
+    made += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
+    schema = T.StructType([*base.select(*rest).schema.fields, *made])
+    pieces = keep(base.select(*rest, text).mapInArrow(_cut(path, window, with_ids), schema))
     return pack_pieces(pieces, window, (doc_id, "start"), ("ids_crc32", "doc_tokens"))
 
 
