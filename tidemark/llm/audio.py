@@ -179,7 +179,11 @@ def align_recordings(df: DataFrame, doc_id: str = "doc_id", media: str | Column
     match = links.groupBy("rep").agg(F.min(F.struct("other", "frame_offset", "overlap", "bit_error")).alias("l"))
     comps = connected_components(links.select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     facts = classes.select("prints_sha256", "rep").join(match, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("prints_sha256", "rep", "l", F.coalesce("component", "rep").alias("_c"))
-    out = marked.select("doc_id", "n_frames", "prints_sha256").join(facts, "prints_sha256", "left")
+    # Written first, so that the join may split a class of very many copies; recordings without integers
+    # are dealt out by their ids.
+    facts = keep(facts.withColumnRenamed("prints_sha256", "_class"))
+    own_class = F.when(F.col("n_frames") > 0, F.col("prints_sha256")).otherwise(F.concat(F.lit("none "), F.col("doc_id").cast("string")))
+    out = marked.select("doc_id", "n_frames", "prints_sha256", own_class.alias("_key")).join(facts, F.col("_key") == F.col("_class"), "left")
     linked = F.col("rep") < F.col("doc_id")
     same = F.struct(F.col("rep").alias("other"), F.lit(0).cast("bigint").alias("frame_offset"), F.col("n_frames").alias("overlap"), F.lit(0.0).alias("bit_error"))
     out = out.withColumn("l", F.when(linked & (F.col("l").isNull() | (F.col("rep") < F.col("l.other"))), same).otherwise(F.col("l")))
