@@ -284,6 +284,32 @@ def test_audio_links_by_brute_force(spark):
     assert {r.doc_id: (r.match_id, r.frame_offset, r.overlap) for r in out if r.match_id is not None} == want and len(want) > 7
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_audio_components_are_those_of_all_pairs(spark, monkeypatch, block):
+    """10 and 11 differ only around the joint; all their shared keys are first held by 1 and 2."""
+    monkeypatch.setattr(audio, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(6)
+    one, two = (tone(i, 32000) * 0.7 + rng.normal(size=32000) * 0.05 for i in (21, 22))  # noise: no filter's value is at a step
+    parts = {1: [one, tone(23, 32000)], 2: [tone(24, 32000), two], 10: [one, two], 11: [one, two]}
+    parts |= {20 + i: [one, tone(30 + i % 4, 32000)] for i in range(5)}
+    media = {i: np.concatenate(x) for i, x in parts.items()}
+    media[11][30500:33500] = rng.normal(size=3000)
+    media = {i: raw(x) for i, x in media.items()}
+    prints = {i: audio.fingerprint(m) for i, m in media.items()}
+    keys = {i: dict(zip(*map(list, audio.keys_of(p)), strict=True)) for i, p in prints.items()}
+    links = set()
+    for i in prints:
+        for j in prints:
+            for off, n in Counter(keys[i][k] - keys[j][k] for k in keys[i].keys() & keys[j].keys()).items() if j < i else ():
+                overlap, errors = audio.align(prints[i], prints[j], off)
+                if n >= audio.VOTES and overlap >= audio.OVERLAP and errors <= audio.ERRORS:
+                    links.add((i, j))
+    out = {r.doc_id: r for r in audio.align_recordings(spark.createDataFrame(list(media.items()), "doc_id bigint, media binary")).collect()}
+    assert (11, 10) in links and not links & {(10, 1), (10, 2), (11, 1), (11, 2)}
+    assert out[11].match_id == 10 and not out[11].kept and all((i, r.match_id) in links for i, r in out.items() if r.match_id is not None)
+    assert {i: r.component_id for i, r in out.items()} == joined(list(media), links)
+
+
 def test_wave_header():
     x = (tone(1, 4000) * 9000).astype("<i2").tobytes()
     head = b"RIFF" + (36 + len(x)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little") + b"data" + len(x).to_bytes(4, "little")

@@ -6,14 +6,20 @@ value is quantised to two Gray-coded bits, so each frame gives a 32-bit integer.
 share pairs of these integers are aligned at the offset that most of them agree on, and the share of
 differing bits over the whole overlap decides.
 
-Each key (two integers a fixed distance apart) names the recording of the smallest id that holds it;
-a recording is compared with those alone, so neither a common sound nor a group of copies makes pairs.
+Recordings that share a key (two integers a fixed distance apart) meet in its bucket:
+
+1. each is aligned with the bucket's smallest id; confirmed links give first components;
+2. in buckets that still hold several components all pairs across these are aligned at the bucket's
+   offset, in cells of bounded size (a large component doesn't meet itself).
+
+No pair is stored for copies, no bucket is cut, and no group sits in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import keep, without
+from tidemark.llm.storage import forget, keep, without
 
 RATE = 8000
 FRAME, HOP = 512, 64
@@ -35,6 +41,8 @@ STEPS = (-0.12, 0.0, 0.12)
 FILTERS = [(i % 5, (4, 8, 12, 16)[i // 4], (i * 5) % (13 - h), h) for i, h in ((i, (2, 4, 6, 3, 12)[i % 5]) for i in range(16))]
 WIDEST = max(w for _, w, _, _ in FILTERS)
 CHUNK = 2048
+#: Recordings of a block; a cell has two blocks at most.
+BLOCK = 256
 
 
 def samples(media: bytes) -> tuple[np.ndarray, int]:
@@ -154,12 +162,107 @@ def _aligned(a: pa.Array, b: pa.Array, offset: pa.Array) -> pa.Array:
     return pa.array([{"overlap": n, "bit_error": e} for n, e in found], pa.struct([("overlap", pa.int64()), ("bit_error", pa.float64())]))
 
 
+def _links_in_cell(ids: list[int], comps: list[int], ats: list[int], held: list[np.ndarray]) -> list[tuple[int, int, int, int, int, float]]:
+    """(rep, other, votes, offset, overlap, error) across components, with the shared key's frames laid over each other.
+
+    Ids ascend. Each recording's link to the smallest id, and links that join all that is linked.
+    """
+    first = np.unique(np.array(comps), return_inverse=True)[1]
+    label = first.copy()
+    size = np.fromiter(map(len, held), np.int64, len(held))
+    start = np.cumsum(size) - size
+    p = np.concatenate(held)
+    place = np.arange(len(p)) - np.repeat(start + np.array(ats), size)
+    place -= place.min()
+    own, there = np.zeros(int(place.max()) + 1, np.uint32), np.zeros(int(place.max()) + 1, bool)
+    keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    links = []
+    for i in range(1, len(ids)):
+        if (first[:i] == first[i]).all():
+            continue
+        n, at = start[i], place[start[i] : start[i] + size[i]]
+        own[at], there[at] = held[i], True
+        both = there[place[:n]]
+        overlap = np.add.reduceat(both, start[:i], dtype=np.int64)
+        bits = np.add.reduceat(np.bitwise_count(p[:n] ^ own[place[:n]]) * both, start[:i], dtype=np.int64)
+        there[at] = False
+        error = bits / (32 * np.maximum(overlap, 1))
+        matched = False
+        for j in map(int, np.flatnonzero((overlap >= OVERLAP) & (error <= ERRORS) & (first[:i] != first[i]))):
+            if matched and label[j] == label[i]:
+                continue
+            for x in (i, j):
+                if x not in keys:
+                    keys[x] = keys_of(held[x])
+            _, a, b = np.intersect1d(keys[i][0], keys[j][0], assume_unique=True, return_indices=True)
+            votes = int((keys[i][1][a] - keys[j][1][b] == ats[i] - ats[j]).sum())
+            if votes >= VOTES:
+                links.append((ids[i], ids[j], votes, ats[i] - ats[j], int(overlap[j]), float(error[j])))
+                label[label == label[j]] = label[i]
+                matched = True
+    return links
+
+
+_LINKS = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("votes", pa.int64()), ("frame_offset", pa.int64()), ("overlap", pa.int64()), ("bit_error", pa.float64())])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (cell, id, component, frame, prints) come sorted by cell and id; a cell may span batches."""
+    now, ids, comps, ats, held, found = None, [], [], [], [], []
+
+    def close() -> None:
+        if len(ids) > 1:
+            found.extend(_links_in_cell(ids, comps, ats, held))
+        ids.clear(), comps.clear(), ats.clear(), held.clear()
+
+    for b in batches:
+        cell, rep, comp, at = (b.column(i).to_pylist() for i in range(4))
+        for i, c in enumerate(cell):
+            if c != now:
+                close()
+                now = c
+            ids.append(rep[i])
+            comps.append(comp[i])
+            ats.append(at[i])
+            held.append(np.frombuffer(b.column(4)[i].as_py(), "<u4"))
+    close()
+    columns = zip(*found, strict=True) if found else [()] * len(_LINKS)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _LINKS, strict=True)], schema=_LINKS)
+
+
+def _across(members: DataFrame, stars: DataFrame, prints_: DataFrame) -> DataFrame:
+    """Links between recordings of different components that share a key."""
+    # Many keys bring the same recordings together at the same offsets: one of them is enough.
+    alike = members.groupBy("key").agg(F.count("*").alias("n"), F.first("c.rep").alias("center"), F.bit_xor(F.xxhash64("rep", F.col("at") - F.col("c.at"))).alias("mark"))
+    alike = alike.groupBy("n", "center", "mark").agg(F.min("key").alias("key")).select("key")
+    held = members.select("key", "rep", "at").join(alike, "key").join(stars, F.col("rep") == F.col("node"), "left").select("key", "rep", "at", F.coalesce("component", "rep").alias("comp"))
+    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
+    mixed = mixed.selectExpr(
+        "key", f"IF(n > {BLOCK}, top.comp, NULL) AS major",
+        f"ceil(IF(n > {BLOCK}, n - top.c, n) / {BLOCK}) AS minors", f"IF(n > {BLOCK}, ceil(top.c / {BLOCK}), 0) AS majors",
+    )
+    dealt = held.join(mixed, "key").selectExpr("key", "rep", "at", "comp", "minors", "majors", "comp <=> major AS big", "pmod(xxhash64(rep), IF(comp <=> major, majors, minors)) AS block")
+    cells = dealt.selectExpr(
+        "rep", "at", "comp", "key",
+        """explode(IF(big,
+             transform(sequence(0, minors - 1), x -> struct(1 AS kind, x AS one, block AS two)),
+             concat(IF(majors = 0 OR minors > 1, transform(sequence(0, minors - 1), x -> struct(0 AS kind, least(x, block) AS one, greatest(x, block) AS two)), array()),
+                    IF(majors = 0, array(), transform(sequence(0, greatest(majors - 1, 0)), x -> struct(1 AS kind, block AS one, x AS two)))))) AS place""",
+    )
+    cells = cells.selectExpr("rep", "at", "comp", "xxhash64(key, place.kind, place.one, place.two) AS cell").join(prints_, "rep").select("cell", "rep", "comp", "at", "prints")
+    return cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_cells, "rep bigint, other bigint, votes bigint, frame_offset bigint, overlap bigint, bit_error double")
+
+
 def align_recordings(df: DataFrame, doc_id: str = "doc_id", media: str | Column = "media") -> DataFrame:
     """One row per recording: its fingerprint's digest, the recording it aligns with, and its group.
 
-    ``n_frames`` integers, ``prints_sha256``; ``match_id``: the smallest id that it links with directly
-    among those compared, with ``frame_offset``, ``overlap`` and ``bit_error`` (null without a link);
-    ``component_id``: the smallest id reachable by links; ``kept``: whether it is the row's own.
+    Two recordings link if at some offset at least ``VOTES`` of their keys agree and the overlap and its
+    bit error pass. ``n_frames`` integers, ``prints_sha256``; ``match_id``: the smallest id below its own
+    that it links with directly among those compared (the first holders of its keys, and recordings
+    that these links leave in other components), with ``frame_offset``, ``overlap`` and ``bit_error``
+    (null without a link); ``component_id``: the smallest id reachable by links between any two
+    recordings; ``kept``: whether it is the row's own.
 
     Recordings with equal fingerprints are one class and aligned at offset 0. Null, empty and short
     media (under 1,472 samples) have no integers and link with nothing. Rows with a null id are left
@@ -170,14 +273,19 @@ def align_recordings(df: DataFrame, doc_id: str = "doc_id", media: str | Column
     classes = marked.where("n_frames > 0").groupBy("prints_sha256").agg(F.min("doc_id").alias("rep"), F.first("prints").alias("prints"), F.first("keys").alias("keys"))
     held = classes.select("rep", F.explode("keys").alias("k")).select("rep", "k.key", "k.at")
     first = held.groupBy("key").agg(F.min(F.struct("rep", "at")).alias("c"), F.count("*").alias("_n")).where("_n > 1").select("key", "c")
-    votes = held.join(first, "key").where("rep <> c.rep").groupBy("rep", F.col("c.rep").alias("other"), (F.col("at") - F.col("c.at")).alias("frame_offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("rep", "other").agg(F.max(F.struct("votes", -F.abs("frame_offset"), "frame_offset")).alias("b")).where(f"b.votes >= {VOTES}").select("rep", "other", "b.frame_offset")
+    members = keep(held.join(first, "key"))
+    votes = members.where("rep <> c.rep").groupBy("rep", F.col("c.rep").alias("other"), (F.col("at") - F.col("c.at")).alias("frame_offset")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("rep", "other").agg(F.max(F.struct("votes", -F.abs("frame_offset"), "frame_offset")).alias("b")).where(f"b.votes >= {VOTES}").select("rep", "other", "b.votes", "b.frame_offset")
     prints_ = classes.select("rep", "prints")
     pairs = best.join(prints_, "rep").join(prints_.select(F.col("rep").alias("other"), F.col("prints").alias("theirs")), "other")
-    pairs = pairs.select("rep", "other", "frame_offset", F.arrow_udf(_aligned, "struct<overlap bigint, bit_error double>")("prints", "theirs", "frame_offset").alias("a")).where(f"a.overlap >= {OVERLAP} AND a.bit_error <= {ERRORS}")
-    links = keep(pairs.select("rep", "other", "frame_offset", "a.overlap", "a.bit_error"))
-    match = links.groupBy("rep").agg(F.min(F.struct("other", "frame_offset", "overlap", "bit_error")).alias("l"))
-    comps = connected_components(links.select(F.col("rep").alias("src"), F.col("other").alias("dst")))
+    pairs = pairs.select("rep", "other", "votes", "frame_offset", F.arrow_udf(_aligned, "struct<overlap bigint, bit_error double>")("prints", "theirs", "frame_offset").alias("a")).where(f"a.overlap >= {OVERLAP} AND a.bit_error <= {ERRORS}")
+    links = keep(pairs.select("rep", "other", "votes", "frame_offset", "a.overlap", "a.bit_error"))
+    stars = connected_components(links.select(F.col("rep").alias("src"), F.col("other").alias("dst")))
+    crossed = keep(_across(members, stars, prints_))
+    forget(members)
+    match = links.unionByName(crossed).groupBy("rep").agg(F.min(F.struct("other", -F.col("votes"), F.abs("frame_offset"), -F.col("frame_offset"), "frame_offset", "overlap", "bit_error")).alias("l"))
+    match = match.select("rep", F.struct("l.other", "l.frame_offset", "l.overlap", "l.bit_error").alias("l"))
+    comps = connected_components(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(crossed.select("rep", "other")))
     facts = classes.select("prints_sha256", "rep").join(match, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("prints_sha256", "rep", "l", F.coalesce("component", "rep").alias("_c"))
     # Written first, so that the join may split a class of very many copies; recordings without integers
     # are dealt out by their ids.
