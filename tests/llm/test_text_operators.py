@@ -39,6 +39,16 @@ def test_bpe_is_the_librarys(codec):
         assert codec.decode(ids) == text.encode()
 
 
+def test_bpe_keeps_runs_of_other_white_space_whole(codec):
+    tiktoken = pytest.importorskip("tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    assert codec.encode("a \u00a0 \u00a0 b") == [64, 11504, 275]
+    for space in ("\u00a0", "\n", "\t", "\x85", "\u2003", "\u3000", "\x1c"):
+        for n in range(1, 9):
+            for text in (f"a{(' ' + space) * n} b", f"a{(space + ' ') * n}b", f"{(space + ' ') * n}", f"a b{space} c{(' ' + space) * n}"):
+                assert codec.encode(text) == library.encode(text), (space, n)
+
+
 def test_bpe_rank_ties_go_left():
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aab": 257, b"ab": 258}
     own = bpe.BytePairCodec(ranks, r"\S+")

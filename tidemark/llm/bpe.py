@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 from heapq import heappop, heappush
 from struct import pack
@@ -28,6 +29,8 @@ KEPT_CHARS = 64
 KEPT_PIECES, KEPT_SEGMENTS = 1_000_000, 400_000
 NEVER = 1 << 60
 BIT = [1 << i for i in range(64)]
+#: A blank beside another white-space character.
+_TOUCHED = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
 class _Memo(dict):
@@ -166,10 +169,11 @@ class BytePairCodec:
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
-        The pattern never joins what lies on both sides of a lone blank, except the blank itself with
-        what follows; so a text without two blanks in a row is the sum of its blank-led segments.
+        The pattern never joins what lies on both sides of a blank between other than white space,
+        except the blank itself with what follows; so a text whose blanks touch no white space is the
+        sum of its blank-led segments.
         """
-        if "  " in text:
+        if _TOUCHED.search(text):
             return self._segment(text)
         head, *rest = text.split(" ")
         return b"".join([self.first[head], *map(self.spaced.__getitem__, rest)])
