@@ -1,14 +1,16 @@
 """Learners on a separable matrix, reports and the streaming breakdown."""
 
 import random
+from pathlib import Path
 
 import pytest
 
-from tidemark.config import Settings
+from tidemark.config import Settings, load_settings
 from tidemark.operators import explore as E
 from tidemark.operators import models as M
 from tidemark.operators import report
-from tidemark.operators.split import Fold
+from tidemark.operators.split import Fold, build_folds
+from tidemark.plans import registry
 from tidemark.sources import behavior as B
 from tidemark.streaming import counts
 
@@ -54,6 +56,25 @@ def test_prefixes_add_up_to_the_model(matrix):
     assert all(whole[u] == pytest.approx(2 * last[u] if abs(whole[u] - last[u]) > 1e-9 else last[u]) for u in whole)
 
 
+def test_model_queries_take_all_candidates_seeds_and_folds(spark, monkeypatch):
+    """What the queries hand to the learners, against the project's settings."""
+    want, frame, seen = load_settings(Path(__file__).parents[1] / "conf/settings.yaml").models, spark.createDataFrame([("2024-01-30",)], "cutoff_date string"), {}
+
+    def sweep(tv, folds, candidates, settings, params, seeds, *rest):
+        seen["sweep"] = ([f.index for f in folds], [c.negative_ratio for c in candidates], list(seeds))
+        return spark.createDataFrame([("downsample_20", 0.1, 3), ("full", 0.3, 2), ("full", 0.3, 2)], "config string, pr_auc double, best_trees int")
+
+    monkeypatch.setattr(registry, "matrix", lambda spark, sf: frame)
+    monkeypatch.setattr(M, "run_sweep", sweep)
+    monkeypatch.setattr(M, "train_final", lambda tv, test, c, trees, params, seed: seen.update(final=(c.negative_ratio, trees)) or (None, frame, frame))
+    for name in ("permutation_importance", "run_ablation"):
+        monkeypatch.setattr(M, name, lambda tv, folds, *rest, name=name: seen.update({name: len(folds)}) or frame)
+    for name in ("model_sweep", "model_final_test", "model_importances", "model_permutation", "model_ablation"):
+        registry.queries()[name](spark, "")
+    assert seen["sweep"] == ([f.index for f in build_folds(S)], [*want["negative_ratios"], None], want["seeds"])
+    assert seen["final"] == (None, 2) and seen["permutation_importance"] == seen["run_ablation"] == len(M.normal_folds(S)) == 7
+
+
 def test_text_columns_are_refused(matrix):
     with pytest.raises(TypeError, match="extra"):
         M.feature_names(matrix.selectExpr("*", "'x' AS extra"))

@@ -166,16 +166,34 @@ def _model(f) -> Query:
     return run
 
 
+#: The set-ups and seeds that are compared, those of conf/settings.yaml: ratio of negatives, None for every row.
+RATIOS, SEEDS = (5, 10, 20, 50, None), (42, 43)
+
+
+def _candidates(m) -> dict:
+    return {c.name: c for c in (m.Candidate(f"downsample_{r}" if r else "full", r) for r in RATIOS)}
+
+
+def _sweep(m, tv: DataFrame, folds) -> DataFrame:
+    return m.run_sweep(tv, folds, list(_candidates(m).values()), SETTINGS, PARAMS, SEEDS)
+
+
 def _final(part: int) -> Query:
-    return _model(lambda m, test, tv, folds: m.train_final(tv, test, m.Candidate("downsample_20", 20), PARAMS["trees"], PARAMS, 42)[part])
+    """The sweep's best set-up with its number of trees, fitted once."""
+
+    def run(m, test, tv, folds):
+        name, trees = m.best_config(_sweep(m, tv, folds).persist())
+        return m.train_final(tv, test, _candidates(m)[name], trees, PARAMS, SEEDS[0])[part]
+
+    return _model(run)
 
 
 MODELS = {
     "model_baselines": _model(lambda m, test, tv, folds: m.run_baselines(tv, folds, SETTINGS)),
-    "model_sweep": _model(lambda m, test, tv, folds: m.run_sweep(tv, folds, [m.Candidate("downsample_20", 20)], SETTINGS, PARAMS, (42,))),
+    "model_sweep": _model(lambda m, test, tv, folds: _sweep(m, tv, folds)),
     "model_final_test": _final(1), "model_importances": _final(2),
-    "model_permutation": _model(lambda m, test, tv, folds: m.permutation_importance(tv, m.normal_folds(SETTINGS)[-1:], m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
-    "model_ablation": _model(lambda m, test, tv, folds: m.run_ablation(tv, m.normal_folds(SETTINGS)[-2:], m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
+    "model_permutation": _model(lambda m, test, tv, folds: m.permutation_importance(tv, m.normal_folds(SETTINGS), m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
+    "model_ablation": _model(lambda m, test, tv, folds: m.run_ablation(tv, m.normal_folds(SETTINGS), m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
 }
 USER, ITEM, PAIRS = ("user_id", "cutoff_date"), ("item_id", "cutoff_date"), ("user_id", "item_id", "cutoff_date")
 
