@@ -12,7 +12,8 @@ Documents with equal sets are one class. Classes that share a band's registers m
 2. only buckets that still hold several components are looked at again: all pairs across components
    are checked on full sets in cells of bounded size (large components don't meet themselves).
 
-No pair is stored for copies, no bucket is cut, and no group sits in one task.
+No pair is stored for copies and no bucket is cut. Joins whose keys may be hot have plain exchanges on
+both sides, so that adaptive execution can split them; blank texts take no part in any.
 """
 
 from __future__ import annotations
@@ -26,17 +27,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.idfilter import mark_possible
-from tidemark.llm.storage import forget, keep, without
+from tidemark.llm.storage import forget, held, keep, named, unheld, without
 
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 5e-4
 MOST_BANDS = 20
-#: Documents of a block; a cell has two blocks at most.
-BLOCK = 512
+#: Documents of a block, fewer where their sets hold more than LOAD shingles together; a cell has two
+#: blocks at most.
+BLOCK, LOAD = 512, 1 << 20
 #: Shingles that are ranked together.
 CHUNK = 150_000
 
@@ -79,7 +80,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(acc)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=16)
 def _recent(text: str, words: int) -> np.ndarray:
     """Of the centers that many pairs in a row share."""
     return shingle_set(text, words)
@@ -236,84 +237,80 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     Two documents are linked if ``den`` times their sets' intersection is at least ``num`` times the
     union (default 0.8 of five-word shingles). ``component_id`` is the smallest id reachable by links,
     ``kept`` whether it is the row's own. A null, empty or blank text has no shingles and links with
-    nothing. Rows that share an id count as one document: copies of any of them are linked, near-copies
-    of the one whose text sorts last. A row with a null id links with nothing but the copies of its
-    text: their component, or null, is its own, and it is kept. Input columns with the three names are replaced.
+    nothing. Rows that share an id are one document: what links with any of their texts links with it.
+    A row with a null id links with nothing but the copies of its text: their component, or null, is
+    its own, and it is kept. Input columns with the three names are replaced, others may have any name.
     """
     bands, rows = band_shape(num / den)
     base = without(df, "n_shingles", "component_id", "kept")
-    other = [c for c in base.columns if c != text]
+    slim = base.select(held(base, text), named(doc_id).cast("bigint").alias("id"), named(text).alias("text"))
     mark = F.arrow_udf(_mark(words, bands, rows), "struct<n bigint, hi bigint, lo bigint, bands array<bigint>>")
-    marked = keep(base.select(*other, mark(text).alias("_m")))
-    classes = (
-        marked.where(F.col("_m.n") > 0).where(F.col(doc_id).isNotNull())
-        .groupBy(F.col("_m.hi").alias("hi"), F.col("_m.lo").alias("lo"))
-        .agg(F.min(doc_id).cast("bigint").alias("rep"), F.first("_m.bands").alias("bands"))
-    )
-    spread = classes.select("rep", F.explode("bands").alias("key"))  # a key holds its band
-    buckets = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("center"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("n > 1")
+    marked = keep(slim.select("row_", "id", F.xxhash64("text").alias("th"), mark("text").alias("m")).select("row_", "id", "th", "m.*"))
+    classes = marked.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min(F.struct("id", "th")).alias("c"), F.first("n").alias("size"), F.first("bands").alias("bands"))
+    classes = classes.selectExpr("hi", "lo", "c.id AS rep", "c.th", "size", "bands")
+    spread = classes.select("rep", "th", "size", F.explode("bands").alias("key"))  # a key holds its band
+    buckets = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "th")).alias("center"), F.bit_xor(F.xxhash64("rep", "th")).alias("mark")).where("n > 1")
     # Many bands bring the same documents together: one of them is enough.
     buckets = buckets.groupBy("n", "center", "mark").agg(F.min("key").alias("key"))
-    members = keep(spread.join(buckets, "key").select("key", "rep", "center", "n"))
+    members = keep(spread.join(buckets, "key").select("key", "rep", "th", "size", "center", "n"))
 
-    wanted = members.select("rep").distinct()
-    texts = mark_possible(base.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text")), "rep", wanted)
-    texts = texts.where("_possible").select("rep", "text").join(wanted, "rep", "left_semi")
-    texts = keep(texts.groupBy("rep").agg(F.max("text").alias("text")))
+    wanted = members.select("rep", "th").distinct()
+    texts = mark_possible(slim.select(F.col("id").alias("rep"), "text"), "rep", wanted)
+    texts = texts.where("_possible").select("rep", F.xxhash64("text").alias("th"), "text").join(wanted, ["rep", "th"], "left_semi")
+    texts = keep(texts.groupBy("rep", "th").agg(F.max("text").alias("text")))
 
-    pairs = members.where("rep <> center").select(F.col("rep").alias("src"), F.col("center").alias("dst")).distinct()
-    checked = pairs.join(texts.select(F.col("rep").alias("src"), F.col("text").alias("_a")), "src").join(texts.select(F.col("rep").alias("dst"), F.col("text").alias("_b")), "dst")
+    pairs = members.where("rep <> center.rep").selectExpr("rep AS src", "th AS src_th", "center.rep AS dst", "center.th AS dst_th").distinct()
+    checked = pairs.join(texts.selectExpr("rep AS src", "th AS src_th", "text AS a"), ["src", "src_th"]).join(texts.selectExpr("rep AS dst", "th AS dst_th", "text AS b"), ["dst", "dst_th"])
     similar = F.arrow_udf(_similar(words, num, den), "boolean")
-    stars = connected_components(checked.where(similar("_a", "_b")).select("src", "dst"))
-
-    # A bucket of two has been checked whole.
-    held = members.where("n > 2").join(stars, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
-    mixed = mixed.selectExpr(
-        "key", f"IF(n > {BLOCK}, top.comp, NULL) AS major",
-        f"ceil(IF(n > {BLOCK}, n - top.c, n) / {BLOCK}) AS minors", f"IF(n > {BLOCK}, ceil(top.c / {BLOCK}), 0) AS majors",
-    )
-    dealt = held.join(mixed, "key").selectExpr("key", "rep", "comp", "minors", "majors", "comp <=> major AS big", "pmod(xxhash64(rep), IF(comp <=> major, majors, minors)) AS block")
+    stars = connected_components(checked.where(similar("a", "b")).select("src", "dst"))
+
+    # A bucket of two has been checked whole. A member weighs its share of a block.
+    open_ = members.where("n > 2").join(stars, F.col("rep") == F.col("node"), "left").selectExpr("key", "rep", "th", f"{LOAD // BLOCK} + size AS w", "coalesce(component, rep) AS comp")
+    sizes = open_.groupBy("key", "comp").agg(F.sum("w").alias("w"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("w").alias("w"), F.max(F.struct("w", "comp")).alias("top")).where("k > 1")
+    mixed = keep(mixed.selectExpr(
+        "key", f"IF(w > {LOAD}, top.comp, NULL) AS major",
+        f"ceil(IF(w > {LOAD}, w - top.w, w) / {LOAD}) AS minors", f"IF(w > {LOAD}, ceil(top.w / {LOAD}), 0) AS majors",
+    ))
+    dealt = open_.join(mixed, "key").selectExpr("key", "rep", "th", "comp", "minors", "majors", "comp <=> major AS big", "pmod(xxhash64(rep, th), IF(comp <=> major, majors, minors)) AS block")
     cells = dealt.selectExpr(
-        "rep", "comp", "key",
+        "rep", "th", "comp", "key",
         """explode(IF(big,
              transform(sequence(0, minors - 1), x -> struct(1 AS kind, x AS one, block AS two)),
              concat(IF(majors = 0 OR minors > 1, transform(sequence(0, minors - 1), x -> struct(0 AS kind, least(x, block) AS one, greatest(x, block) AS two)), array()),
                     IF(majors = 0, array(), transform(sequence(0, greatest(majors - 1, 0)), x -> struct(1 AS kind, block AS one, x AS two)))))) AS at""",
     )
-    cells = cells.selectExpr("rep", "comp", "xxhash64(key, at.kind, at.one, at.two) AS cell").join(texts, "rep").select("cell", "rep", "comp", "text")
+    cells = cells.selectExpr("rep", "th", "comp", "xxhash64(key, at.kind, at.one, at.two) AS cell").join(texts, ["rep", "th"]).select("cell", "rep", "comp", "text")
     crossed = cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_cells(words, num, den), "src bigint, dst bigint")
     found = connected_components(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(crossed))
-
-    label = classes.select("hi", "lo", "rep").join(found, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("_c"))
-    out = marked.join(label, (F.col("_m.hi") == label["hi"]) & (F.col("_m.lo") == label["lo"]) & (F.col("_m.n") > 0), "left")
-    own = F.col(doc_id).cast("bigint")
-    component = F.coalesce("_c", own)
-    out = out.withColumn("component_id", component).withColumn("kept", F.coalesce(component == own, F.lit(True)))
     forget(texts)
     forget(members)
-    return out.select(*other, F.col("_m.n").alias("n_shingles"), "component_id", "kept")
+    forget(mixed)
+
+    # Written first: the join may then split the rows of one large class.
+    label = keep(classes.select("hi", "lo", "rep").join(found, F.col("rep") == F.col("node"), "left").selectExpr("hi AS of_hi", "lo AS of_lo", "coalesce(component, rep) AS comp"))
+    solid = marked.where("n > 0").join(label, (F.col("hi") == F.col("of_hi")) & (F.col("lo") == F.col("of_lo")), "left").select("row_", "id", "n", "comp")
+    blank = marked.where("n = 0").select("row_", "id", "n", F.lit(None).cast("bigint").alias("comp"))
+    out = solid.unionByName(blank).withColumn("component", F.coalesce("comp", "id"))
+    return out.select(*unheld(base, text), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``df`` with one document of each group left: the one with the smallest id.
 
-    Of rows that share that id, the one whose text sorts last stays. Rows with a null id all stay. Only
-    rows that may have an id to act on are shuffled.
+    Of rows that share that id and their text any one stays; rows that share the id alone are one
+    document and stay. Rows with a null id and blank texts all stay. Only rows that may have an id to act
+    on are shuffled. Columns may have any name.
     """
-    flags = near_duplicates(df.select(doc_id, text), doc_id, text, words, num, den)
-    acts = flags.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.bool_or(~F.col("kept")).alias("_gone"), F.count("*").alias("_n"))
-    acts = keep(acts.where("_gone OR _n > 1"))
-    marked = mark_possible(df, doc_id, acts)
-    maybe = marked.where("_possible").join(acts, F.col(doc_id) == F.col("_id"), "left").where("_gone IS NOT TRUE")
-    first = F.row_number().over(W.partitionBy("_id").orderBy(F.desc_nulls_last(text)))
-    again = maybe.where("_id IS NOT NULL").withColumn("_r", first).where("_r = 1")
-    parts = [marked.where("NOT _possible"), maybe.where("_id IS NULL"), again]
-    out = parts[0].select(*df.columns)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*df.columns))
-    return out
+    slim = df.select(held(df), named(doc_id).cast("bigint").alias("id"), named(text).alias("text"))
+    flags = near_duplicates(slim.select("id", "text"), "id", "text", words, num, den)
+    acts = flags.where("id IS NOT NULL").groupBy(F.col("id").alias("of_id")).agg(F.bool_or(~F.col("kept")).alias("gone"), F.count("*").alias("n"))
+    acts = keep(acts.where("gone OR n > 1"))
+    marked = mark_possible(slim, "id", acts)
+    maybe = marked.where("_possible").join(acts, F.col("id") == F.col("of_id"), "left")
+    again = maybe.where("of_id IS NOT NULL AND NOT gone").groupBy("id", "text").agg(F.first("row_").alias("row_"))
+    out = marked.where("NOT _possible").select("row_").union(maybe.where("of_id IS NULL").select("row_")).union(again.select("row_"))
+    return out.select(*unheld(df))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
