@@ -18,11 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import keep, without
+from tidemark.llm.storage import forget, held, keep, named, unheld, without
 
 #: Bucket width in units of the sphere's radius.
 WIDTH = 2.0
@@ -111,7 +112,8 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _cells(threshold: float):
     """Sorted cells of (cell, table, across, block, id, weight, keys, vector) to link counts and edges.
 
-    ``across``: the cell holds two blocks of a bucket, and only pairs of different blocks count.
+    ``across``: the cell holds two blocks of a bucket, and only pairs of different blocks count. A cell's
+    vectors have one length; cells of one length follow each other.
     """
 
     def pairs(v: np.ndarray, keys: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -169,17 +171,23 @@ def _cells(threshold: float):
             n = np.r_[links[some], np.zeros(len(tied), np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(n), pa.array(np.r_[np.zeros(len(some), bool), np.ones(len(tied), bool)])], names=["src", "dst", "n", "edge"])
 
+        def by_length(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            size = pc.list_value_length(part.column(7)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, size[1:] != size[:-1]])
+            for s, e in zip(starts, [*starts[1:], len(size)], strict=True):
+                yield settle(part.slice(s, e - s))
+
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 held.append(b.slice(at, 4096))
                 table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 cell = table.column(0).to_numpy()
-                whole = int(np.searchsorted(cell, cell[-1], side="left"))
+                whole = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
                 if whole:
-                    yield settle(table.slice(0, whole))
+                    yield from by_length(table.slice(0, whole))
                 held = [table.slice(whole)]
         if held and held[0].num_rows:
-            yield settle(held[0])
+            yield from by_length(held[0])
 
     return run
 
@@ -192,33 +200,35 @@ def vector_links(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     ``kept``: whether it is the row's own. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; vectors of different lengths don't link. Repeated rows
     are rows of their own. A row with a null id counts as a link but names no component: its own is
-    that of its vector's other rows or null, and it is kept if null.
+    that of its vector's other rows or null, and it is kept if null. Input columns with the three names
+    are replaced, others may have any name.
     """
     base = without(df, "n_links", "component_id", "kept")
-    other = [c for c in base.columns if c != vector]
-    fine = f"size({vector}) > 0 AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists({vector}, x -> x <> 0)"
-    rows = base.withColumn("_fine", F.coalesce(F.expr(fine), F.lit(False)))
+    slim = base.select(held(base, vector), named(vec_id).cast("bigint").alias("id"), named(vector).alias("v"))
+    fine = "size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
+    rows = slim.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False)))
     # Equal vectors are one: the smallest id stands for them.
-    solid = rows.where("_fine").groupBy(F.col(vector).alias("_v")).agg(F.min(vec_id).cast("bigint").alias("rep"), F.count("*").alias("weight"))
-    solid = solid.withColumn("rep", F.coalesce("rep", F.lit(NAMELESS) + F.xxhash64("_v").bitwiseAND(F.lit(NAMELESS - 1))))
+    solid = rows.where("fine").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    solid = solid.withColumn("rep", F.coalesce("rep", F.lit(NAMELESS) + F.xxhash64("v").bitwiseAND(F.lit(NAMELESS - 1))))
     k, tables = table_shape(df.count(), threshold)
-    keyed = keep(solid.withColumn("keys", F.arrow_udf(_keys(k, tables), "array<int>")("_v")))
-    spread = keyed.select("rep", F.size("_v").alias("dim"), F.posexplode("keys").alias("table", "key"))
-    full = spread.groupBy("dim", "table", "key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    keyed = keep(solid.withColumn("keys", F.arrow_udf(_keys(k, tables), "array<int>")("v")))
+    spread = keyed.select("rep", F.size("v").alias("dim"), F.posexplode("keys").alias("table", "key"))
+    full = spread.groupBy("dim", "table", "key").agg(F.count("*").alias("n")).where("n > 1")
+    full = keep(full.selectExpr("dim", "table", "key", f"CAST(ceil(n / {BLOCK}) AS int) AS blocks"))  # written: the join may split a large bucket
     met = spread.join(full, ["dim", "table", "key"]).withColumn("block", F.pmod(F.xxhash64("rep", "table"), F.col("blocks")).cast("int"))
     met = met.select("rep", "dim", "table", "key", "block", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS one, greatest(x, block) AS two))")).alias("at"))
-    met = met.selectExpr("rep", "xxhash64(dim, table, key, at.one, at.two) AS cell", "table", "at.one <> at.two AS across", "block")
-    cells = met.join(keyed, "rep").selectExpr("cell", "table", "across", "block", "rep", "weight", "keys", "_v")
-    found = keep(cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_cells(threshold), "src bigint, dst bigint, n bigint, edge boolean"))
+    met = met.selectExpr("rep", "dim", "xxhash64(dim, table, key, at.one, at.two) AS cell", "table", "at.one <> at.two AS across", "block")
+    cells = met.join(keyed, "rep").selectExpr("cell", "table", "across", "block", "rep", "weight", "keys", "v", "dim")
+    found = keep(cells.repartition("cell").sortWithinPartitions("dim", "cell", "rep").mapInArrow(_cells(threshold), "src bigint, dst bigint, n bigint, edge boolean"))
+    forget(full)
     links = found.where("NOT edge").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("edge").select("src", "dst"))
-    facts = keyed.select("rep", "weight", "_v").join(links, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    facts = facts.select("_v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("_links"), F.coalesce("component", "rep").alias("_c"))
-    out = rows.join(facts, (F.col(vector) == F.col("_v")) & F.col("_fine"), "left")
-    own = F.col(vec_id).cast("bigint")
-    component = F.coalesce(F.when(F.col("_c") < NAMELESS, F.col("_c")), own)
-    out = out.withColumns({"n_links": F.coalesce("_links", F.lit(0)).cast("bigint"), "component_id": component, "kept": F.coalesce(component == own, component.isNull())})
-    return out.select(*other, "n_links", "component_id", "kept")
+    facts = keyed.select("rep", "weight", "v").join(links, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")
+    facts = facts.selectExpr("v AS of_v", "coalesce(n, 0) + weight - 1 AS links", "coalesce(component, rep) AS c")
+    out = rows.where("fine").join(facts, F.col("v") == F.col("of_v")).selectExpr("row_", "id", "links", f"IF(c < {NAMELESS}, c, NULL) AS c")
+    out = out.unionByName(rows.where("NOT fine").selectExpr("row_", "id", "CAST(0 AS bigint) AS links", "CAST(NULL AS bigint) AS c"))
+    component = F.coalesce("c", "id")
+    return out.select(*unheld(base, vector), F.col("links").cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
