@@ -12,7 +12,8 @@ Recordings that share a key (two integers a fixed distance apart) meet in its bu
 2. in buckets that still hold several components all pairs across these are aligned at the bucket's
    offset, in cells of bounded size (a large component doesn't meet itself).
 
-No pair is stored for copies, no bucket is cut, and no group sits in one task.
+No pair is stored for copies and no bucket is cut. Joins whose keys may be hot have plain exchanges on
+both sides, so that adaptive execution can split them; silent rows take no part in any.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import forget, keep, without
+from tidemark.llm.storage import forget, held, keep, named, unheld, without
 
 RATE = 8000
 FRAME, HOP = 512, 64
@@ -45,25 +46,47 @@ CHUNK = 2048
 BLOCK = 256
 
 
+def _pcm(raw: bytes, bits: int, real: bool) -> np.ndarray:
+    """Values in [-1, 1] of 8, 16, 24 or 32 bits, or of 32-bit floats; none for other widths."""
+    step = bits // 8
+    if bits not in (8, 16, 24, 32) or real and bits != 32:
+        return np.zeros(0)
+    raw = raw[: len(raw) // step * step]
+    if real:
+        return np.nan_to_num(np.frombuffer(raw, "<f4").astype(np.float64), posinf=0.0, neginf=0.0)
+    if bits == 8:
+        return (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    if bits == 24:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        return (b[:, 0] | b[:, 1] << 8 | (b[:, 2] ^ 128) - 128 << 16) / float(1 << 23)
+    return np.frombuffer(raw, f"<i{step}").astype(np.float64) / float(1 << (bits - 1))
+
+
 def samples(media: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and their rate: RIFF WAVE with 8 or 16 bits, or else bytes as raw unsigned 8-bit."""
+    """Mono samples in [-1, 1] and their rate: RIFF WAVE (PCM or 32-bit floats), or else bytes as raw unsigned 8-bit."""
     if media[:4] == b"RIFF" and media[8:12] == b"WAVE":
-        at, form, rate = 12, (1, 8), RATE
+        at, channels, bits, real, rate = 12, 1, 8, False, RATE
         while at + 8 <= len(media):
             name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
             if name == b"fmt " and at + 24 <= len(media):
-                _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, at + 8)
-                form = (max(channels, 1), bits)
+                form, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+                channels, rate, real = max(channels, 1), rate or RATE, form == 3
             elif name == b"data":
-                raw = media[at + 8 : at + 8 + size]
-                if form[1] not in (8, 16):
-                    return np.zeros(0), rate
-                x = np.frombuffer(raw[: len(raw) // (form[1] // 8) * (form[1] // 8)], "<i2" if form[1] == 16 else np.uint8).astype(np.float64)
-                x = x / 32768 if form[1] == 16 else (x - 128) / 128
-                return x[: len(x) // form[0] * form[0]].reshape(-1, form[0]).mean(axis=1), rate
+                x = _pcm(media[at + 8 : at + 8 + size], bits, real)
+                return x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1), rate
             at += 8 + size + (size & 1)
         return np.zeros(0), rate
-    return (np.frombuffer(media, np.uint8).astype(np.float64) - 128) / 128, RATE
+    return _pcm(media, 8, False), RATE
+
+
+def resampled(x: np.ndarray, rate: int) -> np.ndarray:
+    """At ``RATE``: a moving mean as wide as the step, then straight lines between samples."""
+    if rate == RATE or not len(x):
+        return x
+    if (wide := round(rate / RATE)) > 1:
+        total = np.cumsum(np.r_[np.zeros(1), x, np.zeros(wide - 1)])
+        x = (np.r_[total[wide:]] - total[:-wide]) / wide
+    return np.interp(np.arange(int(len(x) * RATE / rate)) * (rate / RATE), np.arange(len(x)), x)
 
 
 def _fold(rate: int) -> np.ndarray:
@@ -121,8 +144,7 @@ def prints(image: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(media: bytes | None) -> np.ndarray:
-    x, rate = samples(media or b"")
-    return prints(chroma(x, rate))
+    return prints(chroma(resampled(*samples(media or b"")), RATE))
 
 
 def keys_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,10 +260,10 @@ def _across(members: DataFrame, stars: DataFrame, prints_: DataFrame) -> DataFra
     held = members.select("key", "rep", "at").join(alike, "key").join(stars, F.col("rep") == F.col("node"), "left").select("key", "rep", "at", F.coalesce("component", "rep").alias("comp"))
     sizes = held.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top")).where("k > 1")
-    mixed = mixed.selectExpr(
+    mixed = keep(mixed.selectExpr(
         "key", f"IF(n > {BLOCK}, top.comp, NULL) AS major",
         f"ceil(IF(n > {BLOCK}, n - top.c, n) / {BLOCK}) AS minors", f"IF(n > {BLOCK}, ceil(top.c / {BLOCK}), 0) AS majors",
-    )
+    ))
     dealt = held.join(mixed, "key").selectExpr("key", "rep", "at", "comp", "minors", "majors", "comp <=> major AS big", "pmod(xxhash64(rep), IF(comp <=> major, majors, minors)) AS block")
     cells = dealt.selectExpr(
         "rep", "at", "comp", "key",
@@ -254,8 +276,11 @@ def _across(members: DataFrame, stars: DataFrame, prints_: DataFrame) -> DataFra
     return cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_cells, "rep bigint, other bigint, votes bigint, frame_offset bigint, overlap bigint, bit_error double")
 
 
-def align_recordings(df: DataFrame, doc_id: str = "doc_id", media: str | Column = "media") -> DataFrame:
-    """One row per recording: its fingerprint's digest, the recording it aligns with, and its group.
+_ADDED = ("n_frames", "prints_sha256", "match_id", "frame_offset", "overlap", "bit_error", "component_id", "kept")
+
+
+def align_recordings(df: DataFrame, doc_id: str = "doc_id", media: str = "media") -> DataFrame:
+    """``df``'s columns but the media, with each recording's digest, the recording it aligns with, and its group.
 
     Two recordings link if at some offset at least ``VOTES`` of their keys agree and the overlap and its
     bit error pass. ``n_frames`` integers, ``prints_sha256``; ``match_id``: the smallest id below its own
@@ -265,15 +290,20 @@ def align_recordings(df: DataFrame, doc_id: str = "doc_id", media: str | Column
     recordings; ``kept``: whether it is the row's own.
 
     Recordings with equal fingerprints are one class and aligned at offset 0. Null, empty and short
-    media (under 1,472 samples) have no integers and link with nothing. Rows with a null id are left
-    out; of rows that share an id, those with other media count as recordings of that id too.
+    media (under 1,472 samples) have no integers and link with nothing; so do rows with a null id, whose
+    component is null and which are kept. Of rows that share an id, those with other media count as
+    recordings of that id too. Every rate is brought to 8 kHz. A recording is held whole, eight bytes a
+    sample. Input columns with the new names are replaced, others may have any name.
     """
-    base = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), (F.col(media) if isinstance(media, str) else media).alias("_media")).where("doc_id IS NOT NULL")
-    marked = keep(base.select("doc_id", F.arrow_udf(_marks, _FIELDS)("_media").alias("m")).select("doc_id", "m.*"))
-    classes = marked.where("n_frames > 0").groupBy("prints_sha256").agg(F.min("doc_id").alias("rep"), F.first("prints").alias("prints"), F.first("keys").alias("keys"))
-    held = classes.select("rep", F.explode("keys").alias("k")).select("rep", "k.key", "k.at")
-    first = held.groupBy("key").agg(F.min(F.struct("rep", "at")).alias("c"), F.count("*").alias("_n")).where("_n > 1").select("key", "c")
-    members = keep(held.join(first, "key"))
+    base = without(df, *_ADDED)
+    slim = base.select(held(base, media), named(doc_id).cast("bigint").alias("id"), named(media).alias("media"))
+    marked = keep(slim.select("row_", "id", F.arrow_udf(_marks, _FIELDS)("media").alias("m")).select("row_", "id", "m.*"))
+    sound = "n_frames > 0 AND id IS NOT NULL"
+    classes = marked.where(sound).groupBy("prints_sha256").agg(F.min("id").alias("rep"), F.first("prints").alias("prints"), F.first("keys").alias("keys"))
+    spread = classes.select("rep", F.explode("keys").alias("k")).select("rep", "k.key", "k.at")
+    first = keep(spread.groupBy("key").agg(F.min(F.struct("rep", "at")).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", "c"))
+    members = keep(spread.join(first, "key"))
+    forget(first)
     votes = members.where("rep <> c.rep").groupBy("rep", F.col("c.rep").alias("other"), (F.col("at") - F.col("c.at")).alias("frame_offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("rep", "other").agg(F.max(F.struct("votes", -F.abs("frame_offset"), "frame_offset")).alias("b")).where(f"b.votes >= {VOTES}").select("rep", "other", "b.votes", "b.frame_offset")
     prints_ = classes.select("rep", "prints")
@@ -286,19 +316,17 @@ def align_recordings(df: DataFrame, doc_id: str = "doc_id", media: str | Column
     match = links.unionByName(crossed).groupBy("rep").agg(F.min(F.struct("other", -F.col("votes"), F.abs("frame_offset"), -F.col("frame_offset"), "frame_offset", "overlap", "bit_error")).alias("l"))
     match = match.select("rep", F.struct("l.other", "l.frame_offset", "l.overlap", "l.bit_error").alias("l"))
     comps = connected_components(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(crossed.select("rep", "other")))
-    facts = classes.select("prints_sha256", "rep").join(match, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").select("prints_sha256", "rep", "l", F.coalesce("component", "rep").alias("_c"))
-    # Written first, so that the join may split a class of very many copies; recordings without integers
-    # are dealt out by their ids.
-    facts = keep(facts.withColumnRenamed("prints_sha256", "_class"))
-    own_class = F.when(F.col("n_frames") > 0, F.col("prints_sha256")).otherwise(F.concat(F.lit("none "), F.col("doc_id").cast("string")))
-    out = marked.select("doc_id", "n_frames", "prints_sha256", own_class.alias("_key")).join(facts, F.col("_key") == F.col("_class"), "left")
-    linked = F.col("rep") < F.col("doc_id")
+    facts = classes.select("prints_sha256", "rep").join(match, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left").selectExpr("prints_sha256 AS class", "rep", "l", "coalesce(component, rep) AS c")
+    facts = keep(facts)  # written first, so that the join may split a class of very many copies
+    solid = marked.where(sound).join(facts, F.col("prints_sha256") == F.col("class"))
     same = F.struct(F.col("rep").alias("other"), F.lit(0).cast("bigint").alias("frame_offset"), F.col("n_frames").alias("overlap"), F.lit(0.0).alias("bit_error"))
-    out = out.withColumn("l", F.when(linked & (F.col("l").isNull() | (F.col("rep") < F.col("l.other"))), same).otherwise(F.col("l")))
-    component = F.coalesce("_c", "doc_id")
+    solid = solid.withColumn("l", F.when((F.col("rep") < F.col("id")) & (F.col("l").isNull() | (F.col("rep") < F.col("l.other"))), same).otherwise(F.col("l")))
+    solid = solid.select("row_", "id", "n_frames", "prints_sha256", "l", "c")
+    rest = marked.where(f"NOT ({sound})").select("row_", "id", "n_frames", "prints_sha256", F.lit(None).cast("struct<other: bigint, frame_offset: bigint, overlap: bigint, bit_error: double>").alias("l"), F.col("id").alias("c"))
+    out = solid.unionByName(rest)
     return out.select(
-        "doc_id", "n_frames", "prints_sha256", F.col("l.other").alias("match_id"), "l.frame_offset", "l.overlap", "l.bit_error",
-        component.alias("component_id"), (component == F.col("doc_id")).alias("kept"),
+        *unheld(base, media), "n_frames", "prints_sha256", F.col("l.other").alias("match_id"), "l.frame_offset", "l.overlap", "l.bit_error",
+        F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"),
     )
 
 
@@ -310,4 +338,4 @@ def add_fingerprints(df: DataFrame, media: str = "media", out: str = "prints") -
 def op6_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds audio: the bytes of each text are read as unsigned 8-bit samples at 8 kHz."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("media"))
-    return align_recordings(docs)
+    return align_recordings(docs).select("doc_id", *_ADDED)
