@@ -41,8 +41,12 @@ ENDS = {
 }
 SHELTER = frozenset("table td th caption template".split())
 CELL_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
-#: Cells are padded to their column's width up to so many characters.
-PAD = 40
+#: Cells that others follow in their row are wrapped to so many characters.
+CELL = 100
+#: A table has so many columns at most; cells beyond them follow unaligned.
+COLUMNS = 1000
+#: A table whose alignment took more blanks than so many times its text is set unaligned.
+FILL = 64
 #: Levels of lists and quotations that are indented; deeper ones stand in the last column.
 DEEPEST = 32
 
@@ -239,24 +243,67 @@ class Flow:
         return self.lines
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (cell's lines, columns it spans), columns aligned and two blanks apart."""
-    width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), min(PAD, max(map(len, lines), default=0)))
+def wrapped(lines: list[str], width: int) -> list[str]:
+    """Lines cut at blanks to the width; a longer word is cut too."""
+    out = []
+    for line in lines:
+        while len(line) > width:
+            at = line.rfind(" ", 1, width + 1)
+            at = at if at > 0 and line[:at].strip() else width
+            out.append(line[:at].rstrip(" "))
+            line = line[at:].lstrip(" ")
+        out.append(line)
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (cell's lines, columns and rows it spans), columns aligned and two blanks apart.
+
+    A cell stands in its row's first column that no cell from above covers. What spans several rows is
+    written in the first of them; a row's last cell takes no part in the columns' widths.
+    """
+    covered: dict[int, int] = {}  # the last row in which a cell from above covers the column
+    grid = []
+    for r, row in enumerate(rows):
+        at, placed = 0, []
+        for i, (lines, span, down) in enumerate(row):
+            while at < COLUMNS and covered.get(at, -1) >= r:
+                at += 1
+            span = max(1, min(span, COLUMNS - at))
+            placed.append((at, span, lines if i == len(row) - 1 else wrapped(lines, CELL)))
+            if down > 1:
+                covered |= dict.fromkeys(range(at, min(at + span, COLUMNS)), r + down - 1)
             at += span
+        grid.append(placed)
+    columns = max((row[-1][0] for row in grid if row), default=0) + 1
+    width = [0] * columns
+    wide = []
+    for row in grid:
+        for at, span, lines in row[:-1]:
+            need = max(map(len, lines), default=0)
+            if span == 1:
+                width[at] = max(width[at], need)
+            else:
+                wide.append((at, min(at + span, columns), need))
+    for at, end, need in wide:
+        width[end - 1] += max(0, need - sum(width[at:end]) - 2 * (end - at - 1))
+    starts = [0]
+    for w in width:
+        starts.append(starts[-1] + w + 2)
+    tall = [max((len(c) for _, _, c in row), default=0) for row in grid]
+    text = sum(len(x) + 1 for row in grid for _, _, c in row for x in c)
+    if sum(n * starts[row[-1][0]] for n, row in zip(tall, grid, strict=True) if row) > FILL * (text + len(grid)):
+        starts = [0] * len(starts)
     out = []
-    for row in rows:
-        for k in range(max((len(c) for c, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                room = sum(width.get(at + i, 0) for i in range(span)) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
-            out.append("  ".join(parts).rstrip(" "))
+    for n, row in zip(tall, grid, strict=True):
+        for k in range(n):
+            parts, size = [], 0
+            for at, _, lines in row:
+                gap = max(starts[at] - size, 2 if size else 0)
+                own = lines[k] if k < len(lines) else ""
+                parts += [" " * gap, own]
+                size += gap + len(own)
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
@@ -265,7 +312,7 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     flows, keep, lists = [Flow()], 0, []
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
     work: list[tuple[Node | str, bool]] = [(build(page), True)]
     while work:
         node, enter = work.pop()
@@ -308,14 +355,17 @@ def render(page: str | None) -> str:
             elif tag in ("td", "th") and tables:
                 flows.append(Flow())
             work.append((node, False))
-            work.extend((c, True) for c in reversed(node.children))
+            inner = node.children
+            if tag == "details" and "open" not in node.attrs:
+                inner = [c for c in inner if isinstance(c, Node) and c.tag == "summary"][:1]
+            work.extend((c, True) for c in reversed(inner))
             continue
         if tag in ("td", "th") and tables:
             cell = flows.pop().done()
-            span = node.attrs.get("colspan", "1")
+            span, down = (int(x) if re.fullmatch(r"\d{1,5}", x := node.attrs.get(k, "1").strip(), re.A) else 1 for k in ("colspan", "rowspan"))
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((cell, min(100, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span, re.A) else 1))
+            tables[-1][-1].append((cell, max(1, span), down or len(page)))
             continue
         if tag == "table":
             for x in table_lines(tables.pop()):
@@ -344,7 +394,16 @@ def _render(pages: pa.Array) -> pa.Array:
 
 
 def extract_html(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
-    """``df`` with the visible text added; a null page gives null. Rows are kept one to one."""
+    """``df`` with the visible text added. Rows are kept one to one, repeated ones too; an empty table stays empty.
+
+    A null page gives null, an empty one an empty text. Not shown: what the ``hidden`` attribute, an
+    inline ``display: none`` or ``visibility: hidden``, a closed ``details`` or ``dialog`` or the element
+    itself (scripts, styles, templates, media) hides; style sheets aren't read. Limits: cells that others
+    follow in their row are wrapped at ``CELL`` characters, tables align at most ``COLUMNS`` columns and
+    none whose alignment would take more than ``FILL`` times their text, lists and quotations are
+    indented ``DEEPEST`` levels deep; ``rowspan`` runs on across row groups. An input column of the new
+    name is replaced, others may have any name.
+    """
     return without(df, out).withColumn(out, F.arrow_udf(_render, "string")(html))
 
 
