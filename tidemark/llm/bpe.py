@@ -29,8 +29,9 @@ KEPT_CHARS = 64
 KEPT_PIECES, KEPT_SEGMENTS = 1_000_000, 400_000
 NEVER = 1 << 60
 BIT = [1 << i for i in range(64)]
-#: A blank beside another white-space character.
+#: A blank beside another white-space character, and a blank beside none.
 _TOUCHED = re.compile(r" (?:(?=\s)|(?<=\s ))")
+_LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Memo(dict):
@@ -170,12 +171,10 @@ class BytePairCodec:
         """Ids as little-endian unsigned 32-bit integers.
 
         The pattern never joins what lies on both sides of a blank between other than white space,
-        except the blank itself with what follows; so a text whose blanks touch no white space is the
-        sum of its blank-led segments.
+        except the blank itself with what follows; so a text is the sum of its segments, each led by a
+        blank that touches no white space.
         """
-        if _TOUCHED.search(text):
-            return self._segment(text)
-        head, *rest = text.split(" ")
+        head, *rest = _LONE.split(text) if _TOUCHED.search(text) else text.split(" ")
         return b"".join([self.first[head], *map(self.spaced.__getitem__, rest)])
 
     def encode(self, text: str | None) -> list[int]:
