@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import without
+from tidemark.llm.storage import named, without
 
 #: At most so many labelled rows are fitted, about a quarter of them to the logistic curve.
 FIT_ROWS = 6000
@@ -149,14 +149,18 @@ def _grams(texts: pa.Array) -> pa.Array:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Fits at most ``rows`` labelled documents that aren't held out; null labels and ids don't count."""
-    order = F.xxhash64(doc_id)
-    chosen = labels.where(~held_out(doc_id) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).where("_y IN (0, 1)")
-    chosen = F.broadcast(chosen.distinct().orderBy(F.xxhash64("_id"), "_y").limit(rows))  # at most ``rows`` pairs of numbers
-    found = docs.select(doc_id, text).join(chosen, F.col(doc_id) == F.col("_id")).select(order.alias("o"), "_y", F.arrow_udf(_grams, "array<int>")(text).alias("x"))
-    table = found.toArrow().sort_by([("o", "ascending"), ("_y", "ascending")])
+    """Fits at most ``rows`` labelled documents that aren't held out; null labels and ids don't count.
+
+    The driver holds these documents' distinct hashed n-grams: at most ``rows`` x 2^BITS numbers, in
+    practice some 3 KB a document. Ids that repeat in ``docs`` are fitted with each of their texts; without
+    labelled rows of both kinds every score is the prior.
+    """
+    chosen = labels.select(named(doc_id).alias("y_id"), named(label).alias("y")).where("y IN (0, 1) AND y_id IS NOT NULL").where(~held_out("y_id"))
+    chosen = F.broadcast(chosen.distinct().orderBy(F.xxhash64("y_id"), "y").limit(rows))  # at most ``rows`` pairs of numbers
+    found = docs.select(named(doc_id).alias("id"), named(text).alias("text")).join(chosen, F.col("id") == F.col("y_id"))
+    table = found.select(F.xxhash64("id").alias("o"), "y", F.arrow_udf(_grams, "array<int>")("text").alias("x")).toArrow().sort_by([("o", "ascending"), ("y", "ascending")])
     grams = [np.asarray(x.values, dtype=np.int32) for x in table.column("x")]
-    return fit(grams, np.asarray(table.column("_y")) == 1)
+    return fit(grams, np.asarray(table.column("y")) == 1)
 
 
 def _score(model: Model):
@@ -172,7 +176,7 @@ def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null or empty text has no n-grams and the score of a margin of 0. Rows are kept one to one, an
     input column ``score`` is replaced.
     """
-    return without(df, "score").withColumn("score", F.arrow_udf(_score(model), "double")(text))
+    return without(df, "score").withColumn("score", F.arrow_udf(_score(model), "double")(named(text)))
 
 
 def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ move once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import forget, keep, without
+from tidemark.llm.storage import forget, held, keep, named, unheld, without
 
 #: Probes for each open splitter and round.
 PROBES = 64
@@ -23,8 +24,8 @@ PROBES = 64
 TOLERANCE = 0.002
 #: To keep a group of equal texts whole, by this share.
 GROUP_TOLERANCE = 0.01
-#: Row numbers within a shard are counted in so many parts.
-SLOT_PARTS = 64
+#: Row numbers within a shard are counted in so many parts at least, each of so many rows on average.
+SLOT_PARTS, PART_ROWS = 64, 1_000_000
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -115,23 +116,25 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, doc_id: str = "doc_id", text
     that agree in text and id (repeated rows) can't be told apart by the key and stay together. A null
     id counts as the smallest. ``slot`` is gapless from 0 within a shard, counted part by part so that
     no task holds a whole shard. An empty table stays empty. Input columns of the three names are
-    replaced, others pass through.
+    replaced, others pass through whatever their names.
     """
-    df = without(df, "size", "shard", "slot")
-    keyed = df.withColumns({
-        "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1,
-        "_h": F.xxhash64(F.coalesce(text, F.lit(""))),
-        "_d": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LOW)),
-    })
-    keys = keep(keyed.select(F.col("_h").alias("h"), F.col("_d").alias("d"), F.col("size").alias("n")))
+    base = without(df, "size", "shard", "slot")
+    body, own = named(text), named(doc_id).cast("bigint")
+    keyed = base.select(
+        held(base), (F.coalesce(F.octet_length(body), F.lit(0)).cast("bigint") + 1).alias("size"),
+        F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"), F.coalesce(own, F.lit(LOW)).alias("d"),
+    )
+    keys = keep(keyed.select("h", "d", F.col("size").alias("n")))
     cuts = find_splitters(keys, shards, tolerance)
+    parts = max(SLOT_PARTS, math.ceil(keys.count() / shards / PART_ROWS))
     forget(keys)
-    passed = [((F.col("_h") > h) | ((F.col("_h") == h) & (F.col("_d") >= d))).cast("int") for h, d in cuts]
-    placed = keyed.withColumn("shard", sum(passed, F.lit(0)).cast("int")).withColumn("_part", F.pmod(F.xxhash64("_d"), F.lit(SLOT_PARTS)).cast("int"))
-    counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = counts.selectExpr("shard", "_part", "sum(_n) OVER (PARTITION BY shard ORDER BY _part) - _n AS _before")
-    within = placed.selectExpr("*", "row_number() OVER (PARTITION BY shard, _part ORDER BY _h, _d) - 1 AS _at")
-    return within.join(F.broadcast(before), ["shard", "_part"]).withColumn("slot", (F.col("_before") + F.col("_at")).cast("bigint")).select(*df.columns, "size", "shard", "slot")
+    passed = [((F.col("h") > h) | ((F.col("h") == h) & (F.col("d") >= d))).cast("int") for h, d in cuts]
+    placed = keyed.withColumn("shard", sum(passed, F.lit(0)).cast("int")).withColumn("part", F.pmod(F.xxhash64("h", "d"), F.lit(parts)).cast("int"))
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = counts.selectExpr("shard", "part", "sum(n) OVER (PARTITION BY shard ORDER BY part) - n AS before")
+    within = placed.selectExpr("*", "row_number() OVER (PARTITION BY shard, part ORDER BY h, d) - 1 AS at")
+    out = within.join(before, ["shard", "part"])
+    return out.select(*unheld(base), "size", "shard", (F.col("before") + F.col("at")).cast("bigint").alias("slot"))
 
 
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
