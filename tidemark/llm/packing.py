@@ -9,6 +9,7 @@ piece were placed. Each piece then finds its place from its rank among the piece
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -23,17 +24,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.storage import keep, without
+from tidemark.llm.storage import held, keep, named, unheld, without
 
 WINDOW = 4096
 #: The id after each document in the packed stream.
 END_ID = 2
-#: Ranks within a length are counted in so many parts.
-PARTS = 64
+#: Ranks within a length are counted in so many parts at least, each of so many pieces on average.
+PARTS, PART_ROWS = 64, 1_000_000
 #: Words and their pieces up to so many characters are remembered, so many of each in a worker.
 KEPT_CHARS, KEPT = 64, 200_000
 #: Bytes of ids that a batch of pieces holds, but for one longer document.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 #: Words of these characters are cut here by the tokenizer's own pattern, which spares the library's
@@ -129,7 +130,7 @@ def _cut(path: str, window: int, with_ids: bool):
         columns += [pa.array(total, pa.int64()), pa.array(start, pa.int64()), pa.array(length), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
         names = [*b.schema.names[:-1], "doc_tokens", "start", "length", "ids_crc32"]
         if with_ids:
-            columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+            columns.append(pa.array(raw, pa.binary()))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -223,35 +224,36 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW, key: tuple[str, ...] =
     a length that most pieces have is no hot key; the plan's size depends on ``window`` only.
     """
     pieces = without(pieces, "sequence_id", "offset")
-    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
-    counts = pieces.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = counts.selectExpr("length", "_part", "sum(_n) OVER (PARTITION BY length ORDER BY _part) - _n AS _before")
-    lengths = {int(n): int(c) for n, c in counts.groupBy("length").agg(F.sum("_n")).collect()}
+    slim = pieces.select(held(pieces), named("length").cast("bigint").alias("length"), F.struct(*[named(c) for c in (*key, *ties)]).alias("place"))
+    lengths = {int(n): int(c) for n, c in slim.groupBy("length").count().collect()}  # at most ``window`` rows
     plan = plan_best_fit_decreasing(lengths, window)
-    order = ", ".join([*key, *ties])
-    ranked = pieces.selectExpr("*", f"row_number() OVER (PARTITION BY length, _part ORDER BY {order}) - 1 AS _at")
-    ranked = ranked.join(F.broadcast(before), ["length", "_part"])  # at most window x PARTS rows
+    parts = max(PARTS, math.ceil(max(lengths.values(), default=0) / PART_ROWS))
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int"))
+    counts = slim.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = counts.selectExpr("length", "part", "sum(n) OVER (PARTITION BY length ORDER BY part) - n AS before")
+    ranked = slim.selectExpr("row_", "length", "part", "row_number() OVER (PARTITION BY length, part ORDER BY place) - 1 AS at").join(before, ["length", "part"])
     place = F.arrow_udf(_place(plan), "struct<sequence_id bigint, offset bigint>")
-    ranked = ranked.withColumn("_place", place(F.col("length"), (F.col("_before") + F.col("_at")).cast("bigint")))
-    return ranked.select(*[c for c in pieces.columns if c != "_part"], "_place.sequence_id", "_place.offset")
+    placed = ranked.select("row_", place(F.col("length"), (F.col("before") + F.col("at")).cast("bigint")).alias("to"))
+    return placed.select(*unheld(pieces), "to.sequence_id", "to.offset")
 
 
 def pack_documents(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Pieces of the tokenized texts of ``df``, packed into sequences of at most ``window`` ids.
 
     One row per piece: ``df``'s other columns, ``start``, ``length``, ``ids_crc32``, ``ids`` (with
-    ``with_ids``), ``doc_tokens``, ``sequence_id``, ``offset``. A null or empty text is the end id
-    alone. Repeated rows are documents of their own. Input columns with the new names are replaced.
+    ``with_ids``; little-endian unsigned 32-bit integers), ``doc_tokens``, ``sequence_id``, ``offset``.
+    A null or empty text is the end id alone. Repeated rows are documents of their own. Input columns
+    with the new names are replaced, others may have any name.
     An empty table gives an empty result. Sequences are short of ``window`` only by what best-fit
     decreasing leaves; padding them is the reader's.
     """
     new = ["start", "length", "ids_crc32", "ids", "doc_tokens", "sequence_id", "offset"]
     base = without(df, *new)
-    rest = [c for c in base.columns if c != text]
+    slim = base.select(held(base, text), named(text).alias("text"))
     made = [T.StructField(c, T.LongType()) for c in ("doc_tokens", "start", "length", "ids_crc32")]
-    made += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
-    schema = T.StructType([*base.select(*rest).schema.fields, *made])
-    pieces = keep(base.select(*rest, text).mapInArrow(_cut(path, window, with_ids), schema))
+    made += [T.StructField("ids", T.BinaryType())] if with_ids else []
+    pieces = keep(slim.mapInArrow(_cut(path, window, with_ids), T.StructType([slim.schema["row_"], *made])))
+    pieces = pieces.select(*unheld(base, text), *[f.name for f in made])
     return pack_pieces(pieces, window, (doc_id, "start"), ("ids_crc32", "doc_tokens"))
 
 
