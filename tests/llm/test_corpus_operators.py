@@ -1,6 +1,7 @@
 """Near-duplicates, vectors, sharding, packing, audio and the pipeline against brute force."""
 
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 public = pytest.importorskip("public_tokenizers")
 
-from tidemark.llm import audio, components, idfilter, minhash, packing, sharding, vectors  # noqa: E402
+from tidemark.llm import audio, components, idfilter, minhash, packing, pii, quality, sharding, urls, vectors  # noqa: E402
 
 
 def joined(nodes, links):
@@ -68,6 +69,7 @@ def corpus(seed, n=150):
 @pytest.mark.parametrize("words,num,den,block", [(3, 85, 100, 512), (5, 4, 5, 4)])
 def test_near_duplicates(spark, monkeypatch, words, num, den, block):
     monkeypatch.setattr(minhash, "BLOCK", block)  # small blocks: buckets are split into cells
+    monkeypatch.setattr(minhash, "LOAD", 1 << 20 if block > 4 else 1024)  # by their shingles too
     texts = corpus(words)
     ids = random.Random(9).sample(range(10 * len(texts)), len(texts))
     docs = spark.createDataFrame(list(zip(ids, texts, ["x"] * len(ids), strict=True)), "doc_id bigint, text string, kept string")
@@ -93,6 +95,15 @@ def test_near_duplicates_edges(spark):
     assert Counter(r.doc_id for r in minhash.drop_near_duplicates(docs).collect()) == Counter([None, 3, 5, 7, None])
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id are one document: near copies of either text are linked, and no text is lost with another's row."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "p q"), (4, "p q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert Counter(tuple(r) for r in minhash.drop_near_duplicates(docs).collect()) == Counter([(1, a), (1, b), (4, "p q")])
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(3)
     errors = []
@@ -129,6 +140,16 @@ def test_vectors(spark, monkeypatch):
     assert out.count() == len(rows) and vectors.vector_links(df.limit(0)).count() == 0
 
 
+def test_vectors_of_two_lengths(spark):
+    rng = np.random.default_rng(4)
+    base = {n: rng.normal(size=(3, n)) for n in (6, 10, 15)}
+    v = [base[n][i % 3] + rng.normal(size=n) * 0.08 for i in range(40) for n in base]
+    out = vectors.vector_links(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id int, embedding array<double>")).collect()
+    near = {(i, j) for i, x in enumerate(v) for j, y in enumerate(v) if i != j and len(x) == len(y) and x @ y >= 0.95 * np.linalg.norm(x) * np.linalg.norm(y)}
+    comp, links = joined(range(len(v)), near), Counter(i for i, _ in near)
+    assert len(near) > 500 and all((r.n_links, r.component_id) == (links[r.vec_id], comp[r.vec_id]) for r in out)
+
+
 def test_collision_chances_are_met():
     rng = np.random.default_rng(1)
     for cosine in (0.95, 0.5):
@@ -160,6 +181,17 @@ def test_sharding(spark):
     assert sharding.shard_by_bytes(one).count() == 3
 
 
+def test_splitters_are_those_of_a_full_sort(spark):
+    rng = random.Random(8)
+    keys = [(rng.getrandbits(64) - (1 << 63), i, rng.choice([1, 10, 200, 3000])) for i in range(4000)] + [(7, i, 50) for i in range(3000)]
+    cuts = sharding.find_splitters(spark.createDataFrame(keys, "h bigint, d bigint, n bigint"), 16, 0.01)
+    rows = sorted(keys)
+    mean = sum(n for *_, n in rows) / 16
+    for i, cut in enumerate(cuts, 1):
+        below, sums = sum(n for h, d, n in rows if (h, d) < cut), np.cumsum([0, *(n for *_, n in rows)])
+        assert abs(below - i * mean) <= max(0.01 * mean, np.abs(sums - i * mean).min() + 1e-9)
+
+
 def plain_bfd(lengths, window):
     open_, out = [], []
     for n in sorted(lengths, reverse=True):
@@ -213,8 +245,8 @@ def test_packing(spark):
     for i, t in enumerate(texts):
         want = library.encode(t or "", add_special_tokens=False).ids + [packing.END_ID]
         own = sorted(pieces[i], key=lambda r: r.start)
-        assert [x for r in own for x in r.ids] == want and all(r.doc_tokens == len(want) and r.length == len(r.ids) for r in own)
-        assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in own)
+        assert np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist() == want and all(r.doc_tokens == len(want) and r.length == len(r.ids) // 4 for r in own)
+        assert all(r.ids_crc32 == zlib.crc32(r.ids) for r in own)
         assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))]
     for s in places.values():
         end = 0
@@ -310,6 +342,42 @@ def test_audio_components_are_those_of_all_pairs(spark, monkeypatch, block):
     assert {i: r.component_id for i, r in out.items()} == joined(list(media), links)
 
 
+def test_audio_recall_and_edges(spark):
+    """Noisy, shifted and cut copies against all pairs, with rows that repeat ids or have none."""
+    rng = np.random.default_rng(11)
+    media = {}
+    for i in range(12):
+        x = tone(100 + i, 24000) * 0.7
+        media |= {10 * i: x, 10 * i + 1: x + rng.normal(size=len(x)) * 0.01, 10 * i + 2: np.r_[np.zeros(64 * 9), x], 10 * i + 3: x[6400:]}
+    prints = {i: audio.fingerprint(raw(x)) for i, x in media.items()}
+    same = {(i, j) for i in prints for j in prints if i < j and i // 10 == j // 10 and min(audio.align(prints[i], prints[j], o)[1] for o in (0, -9, 100, 109, -100)) <= audio.ERRORS}
+    rows = [(i, raw(x)) for i, x in media.items()] + [(0, raw(media[10])), (None, raw(media[20])), (500, None), (501, bytes(2_000_000))]
+    out = audio.align_recordings(spark.createDataFrame(rows, "doc_id int, media binary").withColumn("kept", F.lit("x"))).collect()
+    assert len(out) == len(rows)
+    found = {r.doc_id: r.component_id for r in out if r.doc_id is not None}
+    assert len(same) > 40 and sum(found[i] == found[j] for i, j in same) >= 0.9 * len(same)
+    assert found[10] == 0 and found[500] == 500 and all(found[i] // 10 == i // 10 for i in media if i // 10 > 1)
+    assert [(r.component_id, r.match_id, r.kept) for r in out if r.doc_id is None] == [(None, None, True)]
+
+
+@pytest.mark.parametrize("bits,form", [(8, 1), (16, 1), (24, 1), (32, 1), (32, 3)])
+def test_wave_widths_and_rates(bits, form):
+    t = tone(1, 8000) * 0.5
+    twice = np.interp(np.arange(16000) / 2, np.arange(8000), t)
+    if form == 3:
+        data = twice.astype("<f4").tobytes()
+    elif bits == 8:
+        data = (np.round(twice * 127) + 128).astype(np.uint8).tobytes()
+    else:
+        whole = np.round(twice * ((1 << (bits - 1)) - 1)).astype("<i8")
+        data = whole.view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes()
+    head = b"RIFF" + (36 + len(data)).to_bytes(4, "little") + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, form, 1, 16000, 16000 * bits // 8, bits // 8, bits) + b"data" + struct.pack("<I", len(data))
+    x, rate = audio.samples(head + data)
+    assert rate == 16000 and np.abs(x - twice).max() < 0.02
+    own, want = audio.fingerprint(head + data), audio.fingerprint(raw(t))
+    assert abs(len(own) - len(want)) <= 1 and audio.align(own, want, 0)[1] < audio.ERRORS
+
+
 def test_wave_header():
     x = (tone(1, 4000) * 9000).astype("<i2").tobytes()
     head = b"RIFF" + (36 + len(x)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little") + b"data" + len(x).to_bytes(4, "little")
@@ -339,3 +407,66 @@ def test_pipeline(spark, tmp_path):
     assert set(left) == set(range(160)) and all(r.n_chars == len(r.text) for r in left.values())
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(left) and len({r.sequence_id for r in packed}) == -(-sum(r.length for r in packed) // 4096)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty, very long and repeated texts, extra columns and empty tables go through every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(n))
+    rows = [(i, prose(60), i) for i in range(80)] + [(i, prose(40).upper().replace(" ", "!! "), 0) for i in range(80, 120)]
+    odd = [(200, None, 1), (201, "", 1), (202, " \t", 1), (203, prose(30_000), 1), (None, prose(50), 1), (None, None, 1), (0, rows[0][1], 0)]
+    schema = "doc_id bigint, text string, row_ int"
+    docs = spark.createDataFrame(rows + odd, schema).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(NULL AS bigint) AS n_chars", "row_", "row_ AS score", "row_ AS id")
+    spark.createDataFrame([(i, int(i < 80), 0) for i in range(120)] + [(None, 1, 0), (1, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = corpus_pipeline.keep_good(spark, docs, str(tmp_path))
+    assert good.columns == list(corpus_pipeline.COLUMNS)
+    kept = {r.doc_id for r in good.collect()}
+    assert set(range(80)) <= kept and not kept & set(range(80, 120))
+    one = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path))
+    ids = Counter(r.doc_id for r in one.collect())
+    assert one.columns == list(corpus_pipeline.COLUMNS) and ids[0] == 1 and ids[None] == 2 and ids[203] == ids[200] == ids[201] == 1
+    masked = corpus_pipeline.mask_personal(spark, docs, str(tmp_path)).collect()
+    assert len(masked) == len(rows) + len(odd) and {r.n_chars for r in masked if r.text is None} == {None} and all(r.n_chars == len(r.text) for r in masked if r.text is not None)
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert sum(r.start == 0 for r in packed) == len(rows) + len(odd) and packed[0].row_ is not None
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+#: Every name that the operators give to columns of their own.
+NAMES = (
+    "row_ id th m n hi lo bands rep size key center mark comp component node src dst a b src_th dst_th of_id gone of_hi of_lo "
+    "h d part at before place v of_v fine weight keys dim table block links c l class token of_url p dotted rule_id rule_name "
+    "row k y o x y_id _id _y _n _c _part _at _row _bits _key_row _byte _possible _bit _host_rule _rest a.b"
+).split()
+
+
+def test_callers_columns_may_have_any_name(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    base = [(1, long), (2, long + " more"), (3, None), (None, "x y"), (1, long), (4, "other words here altogether now")]
+    vectors_ = [[1.0, 0.0], [1.0, 0.01], None, [0.0, 1.0], [1.0, 0.0], [0.0, 0.0]]
+    docs = spark.createDataFrame([(i, t, x, raw(tone(i or 9, 4000)), f"http://a{i}.com/en/") for (i, t), x in zip(base, vectors_, strict=True)], "doc_id int, text string, vec array<double>, media binary, url string")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in NAMES if n not in docs.columns])
+    path = public.path("word_bpe_49k.json")
+    runs = {
+        "links": lambda t: vectors.vector_links(t, "doc_id", "vec"),
+        "shards": lambda t: sharding.shard_by_bytes(t, 2),
+        "copies": lambda t: minhash.near_duplicates(t),
+        "one": lambda t: minhash.drop_near_duplicates(t),
+        "audio": lambda t: audio.align_recordings(t),
+        "urls": lambda t: urls.filter_urls(t),
+        "packed": lambda t: packing.pack_documents(t, path, with_ids=False),
+        "pii": lambda t: pii.find_pii(t),
+        "masked": lambda t: pii.redact_pii(t),
+        "scored": lambda t: quality.score_quality(t, quality.train(t, t.selectExpr("*", "1 AS quality"))),
+    }
+    for name, run in runs.items():
+        plain, out = run(docs), run(wide)
+        extra = [n for n in NAMES if n in out.columns and n not in plain.columns]
+        assert set(extra) == set(NAMES) - set(plain.columns), name
+        assert [c for c in out.columns if c not in extra] == plain.columns, name
+        rows = out.collect()
+        assert Counter(repr(tuple(r[c] for c in plain.columns)) for r in rows) == Counter(map(repr, map(tuple, plain.collect()))), name
+        assert all(r[n] == f"{n} {'-' if r.doc_id is None else r.doc_id}" for r in rows for n in extra), name
