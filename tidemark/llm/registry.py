@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 from tidemark.llm import audio, bpe, html, minhash, packing, pii, quality, sharding, urls, vectors
+from tidemark.llm.storage import bounded_batches
+
+
+def _bounded(run):
+    @functools.wraps(run)
+    def query(spark, sf_dir):
+        bounded_batches(spark)
+        return run(spark, sf_dir)
+
+    return query
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_vector_dedup": vectors.op1_vector_dedup,
         "op2_histogram_sort": sharding.op2_histogram_sort,
         "op3_nbsvm": quality.op3_nbsvm,
@@ -18,6 +30,7 @@ def queries() -> dict:
         "op10_packing": packing.op10_packing,
         "op9_url_filters": urls.op9_url_filters,
     }
+    return {name: _bounded(run) for name, run in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
