@@ -11,30 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, packing, pii, quality
-from tidemark.llm.storage import keep
+from tidemark.llm.storage import bounded_batches, keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labels that aren't held out, scores 0.3 or more."""
+    """Documents that the classifier, fitted on labels that aren't held out, scores 0.3 or more.
+
+    Every row is judged by its text alone, repeated rows and rows with a null id too; a null or empty
+    text has no n-grams and the score of a margin of 0. Other columns than ``COLUMNS`` go.
+    """
+    bounded_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score_quality(docs, model).where(F.col("score") >= quality.KEEP_FROM).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return minhash.drop_near_duplicates(docs).select(*COLUMNS)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    The smallest id stays. Null, empty and blank texts and rows with a null id all stay; of rows that
+    share id and text, one. Other columns than ``COLUMNS`` go.
+    """
+    bounded_batches(spark)
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every found span replaced by its kind in brackets; ``n_chars`` follows."""
-    masked = pii.redact_pii(docs)
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars")).select(*COLUMNS)
+    """Every found span replaced by its kind in brackets; ``n_chars`` follows.
+
+    Rows are kept one to one; a null text stays null and keeps its ``n_chars``. Other columns than
+    ``COLUMNS`` go.
+    """
+    bounded_batches(spark)
+    masked = pii.redact_pii(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their ids, their sequence and their place in it."""
+    """Pieces with their ids, their sequence and their place in it.
+
+    A null or empty text is the end id alone; repeated rows are documents of their own; other columns
+    pass through.
+    """
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
