@@ -37,7 +37,7 @@ MISS = 5e-4
 MOST_BANDS = 20
 #: Documents of a block, fewer where their sets hold more than LOAD shingles together; a cell has two
 #: blocks at most.
-BLOCK, LOAD = 512, 1 << 20
+BLOCK, LOAD = 256, 1 << 19
 #: Shingles that are ranked together.
 CHUNK = 150_000
 
