@@ -9,6 +9,7 @@ from tidemark.operators import assemble as A
 from tidemark.operators import features as X
 from tidemark.operators import labels as L
 from tidemark.operators import validate as V
+from tidemark.operators.feature_tables import TABLES
 from tidemark.sources.behavior import SCHEMA
 
 D = datetime(2024, 1, 18)
@@ -98,18 +99,25 @@ def test_repeated_keys_are_refused(log, spark):
 
 @pytest.mark.parametrize("name,build", [("feat_user", X.user_features), ("feat_item", X.item_features), ("feat_category", X.category_features), ("feat_user_item", X.user_item_features), ("feat_user_category", X.user_category_features)])
 def test_tables_agree_with_their_second_definitions(log, name, build):
-    spec, frame = V.specs()[name], build(log, S)
-    assert all(r.n_mismatches == 0 and r.n_keys > 0 for r in V.reconcile(frame, log, spec, S).collect())
-    checks = V.structural_checks(frame, spec, 2).first().asDict()
+    frame = build(log, S)
+    assert all(r.n_mismatches == 0 and r.n_keys > 0 for r in V.reconcile(frame, log, name, S).collect())
+    some = V.key_sample(frame, TABLES[name]["key"], 3, 1)
+    assert all(r.n_mismatches == 0 and r.n_keys == some.count() for r in V.reconcile(frame, log, name, S, some).collect())
+    checks = V.structure(frame, name, 2).first().asDict()
     assert checks.pop("n_rows") > 0 and checks.pop("table_name") == name and not any(checks.values()), checks
 
 
-def test_reconcile_sees_a_changed_value(log):
+def test_checks_see_planted_faults(log):
     from pyspark.sql import functions as F
 
-    spec, frame = V.specs()["feat_category"], X.category_features(log, S)
+    frame = X.category_features(log, S)
     off = frame.withColumn("category_buy_all", F.col("category_buy_all") + 1)
-    assert {r.column_name for r in V.reconcile(off, log, spec, S).where("n_mismatches > 0").collect()} == {"category_buy_all"}
+    assert {r.column_name for r in V.reconcile(off, log, "feat_category", S).where("n_mismatches > 0").collect()} == {"category_buy_all"}
+    n = frame.count()
+    found = V.structure(frame.union(frame).withColumn("more", F.lit(1)).drop("category_buy_all"), "feat_category", 3).first()
+    assert (found.n_rows, found.repeated_keys, found.missing_columns, found.unexpected_columns, found.null_rows) == (2 * n, n, 1, 1, 0) and found.absent_days >= 1
+    odd = V.structure(frame.withColumns({"category_browse_all": F.lit(None).cast("bigint"), "category_conversion_browse_buy": F.lit(-1.0)}), "feat_category", 2).first()
+    assert (odd.null_rows, odd.out_of_range_rows, odd.broken_conversion_not_negative) == (n, n, n)
 
 
 def test_empty_log(spark):

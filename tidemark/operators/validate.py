@@ -1,184 +1,63 @@
 """Feature tables checked twice: their structure, and every value against a second definition.
 
-The second definitions read the log's rows, not the reduced counts that the builders use: each row is
-taken to every later day and each feature is one aggregate over it. All keys are compared, so there is
-no sample to draw; ``key_sample`` remains for reports.
+The second definitions (``feature_tables``) read the log's rows, not the reduced counts that the builders
+use: each row is taken to every later day and each feature is one aggregate over it. By default all keys
+are compared; ``key_sample`` draws some, which bounds how much of the log is read again.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.config import Settings
-from tidemark.functions.columns import AFTERNOON, MORNING, NIGHT
+from tidemark.operators.feature_tables import PEAK, TABLES, any_null, out_of_range
 from tidemark.operators.features import earlier
 from tidemark.operators.labels import by_day
-from tidemark.sources.behavior import BROWSE, BUY, CART, FAVORITE
-
-
-def _is(code: int | None) -> Column:
-    return F.lit(True) if code is None else F.col("behavior_type") == code
-
-
-def count(code: int | None = None, window: int = 0, hour: int | None = None) -> Column:
-    ok = _is(code)
-    if window:
-        ok = ok & (F.col("time") >= F.date_sub("cutoff", window).cast("timestamp_ntz"))
-    if hour is not None:
-        ok = ok & (F.hour("time") == hour)
-    return F.sum(ok.cast("bigint"))
-
-
-def distinct(column: str, code: int | None = None) -> Column:
-    return F.countDistinct(F.when(_is(code), F.col(column)))
-
-
-def ratio(num: int, den: int) -> Column:
-    return F.coalesce(F.try_divide(count(num), count(den)), F.lit(0.0))
-
-
-def peak_hour(code: int | None = None) -> Column:
-    return F.coalesce(F.mode(F.when(_is(code), F.hour("time")), True), F.lit(-1)).cast("bigint")
-
-
-def fraction(hours) -> Column:
-    return F.avg(F.hour("time").isin(*hours).cast("double"))
-
-
-def entropy() -> Column:
-    """log2 n - (sum of c log2 c) / n."""
-    n = F.count("*")
-    weighted = [F.coalesce(c * F.log2(F.nullif(c, F.lit(0))), F.lit(0.0)) for c in (count(hour=h) for h in range(24))]
-    acc = weighted[0]
-    for w in weighted[1:]:
-        acc = acc + w
-    return F.abs(F.log2(n) - acc / n)
 
 
-def recency() -> Column:
-    seconds = F.unix_seconds(F.first("cutoff").cast("timestamp")) - F.unix_seconds(F.max("time").cast("timestamp"))
-    return F.bround(seconds / 3600.0).cast("bigint")
-
-
-def last_behavior() -> Column:
-    return F.max_by("behavior_type", F.struct("time", "behavior_type")).cast("bigint")
-
-
-@dataclass(frozen=True)
-class Spec:
-    """A feature table's keys, second definitions, inclusive ranges and invariants."""
-
-    name: str
-    keys: tuple[str, ...]
-    recipes: dict
-    ranges: dict = field(default_factory=dict)
-    invariants: dict = field(default_factory=dict)
-
-    @property
-    def entity(self) -> tuple[str, ...]:
-        return tuple(k for k in self.keys if k != "cutoff_date")
-
-    @property
-    def columns(self) -> list[str]:
-        return [*self.keys, *self.recipes]
-
-
-def specs() -> dict[str, Spec]:
-    """Built on call: column expressions need a session."""
-    browse = {"user_browse_1d": count(BROWSE, 1), "user_browse_7d": count(BROWSE, 7), "user_browse_all": count(BROWSE)}
-    pair_browse = {f"user_item_{k[5:]}": v for k, v in browse.items()}
-    peaks = lambda p: {f"{p}_peak_hour": peak_hour(), f"{p}_browse_peak_hour": peak_hour(BROWSE), f"{p}_buy_peak_hour": peak_hour(BUY)}
-    peak_ranges = lambda p: {f"{p}_peak_hour": (0, 23), f"{p}_browse_peak_hour": (-1, 23), f"{p}_buy_peak_hour": (-1, 23)}
-    found = [
-        Spec(
-            "feat_user", ("user_id", "cutoff_date"),
-            {
-                **browse, "user_favorite_all": count(FAVORITE), "user_cart_all": count(CART), "user_buy_all": count(BUY),
-                "user_conversion_browse_buy": ratio(BUY, BROWSE), "user_conversion_cart_buy": ratio(BUY, CART), "user_since_last_hour": recency(), **peaks("user"),
-                "user_morning_fraction": fraction(MORNING), "user_afternoon_fraction": fraction(AFTERNOON), "user_night_fraction": fraction(NIGHT),
-                "user_hour_entropy": entropy(), **{f"user_action_{h}": count(hour=h) for h in range(24)},
-            },
-            {**peak_ranges("user"), "user_morning_fraction": (0, 1), "user_afternoon_fraction": (0, 1), "user_night_fraction": (0, 1), "user_hour_entropy": (0, math.log2(24))},
-            {
-                "browse_nested": "user_browse_1d <= user_browse_7d AND user_browse_7d <= user_browse_all",
-                "fractions_sum_to_1": "abs(user_morning_fraction + user_afternoon_fraction + user_night_fraction - 1) <= 1e-8",
-                "no_buy_no_peak": "(user_buy_all = 0) = (user_buy_peak_hour = -1)",
-            },
-        ),
-        Spec(
-            "feat_item", ("item_id", "cutoff_date"),
-            {
-                "item_category": F.min("item_category"), "item_browse_all": count(BROWSE), "item_favorite_all": count(FAVORITE), "item_cart_all": count(CART), "item_buy_all": count(BUY),
-                "item_distinct_user": distinct("user_id"), "item_conversion_browse_buy": ratio(BUY, BROWSE), "item_is_cold": (count(BUY) == 0).cast("bigint"), **peaks("item"),
-            },
-            {**peak_ranges("item"), "item_is_cold": (0, 1)},
-            {"cold_without_buys": "(item_buy_all = 0) = (item_is_cold = 1)", "cold_without_peak": "(item_is_cold = 1) = (item_buy_peak_hour = -1)"},
-        ),
-        Spec(
-            "feat_category", ("item_category", "cutoff_date"),
-            {"category_browse_all": count(BROWSE), "category_buy_all": count(BUY), "category_distinct_item": distinct("item_id"), "category_conversion_browse_buy": ratio(BUY, BROWSE)},
-            {}, {"conversion_not_negative": "category_conversion_browse_buy >= 0"},
-        ),
-        Spec(
-            "feat_user_item", ("user_id", "item_id", "cutoff_date"),
-            {
-                **pair_browse, "user_item_browse_distinct_hour": distinct("time", BROWSE), "user_item_cart_all": count(CART),
-                "user_item_cart_not_buy": ((count(CART) > 0) & (count(BUY) == 0)).cast("bigint"), "user_item_buy_all": count(BUY), "user_item_is_favorited": (count(FAVORITE) > 0).cast("bigint"),
-                "user_item_last_behavior": last_behavior(), "user_item_since_last_hour": recency(),
-                "user_item_is_user_peak_hour": F.max((F.hour("time") == F.col("user_peak_hour")).cast("bigint")), "user_item_is_item_peak_hour": F.max((F.hour("time") == F.col("item_peak_hour")).cast("bigint")),
-            },
-            {"user_item_cart_not_buy": (0, 1), "user_item_is_favorited": (0, 1), "user_item_last_behavior": (1, 4), "user_item_is_user_peak_hour": (0, 1), "user_item_is_item_peak_hour": (0, 1)},
-            {
-                "browse_nested": "user_item_browse_1d <= user_item_browse_7d AND user_item_browse_7d <= user_item_browse_all",
-                "cart_not_buy": "(user_item_cart_not_buy = 1) = (user_item_cart_all > 0 AND user_item_buy_all = 0)",
-                "hours_within_browse": "user_item_browse_distinct_hour <= user_item_browse_all",
-            },
-        ),
-        Spec("feat_user_category", ("user_id", "item_category", "cutoff_date"), {"user_category_browse_all": count(BROWSE), "user_category_buy_all": count(BUY)}),
-    ]
-    return {s.name: s for s in found}
-
-
-def structural_checks(frame: DataFrame, spec: Spec, days: int) -> DataFrame:
-    """One row: columns missing or extra, repeated keys, nulls, days absent, values out of range, broken invariants."""
-    missing = [c for c in spec.columns if c not in frame.columns]
-    extra = [c for c in frame.columns if c not in spec.columns]
-    null = F.lit(False)
-    for c in frame.columns:
-        null = null | F.col(c).isNull()
-    out = F.lit(False)
-    for c, (lo, hi) in spec.ranges.items():
-        if c in frame.columns:
-            out = out | (F.col(c) < lo) | (F.col(c) > hi)
-    broken = [F.count_if(~F.expr(e)).alias(f"broken_{n}") for n, e in spec.invariants.items() if not missing]
-    facts = frame.agg(F.count("*").alias("n_rows"), F.count_if(null).alias("null_rows"), F.count_if(out).alias("out_of_range_rows"), F.countDistinct("cutoff_date").alias("_days"), *broken)
-    keys = frame.groupBy(*spec.keys).agg(F.count("*").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("repeated_keys"))
-    facts = facts.withColumn("_one", F.lit(1)).join(F.broadcast(keys.withColumn("_one", F.lit(1))), "_one")
-    return facts.select(
-        F.lit(spec.name).alias("table_name"), "n_rows", F.lit(len(missing)).cast("bigint").alias("missing_columns"), F.lit(len(extra)).cast("bigint").alias("unexpected_columns"),
-        "repeated_keys", "null_rows", (F.lit(days) - F.col("_days")).cast("bigint").alias("absent_days"), "out_of_range_rows", *[f"broken_{n}" for n in spec.invariants if not missing],
+def structure(frame: DataFrame, name: str, days: int) -> DataFrame:
+    """One row: columns missing or unexpected, repeated keys, nulls, days absent, values out of range, broken conditions."""
+    table = TABLES[name]
+    want, have = {*table["key"], *table["columns"]}, set(frame.columns)
+    whole = want <= have
+    count = lambda condition: F.count_if(F.expr(condition))
+    # One row a key first: repeats, nulls and the rest are then sums over keys.
+    each = frame.groupBy(*table["key"]).agg(
+        F.count("*").alias("rows"), count(any_null(frame.columns)).alias("nulls"), count(out_of_range(name) if whole else "1 = 0").alias("outside"),
+        *[count(f"NOT ({e})").alias(f"broken_{n}") for n, e in table["holds"].items() if whole],
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return each.agg(
+        F.lit(name).alias("table_name"), total("rows").alias("n_rows"),
+        F.lit(len(want - have)).cast("bigint").alias("missing_columns"), F.lit(len(have - want)).cast("bigint").alias("unexpected_columns"),
+        F.count_if(F.col("rows") > 1).alias("repeated_keys"), total("nulls").alias("null_rows"),
+        (F.lit(days) - F.countDistinct("cutoff_date")).cast("bigint").alias("absent_days"), total("outside").alias("out_of_range_rows"),
+        *[total(c).alias(c) for c in each.columns if c.startswith("broken_")],
     )
 
 
-def recompute(log: DataFrame, spec: Spec, settings: Settings, keys: DataFrame) -> DataFrame:
+def recompute(log: DataFrame, name: str, settings: Settings, keys: DataFrame) -> DataFrame:
     """The table's features of ``keys`` by their second definitions, from the log's rows."""
+    table = TABLES[name]
     rows = by_day(log.where(F.col("time").isNotNull()).withColumn("day", F.to_date("time")), settings.prediction_days, earlier)
-    if "user_item_is_user_peak_hour" in spec.recipes:
-        for name, key in (("user", "user_id"), ("item", "item_id")):
-            rows = rows.join(rows.groupBy(key, "cutoff_date").agg(peak_hour().alias(f"{name}_peak_hour")), [key, "cutoff_date"])
-    rows = rows.join(keys.select(*spec.keys).distinct(), list(spec.keys), "left_semi")
-    return rows.groupBy(*spec.keys).agg(*[e.alias(n) for n, e in spec.recipes.items()])
-
-
-def reconcile(frame: DataFrame, log: DataFrame, spec: Spec, settings: Settings, tolerance: float = 1e-9) -> DataFrame:
-    """(column_name, n_keys, n_mismatches) over all keys of ``frame``; a key found on one side only differs in all."""
-    again = recompute(log, spec, settings, frame)
-    both = frame.alias("a").join(again.alias("b"), list(spec.keys), "full")
+    for peak, of in (("user_peak_hour", "user_id"), ("item_peak_hour", "item_id")):
+        if any(peak in d for d, _, _ in table["columns"].values() if "= " + peak in d):
+            rows = rows.join(rows.groupBy(of, "cutoff_date").agg(F.expr(PEAK.format("true")).alias(peak)), [of, "cutoff_date"])
+    rows = rows.join(keys.select(*table["key"]).distinct(), table["key"], "left_semi")
+    return rows.groupBy(*table["key"]).agg(*[F.expr(d).alias(c) for c, (d, _, _) in table["columns"].items()])
+
+
+def reconcile(frame: DataFrame, log: DataFrame, name: str, settings: Settings, keys: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """(column_name, n_keys, n_mismatches) over ``frame``, or its rows of ``keys``; a key found on one side only differs in all."""
+    table, log_ = TABLES[name], log
+    if keys is not None:
+        frame = frame.join(keys, table["key"], "left_semi")
+        of = [k for k in table["key"] if k != "cutoff_date"]
+        if len(of) == 1:  # a pair's flags need all rows of its user and its item
+            log_ = log.join(keys.select(*of).distinct(), of, "left_semi")
+    both = frame.alias("a").join(recompute(log_, name, settings, frame).alias("b"), table["key"], "full")
     kinds = dict(frame.dtypes)
 
     def differs(c: str) -> Column:
@@ -188,10 +67,8 @@ def reconcile(frame: DataFrame, log: DataFrame, spec: Spec, settings: Settings,
         near = F.abs(a - b) <= tolerance * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
         return ~F.coalesce(near, F.lit(False))
 
-    names = list(spec.recipes)
-    wide = both.agg(F.count("*").alias("_n"), *[F.count_if(differs(c)).alias(c) for c in names])
-    pairs = ", ".join(f"'{c}', {c}" for c in names)
-    return wide.selectExpr("_n AS n_keys", f"stack({len(names)}, {pairs}) AS (column_name, n_mismatches)").select("column_name", "n_keys", "n_mismatches")
+    wide = both.agg(F.count("*").alias("n_keys"), *[F.count_if(differs(c)).alias(c) for c in table["columns"]])
+    return wide.unpivot("n_keys", list(table["columns"]), "column_name", "n_mismatches").select("column_name", "n_keys", "n_mismatches")
 
 
 def key_sample(frame: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
