@@ -9,7 +9,7 @@ from tidemark.config import Settings, load_settings
 from tidemark.operators import explore as E
 from tidemark.operators import models as M
 from tidemark.operators import report
-from tidemark.operators.split import Fold, build_folds
+from tidemark.operators.split import validation_days
 from tidemark.plans import registry
 from tidemark.sources import behavior as B
 from tidemark.streaming import counts
@@ -29,28 +29,31 @@ def matrix(spark):
     return spark.createDataFrame(rows, "user_id string, item_id string, cutoff_date string, label bigint, item_category string, good double, noise double, user_item_cart_all bigint, user_item_browse_all bigint, user_item_cart_not_buy bigint, user_item_since_last_hour bigint").cache()
 
 
-FOLD = Fold(1, ("2024-01-18", "2024-01-19"), "2024-01-20", "before_sale")
+FOLD = {1: "2024-01-20"}
 
 
 def test_baselines(matrix):
-    found = {r.model: r for r in M.run_baselines(matrix, [FOLD], S).collect()}
+    found = {r.model: r for r in M.run_baselines(matrix, FOLD, S).collect()}
     assert found["logistic"].pr_auc == pytest.approx(1) and found["rule_cart_not_buy"].roc_auc == pytest.approx(1) and found["rule_browse"].roc_auc < 0.9
 
 
 def test_boosting_and_importances(matrix, spark):
-    sweep = M.run_sweep(matrix, [FOLD], [M.Candidate("five", 5), M.Candidate("full", None)], S, PARAMS, (1,))
+    sweep = M.run_sweep(matrix, M.fit_jobs(FOLD, (5, None), (1, 2)), S, PARAMS)
+    assert sweep.count() == 3  # every row is fitted with one seed
     rows = {r.config: r for r in sweep.collect()}
-    assert rows["five"].pr_auc == pytest.approx(1) and rows["full"].best_trees >= 1
+    means = {r.config: r for r in M.sweep_means(sweep, FOLD).collect()}
+    assert means["full"].pr_auc_weekend == pytest.approx(rows["full"].pr_auc) and means["full"].pr_auc_on_sale is None
+    assert rows["downsample_5"].pr_auc == pytest.approx(1) and rows["full"].best_trees >= 1
     assert M.best_config(sweep)[1] >= 1
-    _, metrics, importance = M.train_final(matrix.where("cutoff_date < '2024-01-21'"), matrix.where("cutoff_date = '2024-01-21'"), M.Candidate("five", 5), 2, PARAMS, 1)
+    _, metrics, importance = M.train_final(matrix.where("cutoff_date < '2024-01-21'"), matrix.where("cutoff_date = '2024-01-21'"), 5, 2, PARAMS, 1)
     assert metrics.first().roc_auc == pytest.approx(1) and importance.first().feature in ("good", "user_item_cart_not_buy")
-    top = M.permutation_importance(matrix.drop("user_item_cart_not_buy"), [FOLD], M.Candidate("five", 5), S, PARAMS, 2).first()
+    top = M.permutation_importance(matrix.drop("user_item_cart_not_buy"), FOLD, 5, S, PARAMS, 2).first()
     assert top.feature == "good" and top.importance_mean > 0.3
 
 
 def test_prefixes_add_up_to_the_model(matrix):
     names = M.feature_names(matrix)
-    model = M.boosted(matrix, names, PARAMS, 1.0, 1)
+    model = M.boosted(M.weighed(matrix, None, 1), names, PARAMS, 1)
     last = {r.user_id: r.score for r in M.prefix_scores(model, matrix.where("cutoff_date = '2024-01-20'"), names).where("trees = 3").collect()}
     whole = {r.user_id: r.rawPrediction[1] for r in model.transform(M._vectors(matrix.where("cutoff_date = '2024-01-20'"), names)).collect()}
     assert all(whole[u] == pytest.approx(2 * last[u] if abs(whole[u] - last[u]) > 1e-9 else last[u]) for u in whole)
@@ -60,21 +63,64 @@ def test_model_queries_take_all_candidates_seeds_and_folds(spark, monkeypatch):
     """What the queries hand to the learners, against the project's settings."""
     want, frame, seen = load_settings(Path(__file__).parents[1] / "conf/settings.yaml").models, spark.createDataFrame([("2024-01-30",)], "cutoff_date string"), {}
 
-    def sweep(tv, folds, candidates, settings, params, seeds, *rest):
-        seen["sweep"] = ([f.index for f in folds], [c.negative_ratio for c in candidates], list(seeds))
+    def sweep(tv, jobs, *rest):
+        seen["sweep"] = {(j["fold"], j["ratio"], j["seed"]) for j in jobs}
         return spark.createDataFrame([("downsample_20", 0.1, 3), ("full", 0.3, 2), ("full", 0.3, 2)], "config string, pr_auc double, best_trees int")
 
     monkeypatch.setattr(registry, "matrix", lambda spark, sf: frame)
     monkeypatch.setattr(M, "run_sweep", sweep)
-    monkeypatch.setattr(M, "train_final", lambda tv, test, c, trees, params, seed: seen.update(final=(c.negative_ratio, trees)) or (None, frame, frame))
+    monkeypatch.setattr(M, "train_final", lambda tv, test, ratio, trees, params, seed: seen.update(final=(ratio, trees)) or (None, frame, frame))
     for name in ("permutation_importance", "run_ablation"):
-        monkeypatch.setattr(M, name, lambda tv, folds, *rest, name=name: seen.update({name: len(folds)}) or frame)
+        monkeypatch.setattr(M, name, lambda tv, days, *rest, name=name: seen.update({name: len(days)}) or frame)
     for name in ("model_sweep", "model_final_test", "model_importances", "model_permutation", "model_ablation"):
         registry.queries()[name](spark, "")
-    assert seen["sweep"] == ([f.index for f in build_folds(S)], [*want["negative_ratios"], None], want["seeds"])
+    folds = validation_days(S)
+    assert seen["sweep"] == {(f, r, s) for f in folds for r in want["negative_ratios"] for s in want["seeds"]} | {(f, None, want["seeds"][0]) for f in folds} and len(seen["sweep"]) == 72
     assert seen["final"] == (None, 2) and seen["permutation_importance"] == seen["run_ablation"] == len(M.normal_folds(S)) == 7
 
 
+def test_ablation_drops_the_defined_columns(matrix, monkeypatch):
+    assert M.ablations(["user_cart_all", "user_item_cart_all", "user_item_cart_not_buy"])["no_cart"] == ("user_item_cart_all", "user_item_cart_not_buy")
+    seen = []
+    monkeypatch.setattr(M, "run_sweep", lambda tv, jobs, settings, params, patience, drop: seen.append(drop) or tv.sparkSession.createDataFrame([("a", 1, "before_sale", 0.5, 0.1, 0.2)], "config string, fold int, day_type string, pr_auc double, p_at_100 double, p_at_500 double"))
+    rows = M.ablation_rows(matrix, FOLD, 5, S, PARAMS).collect()
+    assert {r.ablation: r.n_features for r in rows} == {"full": 6, "no_cart": 4, "no_user_item_table": 2} and seen[1] == ("user_item_cart_all", "user_item_cart_not_buy")
+
+
+def test_permuted_values_are_the_days_own(matrix, monkeypatch):
+    monkeypatch.setattr(M, "PERMUTED", 25)  # several blocks
+    val = matrix.where("cutoff_date = '2024-01-20'")
+    rows = M.permuted(val, ["good", "noise"], 2, 1).collect()
+    own = sorted(r.good for r in val.collect())
+    assert len(rows) == 60 * 2 * 2
+    for rep in range(2):
+        mine = [r for r in rows if r.rep == rep]
+        assert sorted(r.good for r in mine if r.feature == "good") == own
+        assert sum(r.good == s.good for r, s in zip(sorted((r for r in mine if r.feature == "good"), key=lambda r: r.user_id), sorted(val.collect(), key=lambda r: r.user_id), strict=True)) < 20
+
+
+def test_logistic_is_newtons(matrix):
+    """Against Newton steps on the same weighted, scaled problem."""
+    import numpy as np
+
+    train, val = matrix.where("cutoff_date < '2024-01-20'"), matrix.where("cutoff_date = '2024-01-20'")
+    names = ["noise", "user_item_browse_all", "user_item_since_last_hour"]
+    drop = [c for c in matrix.columns if c not in (*M.KEYS, *names)]
+    got = {r.user_id: r.score for r in M.logistic_scores(train.drop(*drop), val.drop(*drop)).collect()}
+    a = train.toPandas()
+    x, y = a[names].to_numpy(float), a["label"].to_numpy(float)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    x = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    b, ridge = np.zeros(x.shape[1]), np.r_[np.ones(len(names)), 0]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ b))
+        b -= np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.diag(ridge), x.T @ (w * (p - y)) + ridge * b)
+    v = val.toPandas()
+    want = 1 / (1 + np.exp(-(np.c_[(v[names].to_numpy(float) - mean) / scale, np.ones(len(v))] @ b)))
+    assert max(abs(got[u] - p) for u, p in zip(v["user_id"], want, strict=True)) < 1e-3
+
+
 def test_text_columns_are_refused(matrix):
     with pytest.raises(TypeError, match="extra"):
         M.feature_names(matrix.selectExpr("*", "'x' AS extra"))

@@ -20,11 +20,12 @@ def sample(spark, pos, neg, day="2024-01-18"):
     return spark.createDataFrame([(f"u{i}", "i", day, int(i < pos)) for i in range(pos + neg)], SAMPLE)
 
 
-def test_folds():
-    folds = P.build_folds(S)
-    assert [f.val_day for f in folds] == [f"2024-01-{d}" for d in range(22, 30)]
-    assert all(max(f.train_days) < f.val_day and "2024-01-30" not in f.train_days for f in folds)
-    assert [f.val_day_type for f in folds].count("on_sale") == 1
+def test_folds(spark):
+    days = P.validation_days(S)
+    assert days == {i: f"2024-01-{21 + i}" for i in range(1, 9)} and len(P.validation_days(S, ("before_sale", "after_sale"))) == 7
+    rows = [tuple(r) for r in P.folds_frame(spark, S).collect()]
+    assert all((d < days[f]) == (role == "train") and d <= days[f] and d != "2024-01-30" and kind == P.kind_of_day(days[f], S) for f, d, role, kind in rows)
+    assert len(rows) == sum(len([d for d in S.trainval_days if d <= v]) for v in days.values()) and {k for *_, k in rows} == {"before_sale", "on_sale", "after_sale"}
 
 
 @pytest.mark.parametrize("pos,neg,ratio,want", [(3, 100, 5, 18), (3, 4, 5, 7), (0, 9, 5, 9), (2, 0, 5, 2)])
@@ -35,6 +36,21 @@ def test_downsampling_is_exact_and_repeatable(spark, pos, neg, ratio, want):
     assert {f"u{i}" for i in range(pos)} <= once
 
 
+def test_downsampling_ranks_one_bucket(spark):
+    """By group, against sorting all digests."""
+    import hashlib
+
+    rows = [(f"u{i}", "i", "2024-01-18", int(i % 50 == 0 and g < 2), g) for g in range(3) for i in range(4000)]
+    df = spark.createDataFrame(rows, f"{SAMPLE}, g int")
+    found = {(r.g, r.user_id) for r in P.downsample(df, 7, 3, ["g"]).collect()}
+    for g in range(3):
+        own = [r for r in rows if r[4] == g]
+        pos = sum(r[3] for r in own)
+        neg = sorted((hashlib.md5(f"{u}|i|2024-01-18|{g}|3".encode()).hexdigest(), u) for u, *_, y, _ in own if not y)
+        assert {u for h, u in found if h == g} == {r[0] for r in own if r[3]} | {u for _, u in (neg[: 7 * pos] if pos else neg)}
+    assert "hashpartitioning(user_id" not in P.downsample(df, 7, 3, ["g"])._jdf.queryExecution().executedPlan().toString()
+
+
 def areas(pairs):
     pos = [s for s, y in pairs if y]
     neg = [s for s, y in pairs if not y]

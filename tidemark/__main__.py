@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import Settings, load_settings
 from tidemark.operators import assemble, features, labels, models, report, split, validate
+from tidemark.operators.feature_tables import TABLES
 from tidemark.sources import behavior, store
 
 BUILDERS = {
@@ -50,56 +51,60 @@ class Project:
             days = tuple(store.missing_days(self.spark, self.path(name), all_days)) if resume else all_days
             if days:
                 store.write_days(make(log, replace(self.settings, prediction_days=days)), self.path(name))
-        keys = validate.specs()
         order = ("feat_item", "feat_user", "feat_user_item", "feat_category", "feat_user_category")
-        matrix = assemble.assemble(log, self.settings, self.days("sample"), [(self.days(n), list(keys[n].keys)) for n in order])
+        matrix = assemble.assemble(log, self.settings, self.days("sample"), [(self.days(n), TABLES[n]["key"]) for n in order])
         store.write_days(matrix, self.path("assembled"))
         labels.sample_summary(self.days("sample")).orderBy("cutoff_date").show(100, False)
 
     def validate(self) -> bool:
         """Whether structure and all values hold, day counts of the sample included."""
         good, log = True, self.log()
-        for name, spec in validate.specs().items():
+        for name in TABLES:
             frame = self.days(name)
-            facts = validate.structural_checks(frame, spec, len(self.settings.prediction_days)).first().asDict()
+            facts = validate.structure(frame, name, len(self.settings.prediction_days)).first().asDict()
             wrong = {k: v for k, v in facts.items() if k not in ("table_name", "n_rows") and v}
-            wrong |= {r.column_name: r.n_mismatches for r in validate.reconcile(frame, log, spec, self.settings).where("n_mismatches > 0").collect()}
+            wrong |= {r.column_name: r.n_mismatches for r in validate.reconcile(frame, log, name, self.settings).where("n_mismatches > 0").collect()}
             good &= not wrong
             print(f"{name}: {facts['n_rows']:,} rows, {wrong or 'as defined'}")
         for r in labels.sample_checks(log, self.days("sample"), self.settings).collect():
             good &= not any(v for k, v in r.asDict().items() if k != "cutoff_date")
         return good
 
-    def folds(self) -> tuple[DataFrame, DataFrame, list[split.Fold]]:
-        test, trainval = split.split(self.days("assembled"), self.settings)
-        return test, trainval, split.build_folds(self.settings)
+    def parts(self) -> tuple[DataFrame, DataFrame]:
+        return split.split(self.days("assembled"), self.settings)
 
     def split(self) -> None:
-        _, trainval, folds = self.folds()
-        store.write_json(split.fold_records(trainval, folds, self.settings.negative_ratio), self.path("fold_spec.json"))
+        store.write_json(split.fold_records(self.parts()[1], self.settings, self.settings.negative_ratio), self.path("fold_spec.json"))
 
     def baselines(self) -> None:
-        _, trainval, folds = self.folds()
-        store.write_csv(models.run_baselines(trainval.persist(), folds, self.settings), self.path("baselines"))
+        trainval = self.parts()[1].persist()
+        store.write_csv(models.run_baselines(trainval, split.validation_days(self.settings), self.settings), self.path("baselines"))
+        trainval.unpersist()
 
     def sweep(self) -> None:
-        test, trainval, folds = self.folds()
-        m = self.settings.models
-        candidates = [models.Candidate(f"downsample_{r}", r) for r in m["negative_ratios"]] + ([models.Candidate("full", None)] if m.get("include_full") else [])
-        found = models.run_sweep(trainval.persist(), folds, candidates, self.settings, m["params"], tuple(m["seeds"]), m["patience"]).persist()
+        test, trainval = self.parts()
+        trainval.persist()
+        m, days = self.settings.models, split.validation_days(self.settings)
+        ratios = (*m["negative_ratios"], *([None] if m.get("include_full") else []))
+        found = models.run_sweep(trainval, models.fit_jobs(days, ratios, tuple(m["seeds"])), self.settings, m["params"], m["patience"]).persist()
         store.write_csv(found, self.path("sweep"))
+        store.write_csv(models.sweep_means(found, days), self.path("sweep_means"))
         name, trees = models.best_config(found)
-        best = next(c for c in candidates if c.name == name)
-        model, metrics, importances = models.train_final(trainval, test, best, trees, m["params"], m["seeds"][0])
+        ratio = next(r for r in ratios if models.set_up(r) == name)
+        model, metrics, importances = models.train_final(trainval, test, ratio, trees, m["params"], m["seeds"][0])
         model.write().overwrite().save(self.path("model"))
         store.write_csv(importances, self.path("importances"))
         metrics.show(truncate=False)
+        trainval.unpersist()
 
     def importance(self) -> None:
-        _, trainval, _ = self.folds()
-        folds, best, params = models.normal_folds(self.settings), models.Candidate("downsample_20", 20), self.settings.models["params"]
-        store.write_csv(models.permutation_importance(trainval.persist(), folds, best, self.settings, params), self.path("permutation"))
-        store.write_csv(models.run_ablation(trainval, folds, best, self.settings, params), self.path("ablation"))
+        trainval = self.parts()[1].persist()
+        days, params = models.normal_folds(self.settings), self.settings.models["params"]
+        store.write_csv(models.permutation_importance(trainval, days, 20, self.settings, params), self.path("permutation"))
+        rows = models.ablation_rows(trainval, days, 20, self.settings, params).persist()
+        store.write_csv(rows, self.path("ablation_folds"))
+        store.write_csv(models.ablation_summary(rows), self.path("ablation"))
+        trainval.unpersist()
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -7,30 +7,27 @@ the best is kept; importances are Spark's (impurity decrease), not gain per spli
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from datetime import date
+from itertools import product
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.config import Settings
 from tidemark.operators import metrics as M
 from tidemark.operators.labels import PAIR
-from tidemark.operators.split import Fold, build_folds, downsample
+from tidemark.operators.split import downsample, kind_of_day, validation_days
 
 KEYS = (*PAIR, "cutoff_date", "label", "item_category")
-CART = ("user_cart_all", "user_conversion_cart_buy", "item_cart_all", "user_item_cart_all", "user_item_cart_not_buy")
+#: What the ablation named ``no_cart`` leaves out.
+CART = ("user_item_cart_all", "user_item_cart_not_buy")
 NUMERIC = ("bigint", "int", "double", "float")
-
-
-@dataclass(frozen=True)
-class Candidate:
-    """One training set-up; no ratio: every row, positives weighted."""
-
-    name: str
-    negative_ratio: int | None
+#: Rows of a block within which values are permuted.
+PERMUTED = 100_000
 
 
 def feature_names(frame: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
@@ -41,17 +38,31 @@ def feature_names(frame: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
     return list(kinds)
 
 
-def fold_rows(trainval: DataFrame, fold: Fold, ratio: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(training rows, validation rows at their natural rate)."""
-    train = trainval.where(F.col("cutoff_date").isin(*fold.train_days))
-    return downsample(train, ratio, seed) if ratio else train, trainval.where(F.col("cutoff_date") == fold.val_day)
+def set_up(ratio: int | None) -> str:
+    """The name of a training set-up: negatives reduced to a ratio, or every row."""
+    return f"downsample_{ratio}" if ratio else "full"
+
+
+def fit_jobs(days: dict[int, str], ratios: tuple[int | None, ...], seeds: tuple[int, ...]) -> list[dict]:
+    """One record per fit. Every row (no ratio) is drawn by no seed, so it is fitted with the first alone."""
+    return [{"config": set_up(r), "ratio": r, "seed": s, "fold": k, "day": d} for r, s, (k, d) in product(ratios, seeds, days.items()) if r or s == seeds[0]]
 
 
-def positive_weight(train: DataFrame, ratio: int | None) -> float:
+def weighed(rows: DataFrame, ratio: int | None, seed: int) -> DataFrame:
+    """Rows to fit with their weights ``w``: negatives reduced, or positives weighing as much as the negatives."""
     if ratio:
-        return 1.0
-    pos, n = train.agg(F.count_if(F.col("label") == 1), F.count("*")).first()
-    return (n - pos) / max(pos, 1)
+        return downsample(rows, ratio, seed).withColumn("w", F.lit(1.0))
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    return rows.withColumn("w", F.when(F.col("label") == 1, F.lit(n.get(0, 0) / max(n.get(1, 0), 1))).otherwise(F.lit(1.0)))
+
+
+def before(trainval: DataFrame, day: str) -> DataFrame:
+    return trainval.where(F.col("cutoff_date") < day)
+
+
+def on(trainval: DataFrame, day: str) -> DataFrame:
+    """A fold's validation rows, at their natural rate."""
+    return trainval.where(F.col("cutoff_date") == day)
 
 
 def _vectors(frame: DataFrame, names: list[str]) -> DataFrame:
@@ -77,25 +88,25 @@ def logistic_scores(train: DataFrame, val: DataFrame) -> DataFrame:
     return scored.select("cutoff_date", *PAIR, "label", vector_to_array("probability")[1].alias("score"))
 
 
-def run_baselines(trainval: DataFrame, folds: list[Fold], settings: Settings) -> DataFrame:
+def run_baselines(trainval: DataFrame, days: dict[int, str], settings: Settings) -> DataFrame:
     """Metrics of the rules and of logistic regression on each fold."""
     out = None
-    for f in folds:
-        train, val = fold_rows(trainval, f, settings.negative_ratio, settings.seed + f.index)
-        rules = M.rule_scores(val, "cutoff_date")
-        logistic = logistic_scores(train, val).withColumn("model", F.lit("logistic"))
-        scored = rules.unionByName(logistic).withColumns({"fold": F.lit(f.index), "day_type": F.lit(f.val_day_type)})
+    for k, day in days.items():
+        val = on(trainval, day)
+        fitted = logistic_scores(downsample(before(trainval, day), settings.negative_ratio, settings.seed + k), val)
+        scored = M.rule_scores(val, "cutoff_date").unionByName(fitted.withColumn("model", F.lit("logistic")))
+        scored = scored.withColumns({"fold": F.lit(k), "day_type": F.lit(kind_of_day(day, settings))})
         out = scored if out is None else out.unionByName(scored)
     return M.evaluate(out.persist(), ["fold", "day_type", "model"])  # scored once, read by each metric
 
 
-def boosted(train: DataFrame, names: list[str], params: dict, weight: float, seed: int) -> GBTClassificationModel:
+def boosted(rows: DataFrame, names: list[str], params: dict, seed: int) -> GBTClassificationModel:
+    """Fitted on rows with their weights ``w``."""
     learner = GBTClassifier(
         labelCol="label", featuresCol="features", weightCol="w", maxDepth=params["depth"], stepSize=params["rate"], maxIter=params["trees"],
         subsamplingRate=params["rows"], featureSubsetStrategy=str(params["columns"]), minInstancesPerNode=params["min_rows"], seed=seed,
     )
-    rows = _vectors(train, names).select("features", F.col("label").cast("double"), F.when(F.col("label") == 1, weight).otherwise(1.0).alias("w"))
-    return learner.fit(rows)
+    return learner.fit(_vectors(rows, names).select("features", F.col("label").cast("double"), "w"))
 
 
 def prefix_scores(model: GBTClassificationModel, val: DataFrame, names: list[str]) -> DataFrame:
@@ -122,37 +133,43 @@ def best_prefix(model: GBTClassificationModel, val: DataFrame, names: list[str],
     return at
 
 
-def run_sweep(trainval: DataFrame, folds: list[Fold], candidates: list[Candidate], settings: Settings, params: dict, seeds: tuple[int, ...], patience: int = 30, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Metrics by candidate, seed and fold, with the trees kept; full data takes the first seed only."""
+def run_sweep(trainval: DataFrame, jobs: list[dict], settings: Settings, params: dict, patience: int = 30, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of each job with the trees kept; a job's rows are those before its day, scored on the day."""
     spark, out, kept = trainval.sparkSession, None, []
     names = feature_names(trainval, drop)
-    for c in candidates:
-        for seed in seeds if c.negative_ratio else seeds[:1]:
-            for f in folds:
-                train, val = fold_rows(trainval, f, c.negative_ratio, seed + f.index)
-                model = boosted(train, names, params, positive_weight(train, c.negative_ratio), seed)
-                trees = best_prefix(model, val, names, patience)
-                kept.append((c.name, seed, f.index, trees))
-                scored = prefix_scores(model, val, names).where(F.col("trees") == trees).drop("trees")
-                scored = scored.withColumns({"config": F.lit(c.name), "seed": F.lit(seed), "fold": F.lit(f.index), "day_type": F.lit(f.val_day_type)})
-                out = scored if out is None else out.unionByName(scored)
+    for job in jobs:
+        rows, val = weighed(before(trainval, job["day"]), job["ratio"], job["seed"] + job["fold"]), on(trainval, job["day"])
+        model = boosted(rows, names, params, job["seed"])
+        trees = best_prefix(model, val, names, patience)
+        kept.append((job["config"], job["seed"], job["fold"], trees))
+        scored = prefix_scores(model, val, names).where(F.col("trees") == trees).drop("trees")
+        scored = scored.withColumns({**{c: F.lit(job[c]) for c in ("config", "seed", "fold")}, "day_type": F.lit(kind_of_day(job["day"], settings))})
+        out = scored if out is None else out.unionByName(scored)
     by = ["config", "seed", "fold"]
     trees = spark.createDataFrame(kept, "config string, seed int, fold int, best_trees int")
     return M.evaluate(out.persist(), [*by, "day_type"]).join(trees, by)
 
 
+def sweep_means(sweep: DataFrame, days: dict[int, str]) -> DataFrame:
+    """Mean average precision by set-up: over all folds, by kind of day, and over weekends."""
+    weekend = [k for k, d in days.items() if date.fromisoformat(d).weekday() >= 5]
+    known = sweep.where(~F.isnan("pr_auc"))
+    part = lambda c: F.avg(F.when(c, F.col("pr_auc")))
+    kinds = {f"pr_auc_{k}": part(F.col("day_type") == k) for k in ("before_sale", "on_sale", "after_sale")}
+    return known.groupBy("config").agg(F.avg("pr_auc").alias("pr_auc"), *[c.alias(n) for n, c in kinds.items()], part(F.col("fold").isin(*weekend)).alias("pr_auc_weekend"), F.median("best_trees").alias("best_trees"))
+
+
 def best_config(sweep: DataFrame) -> tuple[str, int]:
-    """The candidate of the best mean average precision, and the median of its trees."""
+    """The set-up of the best mean average precision, and the median of its trees."""
     means = sweep.where(~F.isnan("pr_auc")).groupBy("config").agg(F.avg("pr_auc").alias("m"), F.median("best_trees").alias("t"))
     row = means.orderBy(F.desc("m"), "config").first()
     return row["config"], int(row["t"])
 
 
-def train_final(trainval: DataFrame, test: DataFrame, candidate: Candidate, trees: int, params: dict, seed: int) -> tuple[GBTClassificationModel, DataFrame, DataFrame]:
+def train_final(trainval: DataFrame, test: DataFrame, ratio: int | None, trees: int, params: dict, seed: int) -> tuple[GBTClassificationModel, DataFrame, DataFrame]:
     """(model, test metrics, importances), fitted on all of trainval and evaluated once."""
     names = feature_names(trainval)
-    train = downsample(trainval, candidate.negative_ratio, seed) if candidate.negative_ratio else trainval
-    model = boosted(train, names, params | {"trees": trees}, positive_weight(train, candidate.negative_ratio), seed)
+    model = boosted(weighed(trainval, ratio, seed), names, params | {"trees": trees}, seed)
     scored = prefix_scores(model, test, names).where(F.col("trees") == trees)
     return model, M.evaluate(scored, ["trees"]), importances(trainval.sparkSession, model, names)
 
@@ -164,29 +181,30 @@ def importances(spark: SparkSession, model: GBTClassificationModel, names: list[
 def permuted(val: DataFrame, names: list[str], repeats: int, seed: int) -> DataFrame:
     """The rows once per feature and repeat, that feature's values in the order of a keyed hash.
 
-    One join per call brings every row the values of another row: ranks by key and by hash meet.
+    Rows are dealt at random into blocks of some ``PERMUTED``, anew for each repeat, and change values
+    within them: ranks by key and by hash meet, and no task holds a whole day.
     """
-    from pyspark.sql import Window as W
-
-    key = ["cutoff_date", *PAIR]
-    times = val.crossJoin(F.broadcast(val.sparkSession.range(repeats).withColumnRenamed("id", "rep")))  # repeats rows
-    own = times.withColumn("_r", F.row_number().over(W.partitionBy("cutoff_date", "rep").orderBy(*PAIR)))
-    other = times.withColumn("_r", F.row_number().over(W.partitionBy("cutoff_date", "rep").orderBy(F.xxhash64(*key, "rep", F.lit(seed)), *PAIR)))
-    other = other.select("cutoff_date", "rep", "_r", *[F.col(n).cast("double").alias(f"_o_{n}") for n in names])
-    both = own.join(other, ["cutoff_date", "rep", "_r"]).withColumn("feature", F.explode(F.array(*map(F.lit, names))))
+    key, place = ["cutoff_date", *PAIR], ["cutoff_date", "rep", "_block"]
+    blocks = max(1, -(-val.count() // PERMUTED))
+    times = val.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)).cast("array<bigint>")))
+    times = times.withColumn("_block", F.pmod(F.xxhash64(*key, "rep", F.lit(seed + 1)), F.lit(blocks)))
+    own = times.withColumn("_r", F.row_number().over(W.partitionBy(*place).orderBy(*PAIR)))
+    other = times.withColumn("_r", F.row_number().over(W.partitionBy(*place).orderBy(F.xxhash64(*key, "rep", F.lit(seed)), *PAIR)))
+    other = other.select(*place, "_r", *[F.col(n).cast("double").alias(f"_o_{n}") for n in names])
+    both = own.join(other, [*place, "_r"]).withColumn("feature", F.explode(F.array(*map(F.lit, names))))
     return both.select(*key, "label", "rep", "feature", *[F.when(F.col("feature") == n, F.col(f"_o_{n}")).otherwise(F.col(n).cast("double")).alias(n) for n in names])
 
 
-def permutation_importance(trainval: DataFrame, folds: list[Fold], candidate: Candidate, settings: Settings, params: dict, repeats: int = 5) -> DataFrame:
+def permutation_importance(trainval: DataFrame, days: dict[int, str], ratio: int, settings: Settings, params: dict, repeats: int = 5) -> DataFrame:
     """Mean and deviation over folds of the average precision that shuffling a feature costs."""
     names, out = feature_names(trainval), None
-    for f in folds:
-        train, val = fold_rows(trainval, f, candidate.negative_ratio, settings.seed + f.index)
-        model = boosted(train, names, params, positive_weight(train, candidate.negative_ratio), settings.seed)
+    for k, day in days.items():
+        val = on(trainval, day)
+        model = boosted(weighed(before(trainval, day), ratio, settings.seed + k), names, params, settings.seed)
         whole = vector_to_array("probability")[1]
-        base = M.curve_areas(model.transform(_vectors(val, names)).select("label", whole.alias("score"), F.lit(f.index).alias("fold")), ["fold"])
+        base = M.curve_areas(model.transform(_vectors(val, names)).select("label", whole.alias("score"), F.lit(k).alias("fold")), ["fold"])
         shuffled = model.transform(_vectors(permuted(val, names, repeats, settings.seed), names)).select("label", "feature", "rep", whole.alias("score"))
-        drop = M.curve_areas(shuffled, ["feature", "rep"]).groupBy("feature").agg(F.avg("pr_auc").alias("a")).withColumn("fold", F.lit(f.index)).join(base.select("fold", "pr_auc"), "fold")
+        drop = M.curve_areas(shuffled, ["feature", "rep"]).groupBy("feature").agg(F.avg("pr_auc").alias("a")).withColumn("fold", F.lit(k)).join(base.select("fold", "pr_auc"), "fold")
         drop = drop.select("feature", "fold", (F.col("pr_auc") - F.col("a")).alias("d"))
         out = drop if out is None else out.unionByName(drop)
     return out.where(~F.isnan("d")).groupBy("feature").agg(F.avg("d").alias("importance_mean"), F.stddev_samp("d").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
@@ -196,24 +214,29 @@ def ablations(names: list[str]) -> dict[str, tuple[str, ...]]:
     return {"full": (), "no_cart": CART, "no_user_item_table": tuple(n for n in names if n.startswith("user_item_"))}
 
 
-def run_ablation(trainval: DataFrame, folds: list[Fold], candidate: Candidate, settings: Settings, params: dict) -> DataFrame:
-    """Mean, sample deviation and loss against all features, by group of features left out."""
-    names, out = feature_names(trainval), None
+def ablation_rows(trainval: DataFrame, days: dict[int, str], ratio: int, settings: Settings, params: dict) -> DataFrame:
+    """Metrics of each fold, by group of features left out."""
+    names, jobs, out = feature_names(trainval), fit_jobs(days, (ratio,), (settings.seed,)), None
     for name, drop in ablations(names).items():
-        rows = run_sweep(trainval, folds, [candidate], settings, params, (settings.seed,), params["trees"], drop)
-        rows = rows.select(F.lit(name).alias("ablation"), F.lit(len(names) - len(drop)).alias("n_features"), "fold", "pr_auc", "p_at_100")
+        rows = run_sweep(trainval, jobs, settings, params, params["trees"], tuple(d for d in drop if d in names))
+        rows = rows.select(F.lit(name).alias("ablation"), F.lit(len(set(names) - set(drop))).alias("n_features"), "fold", "day_type", "pr_auc", "p_at_100", "p_at_500")
         out = rows if out is None else out.unionByName(rows)
-    return ablation_summary(out)
+    return out
+
+
+def run_ablation(trainval: DataFrame, days: dict[int, str], ratio: int, settings: Settings, params: dict) -> DataFrame:
+    """Mean, sample deviation and loss against all features, by group of features left out."""
+    return ablation_summary(ablation_rows(trainval, days, ratio, settings, params))
 
 
 def ablation_summary(rows: DataFrame) -> DataFrame:
     known = rows.where(~F.isnan("pr_auc"))
-    means = known.groupBy("ablation").agg(F.first("n_features").alias("n_features"), F.avg("pr_auc").alias("pr_auc_mean"), F.stddev_samp("pr_auc").alias("pr_auc_std"), F.avg("p_at_100").alias("p_at_100_mean"))
+    means = known.groupBy("ablation").agg(F.first("n_features").alias("n_features"), F.avg("pr_auc").alias("pr_auc_mean"), F.stddev_samp("pr_auc").alias("pr_auc_std"), F.avg("p_at_100").alias("p_at_100_mean"), F.avg("p_at_500").alias("p_at_500_mean"))
     full = means.where("ablation = 'full'").select(F.col("pr_auc_mean").alias("_full"), F.lit(1).alias("_one"))
     both = means.withColumn("_one", F.lit(1)).join(F.broadcast(full), "_one")
     loss = F.col("_full") - F.col("pr_auc_mean")
-    return both.select("ablation", "n_features", "pr_auc_mean", "pr_auc_std", "p_at_100_mean", loss.alias("drop_vs_full"), (100 * F.try_divide(loss, F.col("_full"))).alias("pct_drop"))
+    return both.select("ablation", "n_features", "pr_auc_mean", "pr_auc_std", "p_at_100_mean", "p_at_500_mean", loss.alias("drop_vs_full"), (100 * F.try_divide(loss, F.col("_full"))).alias("pct_drop"))
 
 
-def normal_folds(settings: Settings) -> list[Fold]:
-    return [f for f in build_folds(settings) if f.val_day_type != "on_sale"]
+def normal_folds(settings: Settings) -> dict[int, str]:
+    return validation_days(settings, ("before_sale", "after_sale"))
