@@ -8,7 +8,7 @@ import pytest
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["time_range", "activity_percentiles", "orders_daily", "sample_labels", "spot_check_history", "user_counts", "user_item_peak_flags", "feat_item", "assemble", "fold_spec", "downsampled_train", "rule_pr_auc", "rule_roc_auc", "rule_precision_at_k"]
+SOME = ["time_range", "activity_percentiles", "orders_daily", "sample_labels", "spot_check_history", "user_counts", "user_item_peak_flags", "feat_item", "assemble", "fold_spec", "downsampled_train", "sample_checks", "sample_checks_planted", "structural_checks_planted", "structural_checks_feat_user_item", "reconcile_planted", "assembled_null_report", "candidate_recall", "rule_pr_auc", "rule_roc_auc", "rule_precision_at_k"]
 
 
 def test_names_match():

@@ -27,3 +27,9 @@ def test_counts_are_reduced_before_the_shuffle(spark):
 
 def test_candidate_pruning_is_a_semi_join(spark):
     assert "LeftSemi" in plan(spark, "feat_item") and "LeftSemi" in plan(spark, "feat_user_item")
+
+
+@pytest.mark.parametrize("name", ["sample_labels", "candidate_recall", "downsampled_train"])
+def test_samples_read_only_their_days(spark, name):
+    text = plan(spark, name)
+    assert "GreaterThanOrEqual(ts,2024-01-15" in text and "LessThan(ts,2024-01-31" in text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,15 +33,22 @@ def recent(lookback: int):
     return lambda d, day: (day >= F.date_sub(d, lookback)) & (day < d)
 
 
+def within_reach(log: DataFrame, settings: Settings) -> DataFrame:
+    """Rows from the first lookback to the last day's end: all that samples read, by the stored time."""
+    first, last = min(settings.prediction_days), max(settings.prediction_days)
+    day = lambda d, n: F.lit(str(date.fromisoformat(d) + timedelta(n))).cast("timestamp_ntz")
+    return log.where((F.col("time") >= day(first, -settings.lookback_days)) & (F.col("time") < day(last, 1)))
+
+
 def candidates(log: DataFrame, settings: Settings, key: list[str] = PAIR) -> DataFrame:
     """Distinct keys active in the lookback before each day."""
-    days = log.select(*key, F.to_date("time").alias("day")).distinct()
+    days = within_reach(log, settings).select(*key, F.to_date("time").alias("day")).distinct()
     return by_day(days, settings.prediction_days, recent(settings.lookback_days)).select(*key, "cutoff_date").distinct()
 
 
 def positives(log: DataFrame, settings: Settings) -> DataFrame:
     """Distinct pairs bought on each day."""
-    bought = log.where(F.col("behavior_type") == BUY).select(*PAIR, F.date_format("time", "yyyy-MM-dd").alias("cutoff_date"))
+    bought = within_reach(log, settings).where(F.col("behavior_type") == BUY).select(*PAIR, F.date_format("time", "yyyy-MM-dd").alias("cutoff_date"))
     return bought.where(F.col("cutoff_date").isin(*settings.prediction_days)).distinct()
 
 
@@ -90,7 +99,7 @@ def spot_check_history(log: DataFrame, sample: DataFrame, settings: Settings, pa
     """The first actions, from the lookback to the day itself, of a few pairs of each label and day."""
     pick = W.partitionBy("cutoff_date", "label").orderBy(*PAIR)
     chosen = sample.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= pairs).drop("_r")
-    near = by_day(log.withColumn("day", F.to_date("time")), settings.prediction_days, lambda d, day: (day >= F.date_sub(d, settings.lookback_days)) & (day <= d))
+    near = by_day(within_reach(log, settings).withColumn("day", F.to_date("time")), settings.prediction_days, lambda d, day: (day >= F.date_sub(d, settings.lookback_days)) & (day <= d))
     joined = near.join(chosen, [*PAIR, "cutoff_date"])
     order = W.partitionBy("cutoff_date", *PAIR).orderBy("time", "behavior_type")
     return joined.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= rows).select("cutoff_date", "label", *PAIR, "rank", F.date_format("time", "yyyy-MM-dd HH").alias("hour"), "behavior_type")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.config import Settings
+from tidemark.operators.feature_tables import TABLES, any_null, out_of_range
 
 S = Settings()
 DAYS = ", ".join(f"(DATE '{d}')" for d in S.prediction_days)
@@ -111,16 +112,32 @@ def _some(table: str, *columns: str, tables: str | None = None) -> str:
     return _q(f"{BASE}, {tables or ALL_FEATS[table]}", f"SELECT {', '.join(columns)} FROM {table}")
 
 
-def _zeros(name: str, table: str, extra: list[str], n_days: int) -> str:
-    checks = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("missing_columns", "unexpected_columns", "repeated_keys", "null_rows"))
-    broken = "".join(f", CAST(count(*) FILTER (WHERE NOT ({e})) AS BIGINT) AS broken_{n}" for n, e in extra)
-    return _q(f"{BASE}, {ALL_FEATS[table]}", f"SELECT '{name}' AS table_name, count(*) AS n_rows, {checks}, CAST({n_days} - count(DISTINCT cutoff_date) AS BIGINT) AS absent_days, CAST(0 AS BIGINT) AS out_of_range_rows{broken} FROM {table}")
+def _structure(name: str, source: str) -> str:
+    """Every count of the structural checks, from the rows of ``source``."""
+    key, holds = ", ".join(TABLES[name]["key"]), TABLES[name]["holds"]
+    count = lambda e, as_: f"CAST(count(*) FILTER (WHERE {e}) AS BIGINT) AS {as_}"
+    counts = [count(any_null([*TABLES[name]["key"], *TABLES[name]["columns"]]), "null_rows"), count(out_of_range(name), "out_of_range_rows"), *[count(f"NOT ({e})", f"broken_{n}") for n, e in holds.items()]]
+    return f"""SELECT '{name}' AS table_name, count(*) AS n_rows, {', '.join(counts)}, CAST({len(S.prediction_days)} - count(DISTINCT cutoff_date) AS BIGINT) AS absent_days,
+      (SELECT count(*) FROM (SELECT {key} FROM {source} GROUP BY {key} HAVING count(*) > 1)) AS repeated_keys,
+      CAST(0 AS BIGINT) AS missing_columns, CAST(0 AS BIGINT) AS unexpected_columns FROM {source}"""  # SQL names its columns, so none can be missing
 
 
-def oracle(structural: dict[str, list[tuple[str, str]]], recipes: dict[str, list[str]], entities: dict[str, list[str]]) -> dict[str, str]:
+#: The sample's violations, counted on ``bad``.
+SAMPLE_CHECKS = """, per AS (SELECT user_id, item_id, cutoff_date, count(*) AS n, max(label) AS y, count(*) FILTER (WHERE user_id IS NULL OR item_id IS NULL OR cutoff_date IS NULL OR label IS NULL) AS nul, count(*) FILTER (WHERE label NOT IN (0, 1)) AS odd FROM bad GROUP BY 1, 2, 3),
+f AS (SELECT cutoff_date, CAST(sum(nul) AS BIGINT) AS null_rows, CAST(sum(odd) AS BIGINT) AS bad_labels, count(*) FILTER (WHERE n > 1) AS repeated_pairs, count(*) AS pairs, count(*) FILTER (WHERE y = 1) AS pos FROM per GROUP BY 1)
+SELECT cutoff_date, null_rows, bad_labels, repeated_pairs,
+  abs(pairs - (SELECT count(*) FROM cand c WHERE c.cutoff_date = f.cutoff_date)) AS candidate_diff,
+  abs(pos - (SELECT count(*) FROM cand c JOIN bought b USING (user_id, item_id, cutoff_date) WHERE c.cutoff_date = f.cutoff_date)) AS positive_diff FROM f"""
+PLANTED_ITEMS = """, spoilt AS (SELECT * REPLACE (CASE WHEN item_id = '0' THEN NULL ELSE item_buy_all END AS item_buy_all, CASE WHEN item_id = '2' THEN 24 ELSE item_peak_hour END AS item_peak_hour,
+  CASE WHEN item_id = '3' THEN 1 - item_is_cold ELSE item_is_cold END AS item_is_cold) FROM feat_item WHERE cutoff_date > '%s'),
+planted AS (SELECT * FROM spoilt UNION ALL SELECT * FROM spoilt WHERE item_id = '1') """ % min(S.prediction_days)
+PLANTED_SAMPLE = """, spoilt AS (SELECT CASE WHEN item_id = '2' THEN NULL ELSE user_id END AS user_id, item_id, cutoff_date, CASE WHEN item_id = '0' THEN 2 ELSE label END AS label FROM sample WHERE item_id <> '3'),
+bad AS (SELECT * FROM spoilt UNION ALL SELECT * FROM spoilt WHERE item_id = '1')"""
+
+
+def oracle() -> dict[str, str]:
     one = lambda select: _q(RAW, select)
     day = lambda select: _q(BASE, select)
-    n_days = len(S.prediction_days)
     out = {
         "row_count": one("SELECT count(*) AS n_rows FROM raw"),
         "missing_values": one("SELECT " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL{more}) AS {c}_missing" for c, more in (("user_id", " OR user_id = ''"), ("item_id", " OR item_id = ''"), ("behavior_type", ""), ("item_category", " OR item_category = ''"), ("time", ""))) + " FROM raw"),
@@ -145,7 +162,9 @@ def oracle(structural: dict[str, list[tuple[str, str]]], recipes: dict[str, list
         "sample_summary": day("SELECT cutoff_date, count(*) AS n_candidates, CAST(sum(label) AS BIGINT) AS n_positives, round(sum(label) * 100.0 / count(*), 9) AS positive_rate_pct FROM sample GROUP BY 1"),
         "candidate_recall": day("SELECT b.cutoff_date, count(*) AS n_bought, count(c.user_id) AS n_hit, round(count(c.user_id) / CAST(count(*) AS DOUBLE), 9) AS recall FROM bought b LEFT JOIN cand c USING (user_id, item_id, cutoff_date) GROUP BY 1"),
         "positive_recount": day("SELECT cutoff_date, count(*) AS n_positives FROM cand JOIN bought USING (user_id, item_id, cutoff_date) GROUP BY 1"),
-        "sample_checks": day("SELECT cutoff_date, " + ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in ("null_rows", "bad_labels", "repeated_pairs", "candidate_diff", "positive_diff")) + " FROM sample GROUP BY 1"),
+        "sample_checks": f"WITH {BASE}, bad AS (SELECT * FROM sample){SAMPLE_CHECKS}", "sample_checks_planted": f"WITH {BASE}{PLANTED_SAMPLE}{SAMPLE_CHECKS}",
+        "structural_checks_planted": f"WITH {BASE}, {FEAT_ITEM}{PLANTED_ITEMS}{_structure('feat_item', 'planted')}",
+        "reconcile_planted": _q(f"{BASE}, {FEAT_CATEGORY}, c(column_name) AS (VALUES {', '.join(f'({c!r})' for c in TABLES['feat_category']['columns'])})", "SELECT column_name, (SELECT count(*) + 1 FROM feat_category) AS n_keys, 1 + CASE WHEN column_name = 'category_buy_all' THEN (SELECT count(*) FROM feat_category WHERE item_category = '0') ELSE 0 END AS n_mismatches FROM c"),
         "candidate_item_semi_join": day("SELECT item_id, cutoff_date, count(*) AS n_rows FROM hist WHERE (item_id, cutoff_date) IN (SELECT item_id, cutoff_date FROM cand) GROUP BY 1, 2"),
         "spot_check_history": day(f"""SELECT cutoff_date, label, user_id, item_id, rank, strftime(time, '%Y-%m-%d %H') AS hour, behavior_type FROM (
           SELECT r.*, c.cutoff_date, c.label, row_number() OVER (PARTITION BY c.cutoff_date, c.user_id, c.item_id ORDER BY time, behavior_type) AS rank
@@ -159,7 +178,7 @@ def oracle(structural: dict[str, list[tuple[str, str]]], recipes: dict[str, list
         "day_type": f"WITH d(cutoff_date) AS (VALUES {', '.join(f'({x!r})' for x in S.prediction_days)}) SELECT cutoff_date, {DAY_TYPE % ('cutoff_date', 'cutoff_date')} AS day_type FROM d",
         "combined_feat_category": _q(f"{BASE}, {FEAT_CATEGORY}", "SELECT * FROM feat_category"),
         "assemble": _q(MATRIX, "SELECT * FROM matrix"),
-        "assembled_null_report": _q(MATRIX, "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_nulls FROM matrix"),
+        "assembled_null_report": _q(MATRIX, "SELECT count(*) AS n_rows, CAST(sum(" + " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in ["label", *[c for t in TABLES.values() for c in t["columns"]]]) + ") AS BIGINT) AS n_nulls FROM matrix"),
         "split_counts": day(f"SELECT CASE WHEN cutoff_date IN ({', '.join(map(repr, S.test_days))}) THEN 'test' ELSE 'trainval' END AS part, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positives FROM sample GROUP BY 1"),
         "build_folds": f"WITH folds(fold, cutoff_date, role) AS (VALUES {FOLDS}) SELECT *, {DAY_TYPE % (('(SELECT max(cutoff_date) FROM folds v WHERE v.fold = folds.fold)',) * 2)} AS day_type FROM folds",
         "fold_spec": _q(f"{BASE}, {FOLDED}", f"""SELECT fold, val_date, {DAY_TYPE % ('val_date', 'val_date')} AS day_type, n AS train_rows_natural, p AS train_positives, p + least(n - p, {S.negative_ratio} * p) AS train_rows_downsampled, val_rows, val_positives
@@ -191,10 +210,10 @@ def oracle(structural: dict[str, list[tuple[str, str]]], recipes: dict[str, list
     }
     out |= {name: _some(*spec) for name, spec in cols.items()}
     out["conversion_ratios"] = _some("feat_user", "user_id", "cutoff_date", "user_conversion_browse_buy", "user_conversion_cart_buy")
-    for table, checks in structural.items():
-        out[f"structural_checks_{table}"] = _zeros(table, table, checks, n_days)
-        names = ", ".join(f"('{c}')" for c in recipes[table])
+    for table, facts in TABLES.items():
+        out[f"structural_checks_{table}"] = _q(f"{BASE}, {ALL_FEATS[table]}", _structure(table, table))
+        names = ", ".join(f"('{c}')" for c in facts["columns"])
         out[f"reconcile_{table}"] = _q(f"{BASE}, {ALL_FEATS[table]}, c(column_name) AS (VALUES {names})", f"SELECT column_name, (SELECT count(*) FROM {table}) AS n_keys, CAST(0 AS BIGINT) AS n_mismatches FROM c")
-        key = ", ".join(entities[table])
+        key = ", ".join(facts["key"])
         out[f"key_sample_{table}"] = _q(f"{BASE}, {ALL_FEATS[table]}", f"SELECT {key} FROM (SELECT {key}, md5(concat_ws('|', {key}, '{S.seed}')) AS m, row_number() OVER (PARTITION BY cutoff_date ORDER BY md5(concat_ws('|', {key}, '{S.seed}'))) AS r FROM {table}) ORDER BY r > 1, m LIMIT 16")
     return out

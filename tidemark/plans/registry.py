@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,12 @@ from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import split as P
 from tidemark.operators import validate as V
+from tidemark.operators.feature_tables import TABLES
 from tidemark.plans.oracle import oracle
 from tidemark.sources import behavior as B
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings()
-TABLES = ("feat_user", "feat_item", "feat_category", "feat_user_item", "feat_user_category")
 BUILDERS = {"feat_user": X.user_features, "feat_item": X.item_features, "feat_category": X.category_features, "feat_user_item": X.user_item_features, "feat_user_category": X.user_category_features}
 
 
@@ -41,6 +42,12 @@ def _history(spark: SparkSession, sf_dir: str, keep_day: bool = False) -> DataFr
     return B.events_log(spark, sf_dir, before=last)
 
 
+def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as far as samples and labels need it: from the first lookback to the last day's end."""
+    first, last = (date.fromisoformat(f(SETTINGS.prediction_days)) for f in (min, max))
+    return B.events_log(spark, sf_dir, before=str(last + timedelta(1)), since=str(first - timedelta(SETTINGS.lookback_days)))
+
+
 def _explore(f) -> Query:
     return lambda spark, sf: rounded(f(B.events_log(spark, sf)))
 
@@ -50,7 +57,7 @@ def _orders(f) -> Query:
 
 
 def _labels(f) -> Query:
-    return lambda spark, sf: rounded(f(B.events_log(spark, sf), SETTINGS))
+    return lambda spark, sf: rounded(f(_reach(spark, sf), SETTINGS))
 
 
 def _features(f, *columns: str) -> Query:
@@ -63,7 +70,7 @@ def _features(f, *columns: str) -> Query:
 
 def _sample_query(f) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        log = B.events_log(spark, sf)
+        log = _reach(spark, sf)
         return rounded(f(log, L.sample_labels(log, SETTINGS)))
 
     return run
@@ -71,11 +78,11 @@ def _sample_query(f) -> Query:
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Features read only what lies before the last day; the labels' day is read once more for the sample."""
-    return A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(B.events_log(spark, sf), SETTINGS))
+    return A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(_reach(spark, sf), SETTINGS))
 
 
 def _null_report(spark: SparkSession, sf: str) -> DataFrame:
-    frame = A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(B.events_log(spark, sf), SETTINGS), fill=False)
+    frame = A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(_reach(spark, sf), SETTINGS), fill=False)
     nulls = A.null_report(frame)
     return frame.agg(F.count("*").alias("n_rows"), sum((F.count_if(F.col(c).isNull()) for c in nulls.columns), F.lit(0).cast("bigint")).alias("n_nulls"))
 
@@ -94,13 +101,13 @@ def _split_counts(log: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def _trainval(f) -> Query:
-    return _sample_query(lambda log, sample: f(P.split(sample, SETTINGS)[1], P.build_folds(SETTINGS)))
+    return _sample_query(lambda log, sample: f(P.split(sample, SETTINGS)[1]))
 
 
 def scored_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Rule scores of every validation row; the rules' columns come from the pair table alone."""
-    _, trainval = P.split(L.sample_labels(B.events_log(spark, sf), SETTINGS), SETTINGS)
-    val = P.in_folds(trainval, P.build_folds(SETTINGS)).where("role = 'val'")
+    _, trainval = P.split(L.sample_labels(_reach(spark, sf), SETTINGS), SETTINGS)
+    val = P.in_folds(trainval, SETTINGS).where("role = 'val'")
     return M.rule_scores(val.join(X.user_item_features(_history(spark, sf), SETTINGS), [*L.PAIR, "cutoff_date"], "left"), "fold", "day_type", "cutoff_date")
 
 
@@ -113,25 +120,48 @@ def _by_day_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _structural(table: str) -> Query:
-    return lambda spark, sf: V.structural_checks(BUILDERS[table](_history(spark, sf), SETTINGS), V.specs()[table], len(SETTINGS.prediction_days))
+    return lambda spark, sf: V.structure(BUILDERS[table](_history(spark, sf), SETTINGS), table, len(SETTINGS.prediction_days))
 
 
 def _reconcile(table: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         log = _history(spark, sf)
-        return V.reconcile(BUILDERS[table](log, SETTINGS), log, V.specs()[table], SETTINGS)
+        return V.reconcile(BUILDERS[table](log, SETTINGS), log, table, SETTINGS)
 
     return run
 
 
 def _key_sample(table: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        keys = list(V.specs()[table].keys)
-        return V.key_sample(BUILDERS[table](_history(spark, sf), SETTINGS), keys, 16, SETTINGS.seed)
+        return V.key_sample(BUILDERS[table](_history(spark, sf), SETTINGS), TABLES[table]["key"], 16, SETTINGS.seed)
 
     return run
 
 
+def _planted_structure(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks on a table with planted faults: nulls, repeats, odd hours, odd flags and a day that is absent."""
+    items = X.item_features(_history(spark, sf), SETTINGS).where(F.col("cutoff_date") > min(SETTINGS.prediction_days))
+    items = items.withColumns({
+        "item_buy_all": F.expr("IF(item_id = '0', NULL, item_buy_all)"), "item_peak_hour": F.expr("IF(item_id = '2', 24, item_peak_hour)"),
+        "item_is_cold": F.expr("IF(item_id = '3', 1 - item_is_cold, item_is_cold)"),
+    })
+    return V.structure(items.unionByName(items.where("item_id = '1'")), "feat_item", len(SETTINGS.prediction_days))
+
+
+def _planted_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Against a table with one column changed in one category, and a key that the log doesn't have."""
+    log = _history(spark, sf)
+    frame = X.category_features(log, SETTINGS).withColumn("category_buy_all", F.expr("category_buy_all + IF(item_category = '0', 1, 0)"))
+    more = spark.createDataFrame([("none", SETTINGS.prediction_days[0], 0, 0, 0, 0.0)], frame.select("item_category", "cutoff_date", "category_browse_all", "category_buy_all", "category_distinct_item", "category_conversion_browse_buy").schema)
+    return V.reconcile(frame.unionByName(more), log, "feat_category", SETTINGS)
+
+
+def _planted_sample(log: DataFrame, sample: DataFrame) -> DataFrame:
+    """The sample's checks after labels, pairs and users were spoilt for some items."""
+    bad = sample.where("item_id <> '3'").withColumns({"label": F.expr("IF(item_id = '0', 2, label)"), "user_id": F.expr("IF(item_id = '2', NULL, user_id)")})
+    return L.sample_checks(log, bad.unionByName(bad.where("item_id = '1'")), SETTINGS)
+
+
 def _peak_recipe(log: DataFrame, settings: Settings) -> DataFrame:
     """Peak hours from ranked histograms, the second definition of ``user_peak_hours``."""
     hist = X.user_hours(log, settings)
@@ -161,7 +191,7 @@ def _model(f) -> Query:
 
         whole = matrix(spark, sf).persist()
         test, trainval = P.split(whole, SETTINGS)
-        return rounded(f(models, test, trainval, P.build_folds(SETTINGS)))
+        return rounded(f(models, test, trainval, P.validation_days(SETTINGS)))
 
     return run
 
@@ -170,30 +200,26 @@ def _model(f) -> Query:
 RATIOS, SEEDS = (5, 10, 20, 50, None), (42, 43)
 
 
-def _candidates(m) -> dict:
-    return {c.name: c for c in (m.Candidate(f"downsample_{r}" if r else "full", r) for r in RATIOS)}
-
-
-def _sweep(m, tv: DataFrame, folds) -> DataFrame:
-    return m.run_sweep(tv, folds, list(_candidates(m).values()), SETTINGS, PARAMS, SEEDS)
+def _sweep(m, tv: DataFrame, days: dict[int, str]) -> DataFrame:
+    return m.run_sweep(tv, m.fit_jobs(days, RATIOS, SEEDS), SETTINGS, PARAMS)
 
 
 def _final(part: int) -> Query:
     """The sweep's best set-up with its number of trees, fitted once."""
 
-    def run(m, test, tv, folds):
-        name, trees = m.best_config(_sweep(m, tv, folds).persist())
-        return m.train_final(tv, test, _candidates(m)[name], trees, PARAMS, SEEDS[0])[part]
+    def run(m, test, tv, days):
+        name, trees = m.best_config(_sweep(m, tv, days).persist())
+        return m.train_final(tv, test, {m.set_up(r): r for r in RATIOS}[name], trees, PARAMS, SEEDS[0])[part]
 
     return _model(run)
 
 
 MODELS = {
-    "model_baselines": _model(lambda m, test, tv, folds: m.run_baselines(tv, folds, SETTINGS)),
-    "model_sweep": _model(lambda m, test, tv, folds: _sweep(m, tv, folds)),
+    "model_baselines": _model(lambda m, test, tv, days: m.run_baselines(tv, days, SETTINGS)),
+    "model_sweep": _model(lambda m, test, tv, days: _sweep(m, tv, days)),
     "model_final_test": _final(1), "model_importances": _final(2),
-    "model_permutation": _model(lambda m, test, tv, folds: m.permutation_importance(tv, m.normal_folds(SETTINGS), m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
-    "model_ablation": _model(lambda m, test, tv, folds: m.run_ablation(tv, m.normal_folds(SETTINGS), m.Candidate("downsample_20", 20), SETTINGS, PARAMS)),
+    "model_permutation": _model(lambda m, test, tv, days: m.permutation_importance(tv, m.normal_folds(SETTINGS), 20, SETTINGS, PARAMS)),
+    "model_ablation": _model(lambda m, test, tv, days: m.run_ablation(tv, m.normal_folds(SETTINGS), 20, SETTINGS, PARAMS)),
 }
 USER, ITEM, PAIRS = ("user_id", "cutoff_date"), ("item_id", "cutoff_date"), ("user_id", "item_id", "cutoff_date")
 
@@ -226,9 +252,9 @@ def queries() -> dict[str, Query]:
         "combined_feat_category": _features(X.category_features),
         "context_features": _days(lambda: A.context_columns(SETTINGS)), "day_type": _days(lambda: {"day_type": A.day_type(SETTINGS, F.col("cutoff_date"))}),
         "assemble": lambda spark, sf: rounded(matrix(spark, sf)), "assembled_null_report": _null_report,
-        "split_counts": _sample_query(_split_counts), "build_folds": lambda spark, sf: P.folds_frame(spark, P.build_folds(SETTINGS)),
-        "fold_spec": _trainval(lambda t, f: P.fold_spec(t, f, SETTINGS.negative_ratio)),
-        "downsampled_train": _trainval(lambda t, f: P.downsampled_train(t, f, SETTINGS.negative_ratio, SETTINGS.seed).select("fold", *PAIRS, "label")),
+        "split_counts": _sample_query(_split_counts), "build_folds": lambda spark, sf: P.folds_frame(spark, SETTINGS),
+        "fold_spec": _trainval(lambda t: P.fold_spec(t, SETTINGS, SETTINGS.negative_ratio)),
+        "downsampled_train": _trainval(lambda t: P.downsampled_train(t, SETTINGS, SETTINGS.negative_ratio, SETTINGS.seed).select("fold", *PAIRS, "label")),
         "rule_pr_auc": _rules(lambda s: M.curve_areas(s, ["fold", "model"]).select("fold", "model", "pr_auc")),
         "rule_roc_auc": _rules(lambda s: M.curve_areas(s, ["fold", "model"]).select("fold", "model", "roc_auc")),
         "rule_precision_at_k": _rules(lambda s: M.precision_at_k(s, ["fold", "model"])), "metrics_by_day_type": _by_day_type,
@@ -236,26 +262,9 @@ def queries() -> dict[str, Query]:
     found |= {t: _features(b) for t, b in BUILDERS.items()}
     for t in TABLES:
         found |= {f"structural_checks_{t}": _structural(t), f"reconcile_{t}": _reconcile(t), f"key_sample_{t}": _key_sample(t)}
+    found |= {"structural_checks_planted": _planted_structure, "reconcile_planted": _planted_reconcile, "sample_checks_planted": _sample_query(_planted_sample)}
     return found | MODELS
 
 
-#: Column names and invariants that the SQL twins of the checks need; spelled here because specs need a session.
 def oracle_sql() -> dict[str, str]:
-    return oracle(INVARIANTS, RECIPES, KEYS)
-
-
-INVARIANTS = {
-    "feat_user": [("browse_nested", "user_browse_1d <= user_browse_7d AND user_browse_7d <= user_browse_all"), ("fractions_sum_to_1", "abs(user_morning_fraction + user_afternoon_fraction + user_night_fraction - 1) <= 1e-8"), ("no_buy_no_peak", "(user_buy_all = 0) = (user_buy_peak_hour = -1)")],
-    "feat_item": [("cold_without_buys", "(item_buy_all = 0) = (item_is_cold = 1)"), ("cold_without_peak", "(item_is_cold = 1) = (item_buy_peak_hour = -1)")],
-    "feat_category": [("conversion_not_negative", "category_conversion_browse_buy >= 0")],
-    "feat_user_item": [("browse_nested", "user_item_browse_1d <= user_item_browse_7d AND user_item_browse_7d <= user_item_browse_all"), ("cart_not_buy", "(user_item_cart_not_buy = 1) = (user_item_cart_all > 0 AND user_item_buy_all = 0)"), ("hours_within_browse", "user_item_browse_distinct_hour <= user_item_browse_all")],
-    "feat_user_category": [],
-}
-KEYS = {"feat_user": ["user_id", "cutoff_date"], "feat_item": ["item_id", "cutoff_date"], "feat_category": ["item_category", "cutoff_date"], "feat_user_item": ["user_id", "item_id", "cutoff_date"], "feat_user_category": ["user_id", "item_category", "cutoff_date"]}
-RECIPES = {
-    "feat_user": ["user_browse_1d", "user_browse_7d", "user_browse_all", "user_favorite_all", "user_cart_all", "user_buy_all", "user_conversion_browse_buy", "user_conversion_cart_buy", "user_since_last_hour", "user_peak_hour", "user_browse_peak_hour", "user_buy_peak_hour", "user_morning_fraction", "user_afternoon_fraction", "user_night_fraction", "user_hour_entropy", *[f"user_action_{h}" for h in range(24)]],
-    "feat_item": ["item_category", "item_browse_all", "item_favorite_all", "item_cart_all", "item_buy_all", "item_distinct_user", "item_conversion_browse_buy", "item_is_cold", "item_peak_hour", "item_browse_peak_hour", "item_buy_peak_hour"],
-    "feat_category": ["category_browse_all", "category_buy_all", "category_distinct_item", "category_conversion_browse_buy"],
-    "feat_user_item": ["user_item_browse_1d", "user_item_browse_7d", "user_item_browse_all", "user_item_browse_distinct_hour", "user_item_cart_all", "user_item_cart_not_buy", "user_item_buy_all", "user_item_is_favorited", "user_item_last_behavior", "user_item_since_last_hour", "user_item_is_user_peak_hour", "user_item_is_item_peak_hour"],
-    "feat_user_category": ["user_category_browse_all", "user_category_buy_all"],
-}
+    return oracle()

@@ -49,22 +49,24 @@ def count_csv_rows(spark: SparkSession, path: str) -> int:
 
 
 def write_log(log: DataFrame, out: str) -> None:
-    """Parquet by day, so that lookbacks read only their days."""
-    log.withColumn("day", F.to_date("time")).write.mode("overwrite").partitionBy("day").parquet(out)
+    """Parquet by day, each day's rows in a file or a few, so that lookbacks read only their files."""
+    log.withColumn("day", F.to_date("time")).repartition("day", F.pmod(F.xxhash64(*COLUMNS), F.lit(8))).write.mode("overwrite").partitionBy("day").parquet(out)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*COLUMNS)
 
 
-def events_log(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+def events_log(spark: SparkSession, sf_dir: str, before: str | None = None, since: str | None = None) -> DataFrame:
     """The ``events`` table as a log: 20 items in 4 categories from ``props.k``; errors are left out.
 
-    ``before`` (a day) is compared with the stored column, so that it reaches the Parquet scan.
+    ``before`` and ``since`` (days) are compared with the stored column, so that they reach the Parquet scan.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     if before:
         events = events.where(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
+    if since:
+        events = events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     k = F.get_json_object("props", "$.k").cast("int")
     code = F.coalesce(*[F.when(F.col("event_type") == name, F.lit(c)) for name, c in CODES.items()])
     return events.where(F.col("event_type").isin(*CODES)).select(
