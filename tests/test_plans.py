@@ -33,3 +33,20 @@ def test_candidate_pruning_is_a_semi_join(spark):
 def test_samples_read_only_their_days(spark, name):
     text = plan(spark, name)
     assert "GreaterThanOrEqual(ts,2024-01-15" in text and "LessThan(ts,2024-01-31" in text
+
+
+def leaves(spark, name):
+    found = registry.queries()[name](spark, SF)._jdf.queryExecution().withCachedData().collectLeaves()
+    return [found.apply(i).nodeName() for i in range(found.size())]
+
+
+def test_the_matrix_reads_the_log_three_times(spark):
+    """Twice for the sample, once for the reduced table that all features share."""
+    found = leaves(spark, "assemble")
+    assert sum("InMemoryRelation" not in n for n in found) == 2 and sum("InMemoryRelation" in n for n in found) >= 9
+
+
+def test_areas_sort_no_model_whole(spark):
+    text = plan(spark, "rule_pr_auc")
+    assert "_range" in text and "Window [sum(c" in text.replace("Window [sum(_c", "")
+    assert not any("_range" not in line for line in text.splitlines() if "Window [" in line and "sum(c#" in line)

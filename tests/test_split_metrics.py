@@ -60,6 +60,25 @@ def areas(pairs):
     return ap, sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
 
 
+def test_areas_across_score_ranges(spark):
+    """Scores of both signs and all sizes, zeros, infinities, NaN and null, and a group without a name."""
+    random.seed(9)
+    pick = lambda: random.choice([0.0, random.gauss(0, 1), random.gauss(0, 1e-9), random.gauss(0, 1e9), 0.5 + random.random() * 1e-5, math.inf, -math.inf, 5e-324, 1.7e308])
+    cases = {g: [(pick(), random.randint(0, 1)) for _ in range(300)] for g in ("a", None)}
+    rows = [(g, y, s) for g, c in cases.items() for s, y in c]
+    df = spark.createDataFrame(rows, "g string, label bigint, score double")
+    found = {r.g: r for r in M.curve_areas(df, ["g"]).collect()}
+    for g, c in cases.items():
+        ap, roc = areas(c)
+        assert found[g].pr_auc == pytest.approx(ap, abs=1e-12) and found[g].roc_auc == pytest.approx(roc, abs=1e-12) and found[g].n == 300
+    odd = spark.createDataFrame([("a", 1, math.nan), ("a", 0, 3.0), ("a", 1, None), ("a", 0, -7.0)], "g string, label bigint, score double")
+    (r,) = M.curve_areas(odd, ["g"]).collect()
+    assert r.pr_auc == pytest.approx((1 + 2 / 4) / 2) and r.roc_auc == pytest.approx(0.5)
+    ordered = sorted({s for c in cases.values() for s, _ in c})
+    ranks = [r.k for r in spark.createDataFrame([(s,) for s in ordered], "s double").coalesce(1).select(M.score_range(M.F.col("s")).alias("k")).collect()]
+    assert ranks == sorted(ranks)
+
+
 def test_areas_under_ties(spark):
     random.seed(4)
     cases = {g: [(random.randint(0, k), random.randint(0, 1)) for _ in range(n)] for g, (n, k) in enumerate([(30, 3), (50, 40), (10, 0), (6, 2)])}

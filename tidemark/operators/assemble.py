@@ -35,11 +35,10 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _tables(log: DataFrame, settings: Settings) -> list[tuple[DataFrame, list[str]]]:
-    users, items = X.user_features(log, settings), X.item_features(log, settings)
+    """Each built once: the pairs' peak flags follow when users and items are joined."""
     return [
-        (items, ["item_id", "cutoff_date"]), (users, ["user_id", "cutoff_date"]),
-        (X.user_item_features(log, settings, users, items), [*PAIR, "cutoff_date"]),
-        (X.category_features(log, settings), ["item_category", "cutoff_date"]),
+        (X.item_features(log, settings), ["item_id", "cutoff_date"]), (X.user_features(log, settings), ["user_id", "cutoff_date"]),
+        (X.pair_counts(log, settings), [*PAIR, "cutoff_date"]), (X.category_features(log, settings), ["item_category", "cutoff_date"]),
         (X.user_category_features(log, settings), ["user_id", "item_category", "cutoff_date"]),
     ]
 
@@ -60,6 +59,8 @@ def check_keys(tables: list[tuple[DataFrame, list[str]]]) -> None:
 
 def column_order(tables: list[tuple[DataFrame, list[str]]]) -> list[str]:
     items, users, pairs, categories, user_categories = ([c for c in t.columns if c not in k] for t, k in tables)
+    if "_hours" in pairs:
+        pairs = [*[c for c in pairs if c != "_hours"], *X.AT_PEAK]
     return [*PAIR, "cutoff_date", "label", *CONTEXT, *users, *items, *categories, *pairs, *user_categories]
 
 
@@ -70,14 +71,20 @@ def null_report(frame: DataFrame) -> DataFrame:
 
 
 def assemble(log: DataFrame, settings: Settings, sample: DataFrame | None = None, tables: list[tuple[DataFrame, list[str]]] | None = None, fill: bool = True) -> DataFrame:
-    """The matrix of all prediction days; numeric misses are filled, a missing category raises."""
+    """The matrix of all prediction days; numeric misses are filled, a missing category raises.
+
+    With a ``sample``, ``log`` may be what ``features.reduced`` made of it, persisted: nine counts read it.
+    """
     if tables is None:
         tables = _tables(log, settings)
     else:
         check_keys(tables)
     sample = sample_labels(log, settings) if sample is None else sample
     order = column_order(tables)
-    frame = joined(sample, tables).withColumns(context_columns(settings)).select(*order)
+    frame = joined(sample, tables).withColumns(context_columns(settings))
+    if "_hours" in frame.columns:
+        frame = frame.withColumns(X.peak_flags())
+    frame = frame.select(*order)
     if not fill:
         return frame
     kinds = dict(frame.dtypes)

@@ -23,11 +23,26 @@ def earlier(d: Column, day: Column) -> Column:
     return day < d
 
 
+def _counts(log: DataFrame) -> list[Column]:
+    """Aggregates ``n`` and one count for each behaviour, of a log's rows or of those of ``reduced``."""
+    if "n_browse" in log.columns:
+        return [F.sum(n).alias(n) for n in ("n", *KINDS)]
+    return [F.count("*").alias("n"), *[F.count_if(F.col("behavior_type") == c).alias(n) for n, c in KINDS.items()]]
+
+
+def reduced(log: DataFrame) -> DataFrame:
+    """The log by user, item, category and hour: counts, and the greatest behaviour code.
+
+    Every builder here takes it in place of the log. Persist it where several do, as for ``assemble``:
+    the log is then read and shuffled whole but once.
+    """
+    return log.where(F.col("time").isNotNull()).groupBy(*PAIR, "item_category", "time").agg(*_counts(log), F.max("behavior_type").alias("behavior_type"))
+
+
 def daily(log: DataFrame, *key: str, hours: bool = True) -> DataFrame:
     """Counts by key, day and (with ``hours``) hour, and the last action's time."""
     parts = [F.to_date("time").alias("day")] + ([F.hour("time").cast("bigint").alias("hod")] if hours else [])
-    counts = [F.count_if(F.col("behavior_type") == c).alias(n) for n, c in KINDS.items()]
-    return log.where(F.col("time").isNotNull()).groupBy(*key, *parts).agg(F.count("*").alias("n"), *counts, F.max("time").alias("last_time"))
+    return log.where(F.col("time").isNotNull()).groupBy(*key, *parts).agg(*_counts(log), F.max("time").alias("last_time"))
 
 
 def _sum(n: str, name: str) -> Column:
@@ -131,9 +146,7 @@ def user_category_features(log: DataFrame, settings: Settings) -> DataFrame:
 
 def pair_days(log: DataFrame) -> DataFrame:
     """Counts per pair and day, the hours of the day in use as bits, and the last action."""
-    by_hour = log.where(F.col("time").isNotNull()).groupBy(*PAIR, "time").agg(
-        *[F.count_if(F.col("behavior_type") == c).alias(n) for n, c in KINDS.items()], F.max("behavior_type").alias("_code"),
-    )
+    by_hour = log.where(F.col("time").isNotNull()).groupBy(*PAIR, "time").agg(*_counts(log), F.max("behavior_type").alias("_code"))
     return by_hour.groupBy(*PAIR, F.to_date("time").alias("day")).agg(
         *[F.sum(n).alias(n) for n in KINDS], F.count_if(F.col("n_browse") > 0).alias("browse_hours"),
         F.bit_or(F.expr("shiftleft(1, hour(time))")).alias("hours"), F.max(F.struct("time", "_code")).alias("last"),
@@ -146,10 +159,8 @@ def pair_hours(log: DataFrame, settings: Settings) -> DataFrame:
     return rows.join(candidates(log, settings), [*PAIR, "cutoff_date"], "left_semi").select(*PAIR, "cutoff_date", "hod").distinct()
 
 
-def user_item_features(log: DataFrame, settings: Settings, users: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
-    """The sample's pairs, counted over all history; ``users`` and ``items`` as built above."""
-    users = user_features(log, settings) if users is None else users
-    items = item_features(log, settings) if items is None else items
+def pair_counts(log: DataFrame, settings: Settings) -> DataFrame:
+    """The sample's pairs, counted over all history, with the hours of the day in use as bits, ``_hours``."""
     key = [*PAIR, "cutoff_date"]
     rows = by_day(pair_days(log), settings.prediction_days, earlier)
     rows = rows.join(candidates(log, settings), key, "left_semi")
@@ -158,14 +169,31 @@ def user_item_features(log: DataFrame, settings: Settings, users: DataFrame | No
         _sum("browse_hours", "user_item_browse_distinct_hour"), _sum("n_cart", "user_item_cart_all"), _sum("n_buy", "user_item_buy_all"),
         F.sum("n_favorite").alias("_favorite"), F.bit_or("hours").alias("_hours"), F.max("last").alias("_last"),
     )
-    found = found.join(users.select("user_id", "cutoff_date", "user_peak_hour"), ["user_id", "cutoff_date"], "left")
-    found = found.join(items.select("item_id", "cutoff_date", "item_peak_hour"), ["item_id", "cutoff_date"], "left")
-    at_peak = lambda c: flag(F.expr(f"shiftright(_hours, cast({c} AS int)) & 1 = 1 AND {c} >= 0"))
     cart, buy = F.col("user_item_cart_all"), F.col("user_item_buy_all")
     return found.select(
         *key, *[window_name("user_item_browse", w) for w in settings.windows], "user_item_browse_distinct_hour", "user_item_cart_all",
         flag((cart > 0) & (buy == 0)).alias("user_item_cart_not_buy"), "user_item_buy_all", flag(F.col("_favorite") > 0).alias("user_item_is_favorited"),
         F.col("_last._code").cast("bigint").alias("user_item_last_behavior"),
-        whole_hours(F.col("_last.time"), F.col("cutoff")).alias("user_item_since_last_hour"),
-        at_peak("user_peak_hour").alias("user_item_is_user_peak_hour"), at_peak("item_peak_hour").alias("user_item_is_item_peak_hour"),
+        whole_hours(F.col("_last.time"), F.col("cutoff")).alias("user_item_since_last_hour"), "_hours",
     )
+
+
+#: Flags of a pair that was active at the peak hour of its user or item.
+AT_PEAK = {"user_item_is_user_peak_hour": "user_peak_hour", "user_item_is_item_peak_hour": "item_peak_hour"}
+
+
+def peak_flags() -> dict[str, Column]:
+    """From ``_hours`` and the peaks; null for a pair that has no ``_hours``."""
+    at = lambda c: flag(F.expr(f"shiftright(_hours, cast({c} AS int)) & 1 = 1 AND {c} >= 0"))
+    return {name: F.when(F.col("_hours").isNotNull(), at(c)) for name, c in AT_PEAK.items()}
+
+
+def user_item_features(log: DataFrame, settings: Settings, users: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """The sample's pairs, counted over all history; ``users`` and ``items`` as built above."""
+    users = user_features(log, settings) if users is None else users
+    items = item_features(log, settings) if items is None else items
+    found = pair_counts(log, settings)
+    found = found.join(users.select("user_id", "cutoff_date", "user_peak_hour"), ["user_id", "cutoff_date"], "left")
+    found = found.join(items.select("item_id", "cutoff_date", "item_peak_hour"), ["item_id", "cutoff_date"], "left")
+    names = [c for c in found.columns if c not in (*PAIR, "cutoff_date", "_hours", *AT_PEAK.values())]
+    return found.withColumns(peak_flags()).select(*PAIR, "cutoff_date", *names, *AT_PEAK)

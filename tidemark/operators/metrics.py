@@ -1,7 +1,8 @@
 """Ranking metrics, exact under ties.
 
 Rows are first counted by distinct score; average precision and ROC area come from running sums over
-those groups, never from row-by-row order. Precision at k orders equal scores by key; Spark keeps only
+those groups, never from row-by-row order. The sums run inside score ranges, from what the ranges above
+add up to, so that no task sorts a model's scores whole. Precision at k orders equal scores by key; Spark keeps only
 k rows of each task for it.
 """
 
@@ -23,11 +24,26 @@ def rule_scores(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.selectExpr(*keep, *PAIR, "label", f"stack({len(RULES)}, {pairs}) AS (model, score)")
 
 
+def score_range(score: Column) -> Column:
+    """A number that never falls as the score rises: 1,024 ranges for each doubling of its size.
+
+    Null sorts below all and NaN above, as in ``ORDER BY``. Scores closer than 0.07 % share a range.
+    """
+    size = F.floor(F.least(F.log2(F.abs(score)), F.lit(1025.0)) * 1024) + 1100001
+    number = F.when(score > 0, size).when(score < 0, -size).otherwise(0)
+    return F.when(score.isNull(), -4000000).when(F.isnan(score), 4000000).otherwise(number).cast("bigint")
+
+
 def curve_areas(scored: DataFrame, by: list[str]) -> DataFrame:
     """``n``, ``positives``, ``pr_auc`` (average precision) and ``roc_auc``; NaN where one class is absent."""
-    groups = scored.groupBy(*by, "score").agg(F.count("*").alias("c"), F.sum("label").alias("p"))
-    upto = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    run = groups.withColumns({"n_upto": F.sum("c").over(upto), "p_upto": F.sum("p").over(upto)})
+    groups = scored.withColumn("score", F.col("score").cast("double")).groupBy(*by, "score").agg(F.count("*").alias("c"), F.sum("label").alias("p"))
+    groups = groups.withColumn("_range", score_range(F.col("score")))
+    higher = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = groups.groupBy(*by, "_range").agg(F.sum("c").alias("_c"), F.sum("p").alias("_p"))
+    above = ranges.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_range"]], *[F.coalesce(F.sum(x).over(higher), F.lit(0)).alias(f"{x}_above") for x in ("_c", "_p")])
+    upto = W.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_range"]]
+    run = groups.join(above, same).withColumns({"n_upto": F.col("_c_above") + F.sum("c").over(upto), "p_upto": F.col("_p_above") + F.sum("p").over(upto)})
     found = run.groupBy(*by).agg(
         F.sum("c").alias("n"), F.sum("p").cast("bigint").alias("positives"),
         F.sum(F.col("p") * (F.col("p_upto") / F.col("n_upto"))).alias("_ap"),

@@ -76,13 +76,25 @@ def _sample_query(f) -> Query:
     return run
 
 
-def matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Features read only what lies before the last day; the labels' day is read once more for the sample."""
-    return A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(_reach(spark, sf), SETTINGS))
+_held: dict[str, DataFrame] = {}
+
+
+def _hold(role: str, df: DataFrame) -> DataFrame:
+    """``df`` persisted; the one held before in that role is released, so queries don't pile them up."""
+    if role in _held and _held[role].sparkSession.sparkContext._jsc is not None:
+        _held[role].unpersist()
+    _held[role] = df.persist()
+    return df
+
+
+def matrix(spark: SparkSession, sf: str, fill: bool = True) -> DataFrame:
+    """Features share one reduced table of what lies before the last day; the labels' day is read for the sample."""
+    log = _hold("reduced", X.reduced(_history(spark, sf)))
+    return A.assemble(log, SETTINGS, sample=L.sample_labels(_reach(spark, sf), SETTINGS), fill=fill)
 
 
 def _null_report(spark: SparkSession, sf: str) -> DataFrame:
-    frame = A.assemble(_history(spark, sf), SETTINGS, sample=L.sample_labels(_reach(spark, sf), SETTINGS), fill=False)
+    frame = matrix(spark, sf, fill=False)
     nulls = A.null_report(frame)
     return frame.agg(F.count("*").alias("n_rows"), sum((F.count_if(F.col(c).isNull()) for c in nulls.columns), F.lit(0).cast("bigint")).alias("n_nulls"))
 
@@ -189,7 +201,7 @@ def _model(f) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         from tidemark.operators import models
 
-        whole = matrix(spark, sf).persist()
+        whole = _hold("matrix", matrix(spark, sf))
         test, trainval = P.split(whole, SETTINGS)
         return rounded(f(models, test, trainval, P.validation_days(SETTINGS)))
 
@@ -208,7 +220,7 @@ def _final(part: int) -> Query:
     """The sweep's best set-up with its number of trees, fitted once."""
 
     def run(m, test, tv, days):
-        name, trees = m.best_config(_sweep(m, tv, days).persist())
+        name, trees = m.best_config(_hold("sweep", _sweep(m, tv, days)))
         return m.train_final(tv, test, {m.set_up(r): r for r in RATIOS}[name], trees, PARAMS, SEEDS[0])[part]
 
     return _model(run)
