@@ -53,10 +53,36 @@ def test_boosting_and_importances(matrix, spark):
 
 def test_prefixes_add_up_to_the_model(matrix):
     names = M.feature_names(matrix)
-    model = M.boosted(M.weighed(matrix, None, 1), names, PARAMS, 1)
-    last = {r.user_id: r.score for r in M.prefix_scores(model, matrix.where("cutoff_date = '2024-01-20'"), names).where("trees = 3").collect()}
-    whole = {r.user_id: r.rawPrediction[1] for r in model.transform(M._vectors(matrix.where("cutoff_date = '2024-01-20'"), names)).collect()}
-    assert all(whole[u] == pytest.approx(2 * last[u] if abs(whole[u] - last[u]) > 1e-9 else last[u]) for u in whole)
+    model = M.boosted(M.weighed(matrix, None, 1), names, {**PARAMS, "trees": 12, "rows": 0.6, "depth": 4}, 1)
+    val = matrix.where("cutoff_date = '2024-01-20'")
+    found = {(r.user_id, r.trees): r.score for r in M.prefix_scores(model, val, names).collect()}
+    assert len(found) == val.count() * 12
+    # Each tree on its own, by its own predictions.
+    rows = M._vectors(val, names)
+    for i, tree in enumerate(model.trees):
+        rows = tree.setPredictionCol(f"t{i}").transform(rows)
+    for r in rows.collect():
+        total = 0.0
+        for i, w in enumerate(model.treeWeights):
+            total += r[f"t{i}"] * w
+            assert found[r.user_id, i + 1] == pytest.approx(total, abs=1e-12)
+    some = {(r.user_id, r.trees): r.score for r in M.prefix_scores(model, val, names, 5, 7).collect()}
+    assert some == {k: v for k, v in found.items() if 5 <= k[1] <= 7}
+
+
+@pytest.mark.parametrize("patience", [1, 2, 5, 30])
+def test_the_best_prefix_is_that_of_all_prefixes(matrix, patience):
+    names = ["noise", "user_item_browse_all", "user_item_since_last_hour"]  # a poor model, whose areas go up and down
+    model = M.boosted(M.weighed(matrix, None, 1), names, {**PARAMS, "trees": 9, "rows": 0.5}, 3)
+    val = matrix.where("cutoff_date = '2024-01-21'")
+    areas = {r.trees: r.pr_auc for r in M.M.curve_areas(M.prefix_scores(model, val, names), ["trees"]).collect()}
+    best, at = -1.0, 1
+    for i in range(1, 10):
+        if areas[i] > best:
+            best, at = areas[i], i
+        elif i - at >= patience:
+            break
+    assert M.best_prefix(model, val, names, patience) == at
 
 
 def test_model_queries_take_all_candidates_seeds_and_folds(spark, monkeypatch):

@@ -1,15 +1,18 @@
 """Rankers on the assembled matrix: scaled logistic regression and boosted trees, fold by fold.
 
 Fits run on Spark's own distributed learners. Differences from other libraries' learners: boosting has
-no early stopping on a ranking metric of its own, so prefixes of the ensemble are scored in one pass and
+no early stopping on a ranking metric of its own, so prefixes of the ensemble are scored, some at a time, and
 the best is kept; importances are Spark's (impurity decrease), not gain per split.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import date
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -25,6 +28,8 @@ from tidemark.operators.split import downsample, kind_of_day, validation_days
 KEYS = (*PAIR, "cutoff_date", "label", "item_category")
 #: What the ablation named ``no_cart`` leaves out.
 CART = ("user_item_cart_all", "user_item_cart_not_buy")
+#: A split as a tree prints it.
+SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
 NUMERIC = ("bigint", "int", "double", "float")
 #: Rows of a block within which values are permuted.
 PERMUTED = 100_000
@@ -109,27 +114,71 @@ def boosted(rows: DataFrame, names: list[str], params: dict, seed: int) -> GBTCl
     return learner.fit(_vectors(rows, names).select("features", F.col("label").cast("double"), "w"))
 
 
-def prefix_scores(model: GBTClassificationModel, val: DataFrame, names: list[str]) -> DataFrame:
-    """Validation rows scored by the first 1, 2, ... trees: (keys, trees, score)."""
-    rows = _vectors(val, names)
-    total = F.lit(0.0)
-    steps = []
-    for i, (tree, w) in enumerate(zip(model.trees, model.treeWeights, strict=True), 1):
-        rows = tree.setPredictionCol(f"_t{i}").transform(rows)
-        total = total + F.col(f"_t{i}") * w
-        steps.append(F.struct(F.lit(i).alias("trees"), total.alias("score")))
-    return rows.select("cutoff_date", *PAIR, "label", F.explode(F.array(*steps)).alias("_s")).select("cutoff_date", *PAIR, "label", "_s.trees", "_s.score")
+def tree_nodes(text: str) -> tuple[np.ndarray, ...]:
+    """A tree's printed form as arrays: feature (-1 at a leaf), threshold, the two children, prediction."""
+    feature, threshold, left, right, value = [], [], [], [], []
+    lines = (line.strip() for line in text.splitlines()[1:] if line.strip())
+
+    def node() -> int:
+        line, at = next(lines), len(feature)
+        for column, empty in ((feature, -1), (threshold, 0.0), (left, at), (right, at), (value, 0.0)):
+            column.append(empty)
+        if line.startswith("Predict:"):
+            value[at] = float(line.removeprefix("Predict:"))
+            return at
+        found = SPLIT.fullmatch(line)
+        if not found:
+            raise ValueError(f"not a split on a number: {line}")
+        feature[at], threshold[at] = int(found[1]), float(found[2])
+        left[at] = node()
+        next(lines)  # the same split's other side
+        right[at] = node()
+        return at
+
+    node()
+    return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
+
+
+def prefix_scores(model: GBTClassificationModel, val: DataFrame, names: list[str], first: int = 1, last: int | None = None) -> DataFrame:
+    """Validation rows scored by the first ``first``, ..., ``last`` trees: (keys, trees, score).
+
+    One pass over the rows, whatever the number of trees: a batch goes down each tree at once.
+    """
+    last = min(last or len(model.trees), len(model.trees))
+    trees = [(tree_nodes(t.toDebugString), t.depth, w) for t, w in list(zip(model.trees, model.treeWeights, strict=True))[:last]]
+
+    def run(rows: pa.Array) -> pa.Array:
+        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(names))
+        every, score = np.arange(len(x)), np.zeros(len(x))
+        out = np.empty((len(x), last - first + 1))
+        for i, ((feature, threshold, left, right, value), depth, weight) in enumerate(trees, 1):
+            at = np.zeros(len(x), np.int64)
+            for _ in range(depth):
+                at = np.where(x[every, feature[at]] <= threshold[at], left[at], right[at])  # a leaf leads to itself
+            score = score + value[at] * weight
+            if i >= first:
+                out[:, i - first] = score
+        return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), last - first + 1).cast(pa.list_(pa.float64()))
+
+    scores = F.arrow_udf(run, "array<double>")(F.array(*[F.col(c).cast("double") for c in names]))
+    found = val.select("cutoff_date", *PAIR, "label", F.posexplode(scores).alias("_i", "score"))
+    return found.select("cutoff_date", *PAIR, "label", (F.col("_i") + first).alias("trees"), "score")
 
 
 def best_prefix(model: GBTClassificationModel, val: DataFrame, names: list[str], patience: int) -> int:
-    """Trees up to the best average precision, looking no further than ``patience`` trees beyond it."""
-    areas = {r.trees: r.pr_auc for r in M.curve_areas(prefix_scores(model, val, names), ["trees"]).collect()}
-    best, at = -1.0, 1
-    for i in sorted(areas):
-        if areas[i] == areas[i] and areas[i] > best:
-            best, at = areas[i], i
-        elif i - at >= patience:
-            break
+    """Trees up to the best average precision, looking no further than ``patience`` trees beyond it.
+
+    ``patience`` prefixes are scored at a time, so a row is repeated that often, not once for each tree.
+    """
+    best, at, n = -1.0, 1, len(model.trees)
+    for first in range(1, n + 1, patience):
+        scored = prefix_scores(model, val, names, first, first + patience - 1)
+        areas = {r.trees: r.pr_auc for r in M.curve_areas(scored, ["trees"]).collect()}
+        for i in sorted(areas):
+            if areas[i] > best:  # never so for NaN
+                best, at = areas[i], i
+            elif i - at >= patience:
+                return at
     return at
 
 
@@ -142,7 +191,7 @@ def run_sweep(trainval: DataFrame, jobs: list[dict], settings: Settings, params:
         model = boosted(rows, names, params, job["seed"])
         trees = best_prefix(model, val, names, patience)
         kept.append((job["config"], job["seed"], job["fold"], trees))
-        scored = prefix_scores(model, val, names).where(F.col("trees") == trees).drop("trees")
+        scored = prefix_scores(model, val, names, trees, trees).drop("trees")
         scored = scored.withColumns({**{c: F.lit(job[c]) for c in ("config", "seed", "fold")}, "day_type": F.lit(kind_of_day(job["day"], settings))})
         out = scored if out is None else out.unionByName(scored)
     by = ["config", "seed", "fold"]
@@ -170,7 +219,7 @@ def train_final(trainval: DataFrame, test: DataFrame, ratio: int | None, trees:
     """(model, test metrics, importances), fitted on all of trainval and evaluated once."""
     names = feature_names(trainval)
     model = boosted(weighed(trainval, ratio, seed), names, params | {"trees": trees}, seed)
-    scored = prefix_scores(model, test, names).where(F.col("trees") == trees)
+    scored = prefix_scores(model, test, names, trees, trees)
     return model, M.evaluate(scored, ["trees"]), importances(trainval.sparkSession, model, names)
 
 
