@@ -30,7 +30,7 @@ WIDTH = 2.0
 #: Wanted chance that a pair exactly at the threshold meets in some table.
 RECALL = 0.999
 #: Unrelated vectors that a bucket may hold on average.
-STRANGERS = 4.0
+STRANGERS = 64.0
 BLOCK = 1024
 SEED = 20260101
 #: Stand-ins for the ids of vectors whose rows all have null ids start here.
