@@ -4,6 +4,8 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from tidemark.config import Settings, load_settings
 from tidemark.operators import explore as E
@@ -107,22 +109,56 @@ def test_model_queries_take_all_candidates_seeds_and_folds(spark, monkeypatch):
 
 def test_ablation_drops_the_defined_columns(matrix, monkeypatch):
     assert M.ablations(["user_cart_all", "user_item_cart_all", "user_item_cart_not_buy"])["no_cart"] == ("user_item_cart_all", "user_item_cart_not_buy")
-    seen = []
-    monkeypatch.setattr(M, "run_sweep", lambda tv, jobs, settings, params, patience, drop: seen.append(drop) or tv.sparkSession.createDataFrame([("a", 1, "before_sale", 0.5, 0.1, 0.2)], "config string, fold int, day_type string, pr_auc double, p_at_100 double, p_at_500 double"))
+    seen, fit = {}, M.boosted
+    monkeypatch.setattr(M, "boosted", lambda rows, names, params, seed: seen.update({len(names): names}) or fit(rows, names, params, seed))
     rows = M.ablation_rows(matrix, FOLD, 5, S, PARAMS).collect()
-    assert {r.ablation: r.n_features for r in rows} == {"full": 6, "no_cart": 4, "no_user_item_table": 2} and seen[1] == ("user_item_cart_all", "user_item_cart_not_buy")
+    assert {r.ablation: r.n_features for r in rows} == {"full": 6, "no_cart": 4, "no_user_item_table": 2} and set(seen) == {2, 4, 6}
+    assert set(seen[6]) - set(seen[4]) == {"user_item_cart_all", "user_item_cart_not_buy"} and seen[2] == ["good", "noise"]
+    assert {r.ablation: r.pr_auc for r in rows}["full"] == pytest.approx(1)
+
+
+def test_all_jobs_are_drawn_as_one_by_one(matrix):
+    days = {1: "2024-01-19", 2: "2024-01-20", 3: "2024-01-21"}
+    rare = matrix.withColumn("label", F.expr("IF(cutoff_date = '2024-01-18' OR user_id > 'u30', 0, label)"))  # a first day without positives
+    for table in (matrix, rare):
+        jobs = M.fit_jobs(days, (1, 2, 3, 50, None), (1, 2))
+        drawn = [(r.user_id, r.cutoff_date, set(r._jobs)) for r in M.drawn(table, jobs).collect()]
+        assert len(drawn) == matrix.count()
+        for i, j in enumerate(jobs):
+            rows = M.weighed(M.before(table, j["day"]), j["ratio"], j["seed"] + j["fold"])
+            assert {(r.user_id, r.cutoff_date) for r in rows.collect()} == {(u, d) for u, d, of in drawn if i in of}
+
+
+def test_permutation_against_the_model_itself(matrix):
+    """Scores of permuted rows by Spark's own transform."""
+    names = M.feature_names(matrix)
+    model = M.boosted(M.weighed(M.before(matrix, FOLD[1]), 5, 2), names, PARAMS, 1)
+    rows, got = M.permuted(M.on(matrix, FOLD[1]), names, 2, 1), {}
+    for r in M.permutation_scores({0: M.ensemble(model, names, names, FOLD[1])}, rows).collect():
+        got.setdefault((r.feature, r.rep), []).append(r.score)
+    used = {i for i, v in enumerate(model.featureImportances.toArray()) if v > 0}
+    assert used | {-1} <= {f for f, _ in got}
+    for (f, rep), scores in got.items():
+        changed = []
+        for r in rows.where(F.col("rep") == rep).collect():
+            x = list(r.own)
+            if f >= 0:
+                x[f] = r.other[f]
+            changed.append((Vectors.dense(x),))
+        whole = model.transform(matrix.sparkSession.createDataFrame(changed, ["features"])).collect()
+        assert sorted(scores) == pytest.approx(sorted(r.rawPrediction[1] for r in whole))
 
 
 def test_permuted_values_are_the_days_own(matrix, monkeypatch):
     monkeypatch.setattr(M, "PERMUTED", 25)  # several blocks
     val = matrix.where("cutoff_date = '2024-01-20'")
     rows = M.permuted(val, ["good", "noise"], 2, 1).collect()
-    own = sorted(r.good for r in val.collect())
-    assert len(rows) == 60 * 2 * 2
+    whole = {r.user_id: [r.good, r.noise] for r in val.collect()}
+    assert len(rows) == 60 * 2
     for rep in range(2):
         mine = [r for r in rows if r.rep == rep]
-        assert sorted(r.good for r in mine if r.feature == "good") == own
-        assert sum(r.good == s.good for r, s in zip(sorted((r for r in mine if r.feature == "good"), key=lambda r: r.user_id), sorted(val.collect(), key=lambda r: r.user_id), strict=True)) < 20
+        assert {r.user_id: r.own for r in mine} == whole and sorted(r.other for r in mine) == sorted(whole.values())
+        assert sum(r.own == r.other for r in mine) < 20
 
 
 def test_logistic_is_newtons(matrix):

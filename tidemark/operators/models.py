@@ -8,15 +8,18 @@ the best is kept; importances are Spark's (impurity decrease), not gain per spli
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import date
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,6 +36,8 @@ SPLIT = re.compile(r"If \(feature (\d+) <= (\S+)\)")
 NUMERIC = ("bigint", "int", "double", "float")
 #: Rows of a block within which values are permuted.
 PERMUTED = 100_000
+#: Fits under way at a time: while one waits for its last tasks or its driver, others use the cores.
+FITS = 8
 
 
 def feature_names(frame: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
@@ -70,6 +75,44 @@ def on(trainval: DataFrame, day: str) -> DataFrame:
     return trainval.where(F.col("cutoff_date") == day)
 
 
+def drawn(trainval: DataFrame, jobs: list[dict]) -> DataFrame:
+    """trainval with ``_jobs``, the positions of the jobs that a row is a training row of.
+
+    The rows are those that ``downsample`` keeps of the days before the job's with seed + fold. All jobs are drawn
+    in two passes over keys and labels: counts by digest bucket, then the last digest kept of each bucket that a
+    limit falls into. What comes to the driver is one row a job.
+    """
+    draws = sorted({(j["seed"] + j["fold"], j["day"]) for j in jobs if j["ratio"]})
+    mark = lambda seed: F.md5(F.concat_ws("|", *PAIR, "cutoff_date", F.lit(seed)))
+    last: dict[tuple, str] = {}
+    if draws:
+        own = [F.when(F.col("cutoff_date") < day, F.struct(F.lit(i).alias("draw"), mark(seed).alias("md5"))) for i, (seed, day) in enumerate(draws)]
+        marks = trainval.select("label", F.inline(F.array_compact(F.array(*own)))).withColumn("bucket", F.substring("md5", 1, 3))
+        ratios = F.explode(F.array(*[F.lit(r) for r in sorted({j["ratio"] for j in jobs if j["ratio"]})])).alias("ratio")
+        counts = marks.groupBy("draw", "bucket").agg(F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos"))
+        over = W.partitionBy("draw")
+        upto = counts.select("draw", "bucket", "neg", F.sum("pos").over(over).alias("pos"), F.sum("neg").over(over.orderBy("bucket")).alias("upto")).where("pos > 0").select("*", ratios)
+        at = upto.where("upto > ratio * pos").groupBy("draw", "ratio").agg(F.min_by(F.struct("bucket", F.expr("ratio * pos - upto + neg").alias("n")), "bucket").alias("at"))
+        at = at.select("draw", "ratio", "at.*")
+        rank = F.row_number().over(W.partitionBy("draw", "ratio").orderBy("md5"))
+        edge = marks.where("label = 0").join(F.broadcast(at), ["draw", "bucket"]).withColumn("r", rank).where("r = n OR n = 0 AND r = 1")  # one row a draw and ratio
+        # No row of the bucket stays where n is 0: its name sorts before all of its digests.
+        last = {(*draws[r.draw], r.ratio): r.md5 if r.n else r.bucket for r in edge.select("draw", "ratio", "n", "bucket", "md5").collect()}
+    found = []
+    for i, j in enumerate(jobs):
+        stays, limit = F.col("cutoff_date") < j["day"], last.get((j["seed"] + j["fold"], j["day"], j["ratio"]))
+        if limit is not None:
+            stays &= (F.col("label") == 1) | (mark(j["seed"] + j["fold"]) <= limit)
+        found.append(F.when(stays, F.lit(i)))
+    return trainval.withColumn("_jobs", F.array_compact(F.array(*found)))
+
+
+def at_once(run: Callable, of: list) -> list:
+    """``run`` of each, ``FITS`` at a time; an error of one is raised."""
+    with ThreadPool(max(1, min(FITS, len(of)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(run), of, chunksize=1)
+
+
 def _vectors(frame: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(frame)
 
@@ -95,14 +138,22 @@ def logistic_scores(train: DataFrame, val: DataFrame) -> DataFrame:
 
 def run_baselines(trainval: DataFrame, days: dict[int, str], settings: Settings) -> DataFrame:
     """Metrics of the rules and of logistic regression on each fold."""
-    out = None
-    for k, day in days.items():
-        val = on(trainval, day)
-        fitted = logistic_scores(downsample(before(trainval, day), settings.negative_ratio, settings.seed + k), val)
-        scored = M.rule_scores(val, "cutoff_date").unionByName(fitted.withColumn("model", F.lit("logistic")))
-        scored = scored.withColumns({"fold": F.lit(k), "day_type": F.lit(kind_of_day(day, settings))})
-        out = scored if out is None else out.unionByName(scored)
-    return M.evaluate(out.persist(), ["fold", "day_type", "model"])  # scored once, read by each metric
+    jobs = fit_jobs(days, (settings.negative_ratio,), (settings.seed,))
+    rows = drawn(trainval, jobs).persist()
+    fitted = at_once(lambda i: logistic_scores(rows.where(F.array_contains("_jobs", i)).drop("_jobs"), on(trainval, jobs[i]["day"])), list(range(len(jobs))))
+    rows.unpersist()
+    scored = M.rule_scores(trainval.where(F.col("cutoff_date").isin(*days.values())), "cutoff_date")
+    for part in fitted:
+        scored = scored.unionByName(part.withColumn("model", F.lit("logistic")))
+    of = spread(days, "cutoff_date", settings)
+    return M.evaluate(scored.withColumns(of).persist(), ["fold", "day_type", "model"])  # scored once, read by each metric
+
+
+def spread(days: dict[int, str], day: str, settings: Settings) -> dict[str, Column]:
+    """The columns ``fold`` and ``day_type`` of a validation day."""
+    fold = F.coalesce(*[F.when(F.col(day) == d, F.lit(k)) for k, d in days.items()])
+    kind = F.coalesce(*[F.when(F.col(day) == d, F.lit(kind_of_day(d, settings))) for d in days.values()])
+    return {"fold": fold, "day_type": kind}
 
 
 def boosted(rows: DataFrame, names: list[str], params: dict, seed: int) -> GBTClassificationModel:
@@ -139,64 +190,130 @@ def tree_nodes(text: str) -> tuple[np.ndarray, ...]:
     return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
 
 
-def prefix_scores(model: GBTClassificationModel, val: DataFrame, names: list[str], first: int = 1, last: int | None = None) -> DataFrame:
-    """Validation rows scored by the first ``first``, ..., ``last`` trees: (keys, trees, score).
+def ensemble(model: GBTClassificationModel, names: list[str], of: list[str], day: str | None = None) -> dict:
+    """What tasks need of a model fitted on ``of``, to score rows of ``names``: those of its day, or all."""
+    where = np.array([names.index(n) for n in of])
+    trees = []
+    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
+        feature, *rest = tree_nodes(tree.toDebugString)
+        trees.append((np.where(feature < 0, 0, where[feature]), feature >= 0, *rest, tree.depth, weight))
+    return {"day": day, "trees": trees}
+
+
+def run_trees(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    """(rows, trees): what each tree adds, a batch going down each at once."""
+    every, out = np.arange(len(x)), np.empty((len(x), len(trees)))
+    for i, (feature, _, threshold, left, right, value, depth, weight) in enumerate(trees):
+        at = np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            at = np.where(x[every, feature[at]] <= threshold[at], left[at], right[at])  # a leaf leads to itself
+        out[:, i] = value[at] * weight
+    return out
+
+
+def _numbers(names: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in names])
+
+
+def _matrix(rows: pa.Array) -> np.ndarray:
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(rows), len(flat) // max(1, len(rows)))
+
+
+def _lists(width: np.ndarray, blocks: list[tuple], fields: tuple[str, ...]) -> pa.Array:
+    """One list of structs a row, ``width`` long; a block: its rows, what all of them say of each place, their scores."""
+    start = np.r_[0, np.cumsum(width)]
+    ids = np.zeros((2, start[-1]), np.int32)
+    score = np.zeros(start[-1])
+    for rows, said, scores in blocks:
+        place = start[rows][:, None] + np.arange(scores.shape[1])
+        score[place], ids[0][place], ids[1][place] = scores, said[0], said[1]
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.StructArray.from_arrays([pa.array(ids[0]), pa.array(ids[1]), pa.array(score)], names=list(fields)))
+
 
-    One pass over the rows, whatever the number of trees: a batch goes down each tree at once.
+def ensemble_scores(ensembles: dict[int, dict], val: DataFrame, names: list[str], spans: dict[int, tuple[int, int]]) -> DataFrame:
+    """Each model's day scored by its first ``spans[job]`` trees, from the one to the other: (keys, label, job, trees, score).
+
+    One pass over the rows, whatever the number of models and trees.
     """
-    last = min(last or len(model.trees), len(model.trees))
-    trees = [(tree_nodes(t.toDebugString), t.depth, w) for t, w in list(zip(model.trees, model.treeWeights, strict=True))[:last]]
-
-    def run(rows: pa.Array) -> pa.Array:
-        x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(names))
-        every, score = np.arange(len(x)), np.zeros(len(x))
-        out = np.empty((len(x), last - first + 1))
-        for i, ((feature, threshold, left, right, value), depth, weight) in enumerate(trees, 1):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(depth):
-                at = np.where(x[every, feature[at]] <= threshold[at], left[at], right[at])  # a leaf leads to itself
-            score = score + value[at] * weight
-            if i >= first:
-                out[:, i - first] = score
-        return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), last - first + 1).cast(pa.list_(pa.float64()))
-
-    scores = F.arrow_udf(run, "array<double>")(F.array(*[F.col(c).cast("double") for c in names]))
-    found = val.select("cutoff_date", *PAIR, "label", F.posexplode(scores).alias("_i", "score"))
-    return found.select("cutoff_date", *PAIR, "label", (F.col("_i") + first).alias("trees"), "score")
+    spans = {j: (a, min(b, len(ensembles[j]["trees"]))) for j, (a, b) in spans.items()}
+    parts = {j: {"day": ensembles[j]["day"], "trees": ensembles[j]["trees"][:b]} for j, (a, b) in spans.items()}
+
+    def run(days: pa.Array, rows: pa.Array) -> pa.Array:
+        x, day, width, blocks = _matrix(rows), days.to_numpy(zero_copy_only=False), np.zeros(len(rows), np.int64), []
+        for d in set(day):
+            mine, jobs = np.flatnonzero(day == d), [j for j, e in parts.items() if e["day"] in (None, d)]
+            if not jobs:
+                continue
+            scores = [np.cumsum(run_trees(parts[j]["trees"], x[mine]), axis=1)[:, spans[j][0] - 1:] for j in jobs]
+            job = np.concatenate([np.full(s.shape[1], j) for j, s in zip(jobs, scores, strict=True)])
+            trees = np.concatenate([np.arange(spans[j][0], spans[j][1] + 1) for j in jobs])
+            width[mine] = len(job)
+            blocks.append((mine, (job, trees), np.concatenate(scores, axis=1)))
+        return _lists(width, blocks, ("job", "trees", "score"))
+
+    scores = F.arrow_udf(run, "array<struct<job:int,trees:int,score:double>>")("cutoff_date", _numbers(names))
+    return val.select("cutoff_date", *PAIR, "label", F.inline(scores))
 
 
-def best_prefix(model: GBTClassificationModel, val: DataFrame, names: list[str], patience: int) -> int:
-    """Trees up to the best average precision, looking no further than ``patience`` trees beyond it.
+def prefix_scores(model: GBTClassificationModel, val: DataFrame, names: list[str], first: int = 1, last: int | None = None) -> DataFrame:
+    """Validation rows scored by the first ``first``, ..., ``last`` trees: (keys, label, trees, score)."""
+    return ensemble_scores({0: ensemble(model, names, names)}, val, names, {0: (first, last or len(model.trees))}).drop("job")
+
 
-    ``patience`` prefixes are scored at a time, so a row is repeated that often, not once for each tree.
+def best_prefixes(ensembles: dict[int, dict], val: DataFrame, names: list[str], patience: int) -> dict[int, int]:
+    """Each job's trees up to the best average precision, looking no further than ``patience`` trees beyond it.
+
+    ``patience`` prefixes of all jobs not yet done are scored at a time, so a row is repeated that often for
+    each, not once for each tree.
     """
-    best, at, n = -1.0, 1, len(model.trees)
-    for first in range(1, n + 1, patience):
-        scored = prefix_scores(model, val, names, first, first + patience - 1)
-        areas = {r.trees: r.pr_auc for r in M.curve_areas(scored, ["trees"]).collect()}
-        for i in sorted(areas):
-            if areas[i] > best:  # never so for NaN
-                best, at = areas[i], i
-            elif i - at >= patience:
-                return at
+    best, at, first = dict.fromkeys(ensembles, -1.0), dict.fromkeys(ensembles, 1), 1
+    open_ = set(ensembles)
+    while open_ := {j for j in open_ if first <= len(ensembles[j]["trees"])}:
+        scored = ensemble_scores(ensembles, val, names, {j: (first, first + patience - 1) for j in open_})
+        for r in sorted(M.curve_areas(scored, ["job", "trees"]).collect(), key=lambda r: (r.job, r.trees)):
+            if r.job not in open_:
+                continue
+            if r.pr_auc > best[r.job]:  # never so for NaN
+                best[r.job], at[r.job] = r.pr_auc, r.trees
+            elif r.trees - at[r.job] >= patience:
+                open_.discard(r.job)
+        first += patience
     return at
 
 
-def run_sweep(trainval: DataFrame, jobs: list[dict], settings: Settings, params: dict, patience: int = 30, drop: tuple[str, ...] = ()) -> DataFrame:
+def best_prefix(model: GBTClassificationModel, val: DataFrame, names: list[str], patience: int) -> int:
+    return best_prefixes({0: ensemble(model, names, names)}, val, names, patience)[0]
+
+
+def fit_all(trainval: DataFrame, jobs: list[dict], names: list[str], params: dict) -> dict[int, dict]:
+    """The ensemble of each job, by its position; a job may ``drop`` features."""
+    full = {j["day"] for j in jobs if not j["ratio"]}
+    counts = trainval.groupBy("cutoff_date", "label").count().collect() if full else []  # two rows a day
+    sums = {(d, y): sum(r["count"] for r in counts if r["cutoff_date"] < d and r["label"] == y) for d in full for y in (0, 1)}
+    rows = drawn(trainval, jobs).persist()
+
+    def fit(i: int) -> tuple[int, dict]:
+        job = jobs[i]
+        heavy = 1.0 if job["ratio"] else sums[job["day"], 0] / max(sums[job["day"], 1], 1)
+        of = [n for n in names if n not in job.get("drop", ())]
+        own = rows.where(F.array_contains("_jobs", i)).withColumn("w", F.when(F.col("label") == 1, F.lit(heavy)).otherwise(F.lit(1.0)))
+        return i, ensemble(boosted(own, of, params, job["seed"]), names, of, job["day"])
+
+    found = dict(at_once(fit, list(range(len(jobs)))))
+    rows.unpersist()
+    return found
+
+
+def run_sweep(trainval: DataFrame, jobs: list[dict], settings: Settings, params: dict, patience: int = 30) -> DataFrame:
     """Metrics of each job with the trees kept; a job's rows are those before its day, scored on the day."""
-    spark, out, kept = trainval.sparkSession, None, []
-    names = feature_names(trainval, drop)
-    for job in jobs:
-        rows, val = weighed(before(trainval, job["day"]), job["ratio"], job["seed"] + job["fold"]), on(trainval, job["day"])
-        model = boosted(rows, names, params, job["seed"])
-        trees = best_prefix(model, val, names, patience)
-        kept.append((job["config"], job["seed"], job["fold"], trees))
-        scored = prefix_scores(model, val, names, trees, trees).drop("trees")
-        scored = scored.withColumns({**{c: F.lit(job[c]) for c in ("config", "seed", "fold")}, "day_type": F.lit(kind_of_day(job["day"], settings))})
-        out = scored if out is None else out.unionByName(scored)
-    by = ["config", "seed", "fold"]
-    trees = spark.createDataFrame(kept, "config string, seed int, fold int, best_trees int")
-    return M.evaluate(out.persist(), [*by, "day_type"]).join(trees, by)
+    names, days = feature_names(trainval), {j["fold"]: j["day"] for j in jobs}
+    ensembles, val = fit_all(trainval, jobs, names, params), trainval.where(F.col("cutoff_date").isin(*days.values()))
+    trees = best_prefixes(ensembles, val, names, patience)
+    scored = ensemble_scores(ensembles, val, names, {j: (t, t) for j, t in trees.items()}).select(*PAIR, "label", "job", "score")
+    of = [(i, j["config"], j["seed"], j["fold"], kind_of_day(j["day"], settings), trees[i]) for i, j in enumerate(jobs)]
+    jobs_ = trainval.sparkSession.createDataFrame(of, "job int, config string, seed int, fold int, day_type string, best_trees int")
+    return M.evaluate(scored.persist(), ["job"]).join(F.broadcast(jobs_), "job").drop("job")  # one row a job
 
 
 def sweep_means(sweep: DataFrame, days: dict[int, str]) -> DataFrame:
@@ -228,35 +345,57 @@ def importances(spark: SparkSession, model: GBTClassificationModel, names: list[
 
 
 def permuted(val: DataFrame, names: list[str], repeats: int, seed: int) -> DataFrame:
-    """The rows once per feature and repeat, that feature's values in the order of a keyed hash.
+    """Each row once per repeat, with its own values and another row's: (keys, label, rep, own, other).
 
-    Rows are dealt at random into blocks of some ``PERMUTED``, anew for each repeat, and change values
-    within them: ranks by key and by hash meet, and no task holds a whole day.
+    The other is the one at the same place in the order of a keyed hash. Rows are dealt at random into blocks of
+    some ``PERMUTED`` a day, anew for each repeat, and change values within them: no task holds a whole day.
     """
     key, place = ["cutoff_date", *PAIR], ["cutoff_date", "rep", "_block"]
-    blocks = max(1, -(-val.count() // PERMUTED))
+    most = val.groupBy("cutoff_date").count().agg(F.max("count")).first()[0] or 0
     times = val.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)).cast("array<bigint>")))
-    times = times.withColumn("_block", F.pmod(F.xxhash64(*key, "rep", F.lit(seed + 1)), F.lit(blocks)))
-    own = times.withColumn("_r", F.row_number().over(W.partitionBy(*place).orderBy(*PAIR)))
-    other = times.withColumn("_r", F.row_number().over(W.partitionBy(*place).orderBy(F.xxhash64(*key, "rep", F.lit(seed)), *PAIR)))
-    other = other.select(*place, "_r", *[F.col(n).cast("double").alias(f"_o_{n}") for n in names])
-    both = own.join(other, [*place, "_r"]).withColumn("feature", F.explode(F.array(*map(F.lit, names))))
-    return both.select(*key, "label", "rep", "feature", *[F.when(F.col("feature") == n, F.col(f"_o_{n}")).otherwise(F.col(n).cast("double")).alias(n) for n in names])
+    times = times.withColumn("_block", F.pmod(F.xxhash64(*key, "rep", F.lit(seed + 1)), F.lit(max(1, -(-most // PERMUTED)))))
+    own = times.select(*place, *PAIR, "label", _numbers(names).alias("own"), F.row_number().over(W.partitionBy(*place).orderBy(*PAIR)).alias("_r"))
+    other = times.select(*place, _numbers(names).alias("other"), F.row_number().over(W.partitionBy(*place).orderBy(F.xxhash64(*key, "rep", F.lit(seed)), *PAIR)).alias("_r"))
+    return own.join(other, [*place, "_r"]).select(*key, "label", "rep", "own", "other")
+
+
+def permutation_scores(ensembles: dict[int, dict], rows: DataFrame) -> DataFrame:
+    """(label, rep, job, feature, score) of permuted rows; feature -1 is none, and a model's unused ones are left out."""
+
+    def run(days: pa.Array, own: pa.Array, other: pa.Array) -> pa.Array:
+        x, y, day, width, blocks = _matrix(own), _matrix(other), days.to_numpy(zero_copy_only=False), np.zeros(len(own), np.int64), []
+        for d in set(day):
+            mine, scores, job, feature = np.flatnonzero(day == d), [], [], []
+            for j, e in ensembles.items():
+                if e["day"] != d:
+                    continue
+                for f in (-1, *sorted({int(v) for t in e["trees"] for v in t[0][t[1]]})):
+                    changed = x[mine]
+                    if f >= 0:
+                        changed[:, f] = y[mine, f]
+                    scores.append(run_trees(e["trees"], changed).sum(axis=1))
+                    job.append(j)
+                    feature.append(f)
+            if job:
+                width[mine] = len(job)
+                blocks.append((mine, (np.array(job), np.array(feature)), np.stack(scores, axis=1)))
+        return _lists(width, blocks, ("job", "feature", "score"))
+
+    scores = F.arrow_udf(run, "array<struct<job:int,feature:int,score:double>>")("cutoff_date", "own", "other")
+    return rows.select("label", "rep", F.inline(scores))
 
 
 def permutation_importance(trainval: DataFrame, days: dict[int, str], ratio: int, settings: Settings, params: dict, repeats: int = 5) -> DataFrame:
-    """Mean and deviation over folds of the average precision that shuffling a feature costs."""
-    names, out = feature_names(trainval), None
-    for k, day in days.items():
-        val = on(trainval, day)
-        model = boosted(weighed(before(trainval, day), ratio, settings.seed + k), names, params, settings.seed)
-        whole = vector_to_array("probability")[1]
-        base = M.curve_areas(model.transform(_vectors(val, names)).select("label", whole.alias("score"), F.lit(k).alias("fold")), ["fold"])
-        shuffled = model.transform(_vectors(permuted(val, names, repeats, settings.seed), names)).select("label", "feature", "rep", whole.alias("score"))
-        drop = M.curve_areas(shuffled, ["feature", "rep"]).groupBy("feature").agg(F.avg("pr_auc").alias("a")).withColumn("fold", F.lit(k)).join(base.select("fold", "pr_auc"), "fold")
-        drop = drop.select("feature", "fold", (F.col("pr_auc") - F.col("a")).alias("d"))
-        out = drop if out is None else out.unionByName(drop)
-    return out.where(~F.isnan("d")).groupBy("feature").agg(F.avg("d").alias("importance_mean"), F.stddev_samp("d").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
+    """Mean and deviation over folds of the average precision that shuffling a feature costs; 0 where no tree uses it."""
+    names, jobs = feature_names(trainval), fit_jobs(days, (ratio,), (settings.seed,))
+    ensembles = fit_all(trainval, jobs, names, params)
+    rows = permuted(trainval.where(F.col("cutoff_date").isin(*days.values())), names, repeats, settings.seed)
+    areas = M.curve_areas(permutation_scores(ensembles, rows), ["job", "feature", "rep"]).groupBy("job", "feature").agg(F.avg("pr_auc").alias("a"))
+    areas = areas.persist()  # at most a row for each fold and feature
+    base = areas.where("feature = -1").select("job", F.col("a").alias("_base"))
+    every = base.select("job", "_base", F.posexplode(F.array(*map(F.lit, names))).alias("feature", "name"))
+    lost = every.join(areas, ["job", "feature"], "left").select(F.col("name").alias("feature"), (F.col("_base") - F.coalesce("a", "_base")).alias("d"))
+    return lost.where(~F.isnan("d")).groupBy("feature").agg(F.avg("d").alias("importance_mean"), F.stddev_samp("d").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
 
 
 def ablations(names: list[str]) -> dict[str, tuple[str, ...]]:
@@ -265,12 +404,12 @@ def ablations(names: list[str]) -> dict[str, tuple[str, ...]]:
 
 def ablation_rows(trainval: DataFrame, days: dict[int, str], ratio: int, settings: Settings, params: dict) -> DataFrame:
     """Metrics of each fold, by group of features left out."""
-    names, jobs, out = feature_names(trainval), fit_jobs(days, (ratio,), (settings.seed,)), None
-    for name, drop in ablations(names).items():
-        rows = run_sweep(trainval, jobs, settings, params, params["trees"], tuple(d for d in drop if d in names))
-        rows = rows.select(F.lit(name).alias("ablation"), F.lit(len(set(names) - set(drop))).alias("n_features"), "fold", "day_type", "pr_auc", "p_at_100", "p_at_500")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    names = feature_names(trainval)
+    groups = {name: tuple(d for d in drop if d in names) for name, drop in ablations(names).items()}
+    jobs = [{**j, "config": name, "drop": drop} for name, drop in groups.items() for j in fit_jobs(days, (ratio,), (settings.seed,))]
+    n = F.coalesce(*[F.when(F.col("config") == name, F.lit(len(names) - len(drop))) for name, drop in groups.items()])
+    rows = run_sweep(trainval, jobs, settings, params, params["trees"])
+    return rows.select(F.col("config").alias("ablation"), n.alias("n_features"), "fold", "day_type", "pr_auc", "p_at_100", "p_at_500")
 
 
 def run_ablation(trainval: DataFrame, days: dict[int, str], ratio: int, settings: Settings, params: dict) -> DataFrame:
