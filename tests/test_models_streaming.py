@@ -203,3 +203,35 @@ def test_stream_agrees_with_batch(spark, tmp_path):
         assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, E.daily_breakdown(log).collect()))
     finally:
         query.stop()
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_shared_passes_grow_the_trees_of_sparks_own_learner(matrix, depth):
+    """Without shares of rows and features nothing is random: fits grown together are those fitted one by one (deeper, small nodes have splits of equal gain, of which either learner takes another)."""
+    names, days = [n for n in M.feature_names(matrix) if n not in ("good", "user_item_cart_not_buy")], {1: "2024-01-20", 2: "2024-01-21"}  # a poor model, whose trees differ
+    params, jobs = {**PARAMS, "trees": 10, "depth": depth}, M.fit_jobs(days, (5,), (1,))  # 5 negatives a positive are all of them; 10 trees, so margins are stored once
+    found = M.fit_all(matrix, jobs, names, params)
+    for i, j in enumerate(jobs):
+        model = M.boosted(M.weighed(M.before(matrix, j["day"]), 5, 2), names, params, 1)
+        val = M.on(matrix, j["day"])
+        want = {(r.user_id, r.trees): r.score for r in M.prefix_scores(model, val, names).collect()}
+        got = {(r.user_id, r.trees): r.score for r in M.ensemble_scores({i: found[i]}, val, names, {i: (1, 10)}).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_a_sweep_runs_no_jobs_for_each_fit(matrix, spark):
+    """Jobs follow the trees' levels, not the number of fits."""
+    def jobs(seeds):
+        spark.sparkContext.setJobGroup(f"fits {len(seeds)}", "")
+        M.fit_all(matrix, M.fit_jobs(FOLD, (1, 2, 3, 5), seeds), M.feature_names(matrix), PARAMS)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fits {len(seeds)}"))
+
+    few, many = jobs((1,)), jobs((1, 2, 3))
+    assert many <= few + 4
+
+
+def test_areas_of_counted_scores(matrix):
+    names = M.feature_names(matrix)
+    e = {0: M.ensemble(M.boosted(M.weighed(matrix, None, 1), names, PARAMS, 1), names, names)}
+    want = {r.trees: r for r in M.M.curve_areas(M.ensemble_scores(e, matrix, names, {0: (1, 3)}), ["job", "trees"]).collect()}
+    assert {r.trees: r for r in M.score_areas(e, matrix, names, {0: (1, 3)}).collect()} == want and len(want) == 3

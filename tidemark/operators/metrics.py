@@ -36,7 +36,11 @@ def score_range(score: Column) -> Column:
 
 def curve_areas(scored: DataFrame, by: list[str]) -> DataFrame:
     """``n``, ``positives``, ``pr_auc`` (average precision) and ``roc_auc``; NaN where one class is absent."""
-    groups = scored.withColumn("score", F.col("score").cast("double")).groupBy(*by, "score").agg(F.count("*").alias("c"), F.sum("label").alias("p"))
+    return areas_of_counts(scored.withColumn("score", F.col("score").cast("double")).groupBy(*by, "score").agg(F.count("*").alias("c"), F.sum("label").alias("p")), by)
+
+
+def areas_of_counts(groups: DataFrame, by: list[str]) -> DataFrame:
+    """The same from rows already counted: of each distinct ``score``, all (``c``) and positive (``p``)."""
     groups = groups.withColumn("_range", score_range(F.col("score")))
     higher = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     ranges = groups.groupBy(*by, "_range").agg(F.sum("c").alias("_c"), F.sum("p").alias("_p"))
