@@ -237,6 +237,18 @@ def test_areas_of_counted_scores(matrix):
     assert {r.trees: r for r in M.score_areas(e, matrix, names, {0: (1, 3)}).collect()} == want and len(want) == 3
 
 
+def test_permutation_shuffles_each_row_once(matrix, spark, monkeypatch):
+    """The areas are those of the permuted rows; what is shuffled doesn't grow with the repeats."""
+    monkeypatch.setattr(M, "PERMUTED", 25)
+    names, val = M.feature_names(matrix), M.on(matrix, FOLD[1])
+    e = {0: M.ensemble(M.boosted(M.weighed(M.before(matrix, FOLD[1]), 5, 2), names, PARAMS, 1), names, names, FOLD[1])}
+    want = {(r.feature, r.rep): r.pr_auc for r in M.M.curve_areas(M.permutation_scores(e, M.permuted(val, names, 3, 1)), ["job", "feature", "rep"]).collect()}
+    got = {(r.feature, r.rep): r.pr_auc for r in M.permutation_areas(e, val, names, 3, 1).collect()}
+    assert got == pytest.approx(want) and {rep for _, rep in got} == {0, 1, 2} and len({a for (f, _), a in got.items() if f < 0}) == 1
+    plan = M.permuted(val, names, 5, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "Join" not in plan
+
+
 def test_logistic_fits_together_as_alone(matrix, spark):
     days = {1: "2024-01-20", 2: "2024-01-21"}
     names, jobs = M.feature_names(matrix), M.fit_jobs(days, (2,), (1,))
