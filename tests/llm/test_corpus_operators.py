@@ -267,6 +267,16 @@ def test_words_are_the_librarys():
     assert own.plain
 
 
+def test_frequent_words_stay_in_the_memo(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 100)
+    own, made = packing._Words(public.path("word_bpe_49k.json")), []
+    piece = own._piece
+    monkeypatch.setattr(own, "_piece", lambda p: made.append(p) or piece(p))
+    text = " ".join(f"the w{chr(97 + i % 26)}{chr(97 + i // 26)}x, Then" for i in range(600))
+    assert own.encode(text) == own.whole(text)
+    assert made.count("the") == made.count("then") == made.count(",") == 1 and len(own) <= 100
+
+
 def tone(seed, n=20_000):
     rng = np.random.default_rng(seed)
     notes = rng.choice([220, 262, 330, 392, 494, 587, 698], n // 500)

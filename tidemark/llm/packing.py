@@ -31,7 +31,7 @@ WINDOW = 4096
 END_ID = 2
 #: Ranks within a length are counted in so many parts at least, each of so many pieces on average.
 PARTS, PART_ROWS = 64, 1_000_000
-#: Words and their pieces up to so many characters are remembered, so many of each in a worker.
+#: Words and their pieces up to so many characters are remembered, twice so many in a worker.
 KEPT_CHARS, KEPT = 64, 200_000
 #: Bytes of ids that a batch of pieces holds, but for one longer document.
 BATCH_BYTES = 1 << 20
@@ -41,6 +41,8 @@ BATCH_BYTES = 1 << 20
 #: bookkeeping of offsets; all of them are composed and have lower-case forms of one character.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same for lower-case words of printable ASCII.
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,7 +53,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of blank-free words as little-endian 32-bit bytes; the tokenizer works word by word."""
+    """Ids of blank-free words as little-endian 32-bit bytes; the tokenizer works word by word.
+
+    Words and their pieces share one memo, as most words are one piece: in two generations of ``KEPT``. When the
+    younger is full, the keys not asked for since it began are forgotten.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -60,11 +66,13 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
         # Only a tokenizer that works as _PIECE does is cut here.
+        self.plain = True
         probe = "It's 12 o'clock—naïve CAFÉ, x²=4!? don't ÄÖÜ".split()
         self.plain = all(self._cut(w) == self.whole(w) for w in probe if _PLAIN.fullmatch(w))
+        self.clear()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -72,21 +80,25 @@ class _Words(dict):
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        raw = pack(f"<{len(ids)}I", *ids)
-        if len(self.pieces) >= KEPT:
-            self.pieces.clear()
-        self.pieces[piece] = raw
-        return raw
+        return pack(f"<{len(ids)}I", *ids)
 
     def _cut(self, word: str) -> bytes:
-        get = self.pieces.get
-        return b"".join([get(p) or self._piece(p) for p in _PIECE.findall(word.lower())])
+        low = word.lower()
+        if low.isascii() and low.isalpha():
+            return self._piece(low) if low == word else self[low]
+        pieces = (_ASCII_PIECE if low.isascii() else _PIECE).findall(low)
+        if len(pieces) == 1 and low == word:  # a piece is cut no further
+            return self._piece(low)
+        return b"".join([self[p] for p in pieces])
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > KEPT_CHARS:
             return self.whole(word)
-        ids = self._cut(word) if self.plain and _PLAIN.fullmatch(word) else self.whole(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._cut(word) if self.plain and _PLAIN.fullmatch(word) else self.whole(word)
         if len(self) >= KEPT:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
