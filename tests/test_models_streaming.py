@@ -262,3 +262,19 @@ def test_logistic_fits_together_as_alone(matrix, spark):
         assert both == pytest.approx(alone, abs=1e-6)
     flat = M.logistic_scores(matrix.where("label = 1"), matrix).select("score").distinct().collect()
     assert [r.score for r in flat] == [1.0]
+
+
+def test_a_sweep_scores_each_model_once_for_its_areas(matrix, monkeypatch):
+    """The areas are those that the trees were chosen by; a set-up is chosen without precision at k."""
+    names, jobs, passes, areas = M.feature_names(matrix), M.fit_jobs({**FOLD, 2: "2024-01-25"}, (2, None), (1,)), [], M.score_areas  # no rows on the second day
+    monkeypatch.setattr(M, "score_areas", lambda *of: passes.append(of) or areas(*of))
+    rows = {(r.config, r.fold): r for r in M.run_sweep(matrix, jobs, S, PARAMS).collect()}
+    assert len(passes) == 1 and rows.keys() == {("downsample_2", 1), ("full", 1)}
+    ensembles = M.fit_all(matrix, jobs, names, PARAMS)
+    want = {(r.job, r.trees): r for r in areas(ensembles, M.on(matrix, FOLD[1]), names, {j: (1, 3) for j in ensembles}).collect()}
+    for i, j in enumerate(jobs):
+        if j["fold"] == 1:
+            own = rows[j["config"], 1]
+            assert [own[c] for c in ("n", "positives", "pr_auc", "roc_auc")] == pytest.approx([want[i, own.best_trees][c] for c in ("n", "positives", "pr_auc", "roc_auc")])
+    monkeypatch.delattr(M.M, "precision_at_k")
+    assert {(r.config, r.fold): r.pr_auc for r in M.run_sweep(matrix, jobs, S, PARAMS, 30, False).collect()} == pytest.approx({k: r.pr_auc for k, r in rows.items()})

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -40,6 +40,7 @@ NUMERIC = ("bigint", "int", "double", "float")
 PERMUTED = 100_000
 #: Fits under way at a time: while one waits for its last tasks or its driver, others use the cores.
 FITS = 8
+AREAS = "n bigint, positives bigint, pr_auc double, roc_auc double"
 
 
 def feature_names(frame: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
@@ -301,23 +302,29 @@ def prefix_scores(model: GBTClassificationModel, val: DataFrame, names: list[str
 
 
 def best_prefixes(ensembles: dict[int, dict], val: DataFrame, names: list[str], patience: int) -> dict[int, int]:
-    """Each job's trees up to the best average precision, looking no further than ``patience`` trees beyond it.
+    """Each job's trees up to the best average precision, looking no further than ``patience`` trees beyond it."""
+    return {j: trees for j, (trees, _) in best_areas(ensembles, val, names, patience).items()}
+
+
+def best_areas(ensembles: dict[int, dict], val: DataFrame, names: list[str], patience: int) -> dict[int, tuple[int, Row | None]]:
+    """Each job's best prefix and the areas it was chosen by; None for a job whose day has no rows.
 
     ``patience`` prefixes of all jobs not yet done are scored at a time; what leaves a task are counts of equal scores.
     """
-    best, at, first = dict.fromkeys(ensembles, -1.0), dict.fromkeys(ensembles, 1), 1
+    best, at, first, found = dict.fromkeys(ensembles, -1.0), dict.fromkeys(ensembles, 1), 1, {}
     open_ = set(ensembles)
     while open_ := {j for j in open_ if first <= len(ensembles[j]["trees"])}:
         areas = score_areas(ensembles, val, names, {j: (first, first + patience - 1) for j in open_})
         for r in sorted(areas.collect(), key=lambda r: (r.job, r.trees)):
             if r.job not in open_:
                 continue
+            found.setdefault(r.job, r)
             if r.pr_auc > best[r.job]:  # never so for NaN
-                best[r.job], at[r.job] = r.pr_auc, r.trees
+                best[r.job], at[r.job], found[r.job] = r.pr_auc, r.trees, r
             elif r.trees - at[r.job] >= patience:
                 open_.discard(r.job)
         first += patience
-    return at
+    return {j: (t, found.get(j)) for j, t in at.items()}
 
 
 def best_prefix(model: GBTClassificationModel, val: DataFrame, names: list[str], patience: int) -> int:
@@ -339,16 +346,22 @@ def fit_all(trainval: DataFrame, jobs: list[dict], names: list[str], params: dic
     return {i: {"day": jobs[i]["day"], "trees": own} for trees in found for i, own in sorted(trees.items())}
 
 
-def run_sweep(trainval: DataFrame, jobs: list[dict], settings: Settings, params: dict, patience: int = 30) -> DataFrame:
-    """Metrics of each job with the trees kept; a job's rows are those before its day, scored on the day."""
+def run_sweep(trainval: DataFrame, jobs: list[dict], settings: Settings, params: dict, patience: int = 30, precision: bool = True) -> DataFrame:
+    """Metrics of each job with the trees kept; a job's rows are those before its day, scored on the day.
+
+    Areas are those that the trees were chosen by. Without ``precision``, which choosing a set-up doesn't read, no
+    row is scored again.
+    """
     names, days = feature_names(trainval), {j["fold"]: j["day"] for j in jobs}
     ensembles, val = fit_all(trainval, jobs, names, params), trainval.where(F.col("cutoff_date").isin(*days.values()))
-    trees = best_prefixes(ensembles, val, names, patience)
-    spans = {j: (t, t) for j, t in trees.items()}
-    areas, scored = score_areas(ensembles, val, names, spans).drop("trees"), ensemble_scores(ensembles, val, names, spans).select(*PAIR, "label", "job", "score")
-    of = [(i, j["config"], j["seed"], j["fold"], kind_of_day(j["day"], settings), trees[i]) for i, j in enumerate(jobs)]
-    jobs_ = trainval.sparkSession.createDataFrame(of, "job int, config string, seed int, fold int, day_type string, best_trees int")
-    return areas.join(M.precision_at_k(scored.persist(), ["job"]), "job").join(F.broadcast(jobs_), "job").drop("job")  # one row a job
+    found = best_areas(ensembles, val, names, patience)
+    of = [(i, r.n, r.positives, r.pr_auc, r.roc_auc, j["config"], j["seed"], j["fold"], kind_of_day(j["day"], settings), t) for i, (j, (t, r)) in enumerate(zip(jobs, (found[i] for i in range(len(jobs))), strict=True)) if r]
+    known = trainval.sparkSession.createDataFrame(of, f"job int, {AREAS}, config string, seed int, fold int, day_type string, best_trees int")
+    if not precision:
+        return known.drop("job")
+    scored = ensemble_scores(ensembles, val, names, {j: (t, t) for j, (t, _) in found.items()}).select(*PAIR, "label", "job", "score")
+    at_k = M.precision_at_k(scored.persist(), ["job"])
+    return at_k.join(F.broadcast(known), "job").select(*known.columns[1:5], *at_k.columns[1:], *known.columns[5:])  # one row a job
 
 
 def sweep_means(sweep: DataFrame, days: dict[int, str]) -> DataFrame:
