@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.operators import assemble as A
@@ -123,3 +124,22 @@ def test_checks_see_planted_faults(log):
 def test_empty_log(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert A.assemble(empty, S).count() == 0 and L.sample_summary(L.sample_labels(empty, S)).count() == 0
+
+
+def test_days_are_taken_without_shuffles_sorts_or_joins(spark, log):
+    """What each day needs of pairs, users and their categories is summed where the reduced rows lie."""
+    for build, exchanges in ((X.pair_counts, 2), (X.user_features, 2), (X.user_category_features, 2)):
+        plan = build(log, S)._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and "SortAggregate" not in plan, plan
+        done = build(log, S)._jdf.queryExecution().executedPlan().toString()
+        assert done.count("Exchange hashpartitioning") <= exchanges, done
+
+
+def test_counts_of_candidates_alone(spark, log):
+    """The keys are those that a semi join with the day's candidates keeps, also where a key is null."""
+    more = log.unionByName(spark.createDataFrame([(None, "i1", 1, "c1", at(-2)), ("u7", None, 3, "c1", at(-2)), ("u8", "i2", 1, None, at(-2)), ("u9", "i9", 2, "c1", at(-200))], SCHEMA))
+    for build, key in ((X.pair_counts, L.PAIR), (X.user_category_features, ["user_id", "item_category"])):
+        key_of = lambda df: sorted(tuple(r) for r in df.select(*key, "cutoff_date").collect())  # noqa: B023, E731
+        rows = L.by_day(more.withColumn("day", F.to_date("time")), S.prediction_days, X.earlier)
+        want = rows.join(L.candidates(more, S, key), [*key, "cutoff_date"], "left_semi").select(*key, "cutoff_date").distinct()
+        assert key_of(build(more, S)) == key_of(want) and key_of(want)

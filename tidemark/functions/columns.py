@@ -28,8 +28,11 @@ def whole_hours(since: Column, until: Column) -> Column:
 
 
 def peak(hour: Column, n: Column) -> Column:
-    """Aggregate: the hour with most, the earliest of equals, -1 if all are 0."""
-    return F.coalesce(F.max_by(hour, F.when(n > 0, F.struct(n, -hour))), F.lit(-1)).cast("bigint")
+    """Aggregate: the hour (0 to 23) with most, the earliest of equals, -1 if all are 0.
+
+    Ordered by one number: with a struct, Spark would sort the rows to aggregate them.
+    """
+    return F.coalesce(F.max_by(hour, F.when(n > 0, n * 24 - hour)), F.lit(-1)).cast("bigint")
 
 
 def total(columns: list[Column]) -> Column:

@@ -24,6 +24,8 @@ from tidemark.operators.labels import PAIR
 BINS = 32
 #: Rows of a fit from which the split points of its features are taken.
 SAMPLED = 10_000
+#: Rows of a block, about: with few, counting them is mostly calls.
+BLOCK = 40_000
 #: Bytes of counts that a task holds; the fits of a level take turns beyond.
 HELD = 64 << 20
 #: Trees that a pass runs again before what they add up to is stored with the rows.
@@ -66,6 +68,19 @@ def matrix(rows: pa.Array) -> np.ndarray:
     return flat.reshape(len(rows), len(flat) // max(1, len(rows)))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``BLOCK`` rows or a little more; the last is what remains."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= BLOCK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def squeeze(x: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(x).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="lz4", asbytes=True)
@@ -140,7 +155,7 @@ def binned(rows: DataFrame, jobs: list[dict], names: list[str], weight: list[flo
     by_day = out.by_day
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             x, found = matrix(b.column("x")), []
             label, key = b.column("label").to_numpy(zero_copy_only=False).astype(np.uint8), b.column("key").to_numpy(zero_copy_only=False)
             member = np.zeros((len(jobs), b.num_rows), bool)
@@ -201,10 +216,17 @@ def _counted(rows: Binned, open_: dict[int, list[int]], grown: dict[int, Tree],
                     if (node < 0).any():
                         kept = node >= 0
                         node, own, target, some = node[kept], own[:, kept], target[kept], some[kept]
+                    start, width = node * BINS, len(nodes) * BINS
+                    if not number:  # targets are the labels: one count of both
+                        start, label, heavy = 2 * start, (target > 0).astype(np.int64), weight[j]
+                        start += label
+                        for f in use[j]:
+                            both = np.bincount(start + 2 * own[f].astype(np.int64), minlength=2 * width).reshape(len(nodes), BINS, 2)
+                            held[j][:, f] += np.stack([both.sum(axis=2), both[:, :, 0] + heavy * both[:, :, 1], heavy * both[:, :, 1] - both[:, :, 0]], axis=2)
+                        continue
                     heavy = None if weight[j] == 1 else np.where(y[some] > 0, weight[j], 1.0)
                     if heavy is not None:
                         target = target * heavy
-                    start, width = node * BINS, len(nodes) * BINS
                     for f in use[j]:
                         code = start + own[f]
                         n = np.bincount(code, minlength=width)

@@ -54,6 +54,18 @@ def _within(n: str, days: int) -> Column:
     return F.sum(F.when(recent, F.col(n)).otherwise(0) if days else F.col(n)).cast("bigint")
 
 
+def _date() -> Column:
+    return F.date_format("cutoff", "yyyy-MM-dd").alias("cutoff_date")
+
+
+def _active(rows: DataFrame, key: list[str], settings: Settings) -> DataFrame:
+    """Groups whose last ``_day`` is in the lookback before ``cutoff``: what ``labels.candidates`` has, without a join."""
+    met = F.col("_day") >= F.date_sub("cutoff", settings.lookback_days)
+    for c in key:
+        met = met & F.col(c).isNotNull()
+    return rows.where(met)
+
+
 def user_hours(log: DataFrame, settings: Settings) -> DataFrame:
     """(user_id, cutoff_date, hod): total, browse and buy counts of all history."""
     return by_day(daily(log, "user_id"), settings.prediction_days, earlier).groupBy("user_id", "cutoff_date", "hod").agg(_sum("n", "total_cnt"), _sum("n_browse", "browse_cnt"), _sum("n_buy", "buy_cnt"))
@@ -68,9 +80,10 @@ def item_hours(log: DataFrame, settings: Settings) -> DataFrame:
 
 def user_features(log: DataFrame, settings: Settings) -> DataFrame:
     """Every user with a row before the day: 40 features."""
-    rows = by_day(daily(log, "user_id"), settings.prediction_days, earlier)
+    # Dealt by user before days are taken: rows multiply, but none of them is shuffled.
+    rows = by_day(daily(log, "user_id").repartition("user_id"), settings.prediction_days, earlier)
     # First by hour, so that peaks compare whole histograms; windows ride along.
-    key = ["user_id", "cutoff", "cutoff_date"]
+    key = ["user_id", "cutoff"]
     by_hour = rows.groupBy(*key, "hod").agg(
         *[F.sum(c).alias(c) for c in ("n", *KINDS)], F.max("last_time").alias("last_time"),
         *[_within("n_browse", w).alias(f"w{w}") for w in settings.windows],
@@ -88,7 +101,7 @@ def user_features(log: DataFrame, settings: Settings) -> DataFrame:
     share = lambda part: total([bins[h] for h in part]) / total(bins)
     browse = window_name("user_browse", 0)
     return found.select(
-        "user_id", "cutoff_date", *[window_name("user_browse", w) for w in settings.windows], "user_favorite_all", "user_cart_all", "user_buy_all",
+        "user_id", _date(), *[window_name("user_browse", w) for w in settings.windows], "user_favorite_all", "user_cart_all", "user_buy_all",
         "user_peak_hour", "user_browse_peak_hour", "user_buy_peak_hour",
         share(MORNING).alias("user_morning_fraction"), share(AFTERNOON).alias("user_afternoon_fraction"), share(NIGHT).alias("user_night_fraction"),
         entropy(bins).alias("user_hour_entropy"), *bins,
@@ -139,17 +152,18 @@ def category_features(log: DataFrame, settings: Settings) -> DataFrame:
 def user_category_features(log: DataFrame, settings: Settings) -> DataFrame:
     """(user, category) active in the lookback, counted over all history."""
     key = ["user_id", "item_category"]
-    rows = by_day(daily(log, *key, hours=False), settings.prediction_days, earlier)
-    rows = rows.join(candidates(log, settings, key), [*key, "cutoff_date"], "left_semi")
-    return rows.groupBy(*key, "cutoff_date").agg(_sum("n_browse", "user_category_browse_all"), _sum("n_buy", "user_category_buy_all"))
+    rows = by_day(daily(log, *key, hours=False).repartition(*key), settings.prediction_days, earlier)
+    found = rows.groupBy(*key, "cutoff").agg(_sum("n_browse", "user_category_browse_all"), _sum("n_buy", "user_category_buy_all"), F.max("day").alias("_day"))
+    return _active(found, key, settings).select(*key, _date(), "user_category_browse_all", "user_category_buy_all")
 
 
 def pair_days(log: DataFrame) -> DataFrame:
     """Counts per pair and day, the hours of the day in use as bits, and the last action."""
     by_hour = log.where(F.col("time").isNotNull()).groupBy(*PAIR, "time").agg(*_counts(log), F.max("behavior_type").alias("_code"))
-    return by_hour.groupBy(*PAIR, F.to_date("time").alias("day")).agg(
+    # Dealt by pair, so that neither days nor what is taken of them to later days is shuffled again.
+    return by_hour.repartition(*PAIR).groupBy(*PAIR, F.to_date("time").alias("day")).agg(
         *[F.sum(n).alias(n) for n in KINDS], F.count_if(F.col("n_browse") > 0).alias("browse_hours"),
-        F.bit_or(F.expr("shiftleft(1, hour(time))")).alias("hours"), F.max(F.struct("time", "_code")).alias("last"),
+        F.bit_or(F.expr("shiftleft(1, hour(time))")).alias("hours"), F.max("time").alias("last_time"), F.max_by("_code", "time").alias("last_code"),
     )
 
 
@@ -161,20 +175,19 @@ def pair_hours(log: DataFrame, settings: Settings) -> DataFrame:
 
 def pair_counts(log: DataFrame, settings: Settings) -> DataFrame:
     """The sample's pairs, counted over all history, with the hours of the day in use as bits, ``_hours``."""
-    key = [*PAIR, "cutoff_date"]
     rows = by_day(pair_days(log), settings.prediction_days, earlier)
-    rows = rows.join(candidates(log, settings), key, "left_semi")
-    found = rows.groupBy(*key, "cutoff").agg(
+    found = rows.groupBy(*PAIR, "cutoff").agg(
         *[_within("n_browse", w).alias(window_name("user_item_browse", w)) for w in settings.windows],
         _sum("browse_hours", "user_item_browse_distinct_hour"), _sum("n_cart", "user_item_cart_all"), _sum("n_buy", "user_item_buy_all"),
-        F.sum("n_favorite").alias("_favorite"), F.bit_or("hours").alias("_hours"), F.max("last").alias("_last"),
+        F.sum("n_favorite").alias("_favorite"), F.bit_or("hours").alias("_hours"),
+        F.max("last_time").alias("_last"), F.max_by("last_code", "last_time").alias("_code"), F.max("day").alias("_day"),
     )
     cart, buy = F.col("user_item_cart_all"), F.col("user_item_buy_all")
-    return found.select(
-        *key, *[window_name("user_item_browse", w) for w in settings.windows], "user_item_browse_distinct_hour", "user_item_cart_all",
+    return _active(found, PAIR, settings).select(
+        *PAIR, _date(), *[window_name("user_item_browse", w) for w in settings.windows], "user_item_browse_distinct_hour", "user_item_cart_all",
         flag((cart > 0) & (buy == 0)).alias("user_item_cart_not_buy"), "user_item_buy_all", flag(F.col("_favorite") > 0).alias("user_item_is_favorited"),
-        F.col("_last._code").cast("bigint").alias("user_item_last_behavior"),
-        whole_hours(F.col("_last.time"), F.col("cutoff")).alias("user_item_since_last_hour"), "_hours",
+        F.col("_code").cast("bigint").alias("user_item_last_behavior"),
+        whole_hours(F.col("_last"), F.col("cutoff")).alias("user_item_since_last_hour"), "_hours",
     )
 
 
