@@ -278,3 +278,18 @@ def test_a_sweep_scores_each_model_once_for_its_areas(matrix, monkeypatch):
             assert [own[c] for c in ("n", "positives", "pr_auc", "roc_auc")] == pytest.approx([want[i, own.best_trees][c] for c in ("n", "positives", "pr_auc", "roc_auc")])
     monkeypatch.delattr(M.M, "precision_at_k")
     assert {(r.config, r.fold): r.pr_auc for r in M.run_sweep(matrix, jobs, S, PARAMS, 30, False).collect()} == pytest.approx({k: r.pr_auc for k, r in rows.items()})
+
+
+def test_the_final_set_up_is_chosen_without_precision(spark, monkeypatch):
+    frame, how = spark.createDataFrame([("2024-01-30",)], "cutoff_date string"), []
+
+    def sweep(tv, jobs, settings, params, patience=30, precision=True):
+        how.append((patience, precision))
+        return spark.createDataFrame([("full", 0.3, 2)], "config string, pr_auc double, best_trees int")
+
+    monkeypatch.setattr(registry, "matrix", lambda spark, sf: frame)
+    monkeypatch.setattr(M, "run_sweep", sweep)
+    monkeypatch.setattr(M, "train_final", lambda *of: (None, frame, frame))
+    for name in ("model_sweep", "model_final_test", "model_importances"):
+        registry.queries()[name](spark, "")
+    assert how == [(30, True), (30, False), (30, False)]
