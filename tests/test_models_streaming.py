@@ -293,3 +293,40 @@ def test_the_final_set_up_is_chosen_without_precision(spark, monkeypatch):
     for name in ("model_sweep", "model_final_test", "model_importances"):
         registry.queries()[name](spark, "")
     assert how == [(30, True), (30, False), (30, False)]
+
+
+def test_the_final_fit_is_the_sweeps_learner(matrix, monkeypatch):
+    """It draws what ``weighed`` draws, and the rows' places don't change its trees; without random shares they are Spark's."""
+    names, test = M.feature_names(matrix), matrix.where("cutoff_date = '2024-01-21'")
+    rows, params = M.before(matrix, "2024-01-21"), {**PARAMS, "rows": 0.6, "columns": 0.6, "depth": 1}
+    want = M.boosted(M.weighed(rows, 2, 3), names, {**PARAMS, "depth": 1}, 3)
+    areas = M.M.evaluate(M.prefix_scores(want, test, names, 3, 3), ["trees"]).first()
+    monkeypatch.delattr(M, "GBTClassifier")
+    assert M.train_final(rows, test, 2, 3, {**PARAMS, "depth": 1}, 3)[1].first() == areas
+    first, again = (M.train_final(r, test, 2, 3, params, 3) for r in (rows, rows.repartition(5, "user_id")))
+    assert first[1].collect() == again[1].collect() and [t[0].tolist() for t in first[0]["trees"]] == [t[0].tolist() for t in again[0]["trees"]]
+
+
+def test_members_are_the_rows_that_downsample_keeps(matrix):
+    import numpy as np
+
+    days = {1: "2024-01-19", 2: "2024-01-20", 3: "2024-01-21"}
+    jobs = [*M.fit_jobs(days, (1, 2, 3, 50, None), (1, 2)), {"ratio": 2, "seed": 7, "fold": 0, "day": M.AFTER}]
+    got = matrix.withColumn("text", M.D.text()).select("user_id", "cutoff_date", "label", "text").toArrow().combine_chunks()
+    found = M.D.members(got["cutoff_date"].combine_chunks(), got["label"].to_numpy(), got["text"].to_numpy(), jobs, M.D.limits(matrix, jobs))
+    for i, j in enumerate(jobs):
+        rows = M.weighed(M.before(matrix, j["day"]), j["ratio"], j["seed"] + j["fold"]).select("user_id", "cutoff_date").collect()
+        mine = got.take(np.flatnonzero(found[i]))
+        assert set(map(tuple, rows)) == set(zip(mine["user_id"].to_pylist(), mine["cutoff_date"].to_pylist(), strict=True)) and len(rows) == len(mine)
+
+
+@pytest.mark.parametrize("ratio", [5, None])
+def test_importances_are_sparks(matrix, ratio):
+    # A poor model, whose splits differ. Spark weighs rows for its split points too: with weights, only few values have the same.
+    names = ["noise", "user_item_cart_all", "user_item_browse_all", "user_item_since_last_hour"] if ratio else ["user_item_cart_all", "user_item_browse_all"]
+    frame = matrix.select("user_id", "item_id", "cutoff_date", "label", "item_category", *names)
+    params = {**PARAMS, "depth": 2, "trees": 5}
+    want = M.boosted(M.weighed(frame, ratio, 1), names, params, 1).featureImportances.toArray()
+    model, _, found = M.train_final(frame, frame, ratio, 5, params, 1)
+    assert isinstance(model, dict) and len({w for w in want if w > 0}) > 1
+    assert {r.feature: r.importance for r in found.collect()} == pytest.approx(dict(zip(names, want, strict=True)), abs=1e-9)

@@ -91,7 +91,7 @@ class Project:
         store.write_csv(models.sweep_means(found, days), self.path("sweep_means"))
         name, trees = models.best_config(found)
         ratio = next(r for r in ratios if models.set_up(r) == name)
-        model, metrics, importances = models.train_final(trainval, test, ratio, trees, m["params"], m["seeds"][0])
+        model, metrics, importances = models.train_final(trainval, test, ratio, trees, m["params"], m["seeds"][0], spark_model=True)
         model.write().overwrite().save(self.path("model"))
         store.write_csv(importances, self.path("importances"))
         metrics.show(truncate=False)
