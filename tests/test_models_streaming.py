@@ -1,6 +1,7 @@
 """Learners on a separable matrix, reports and the streaming breakdown."""
 
 import random
+import threading
 from pathlib import Path
 
 import pytest
@@ -330,3 +331,19 @@ def test_importances_are_sparks(matrix, ratio):
     model, _, found = M.train_final(frame, frame, ratio, 5, params, 1)
     assert isinstance(model, dict) and len({w for w in want if w > 0}) > 1
     assert {r.feature: r.importance for r in found.collect()} == pytest.approx(dict(zip(names, want, strict=True)), abs=1e-9)
+
+
+def test_the_matrix_is_planned_while_the_log_is_reduced(spark, monkeypatch):
+    planned, counted = threading.Event(), []
+
+    class Log:
+        def count(self):
+            counted.append(planned.wait(20))
+
+        def coalesce(self, n):
+            return self
+
+    frame = spark.range(3)
+    monkeypatch.setattr(registry, "_hold", lambda role, df: Log())
+    monkeypatch.setattr(registry.A, "assemble", lambda *of, **how: planned.set() or frame)
+    assert registry.matrix(spark, "/root/testdata/sf0.001").count() == 3 and counted == [True]
