@@ -261,6 +261,14 @@ def test_url_filters(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_the_host_rules_are_the_contracts(spark):
+    """The words of the contract's list, not those of the code."""
+    assert {(r.verdict, r.name) for r in urls.HOST_RULES} == {("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")}
+    made = [("http://a.net/de/casino", "net/de/", "allow"), ("http://example.net/de/9.exe", "net/de/", "allow"), ("http://b.example.net/de/81", "example.net/de/8", "block"), ("http://example.com/en/7.exe", "example.com/en/7", "allow"), ("http://example.com/en/8", "com/en/", "block"), ("http://c.org/es/", "org/es/", "block"), ("http://casino.net/fr/", None, "block")]
+    out = urls.filter_urls(spark.createDataFrame([(u,) for u, _, _ in made], "url string"))
+    assert {(r.url, r.rule, r.verdict) for r in out.collect()} == set(made)
+
+
 def test_literals_follow_from_the_pattern():
     assert [r.literals() for r in urls.PATTERN_RULES] == [["casino"], ["porn"], ["php"], ["exe"], ["apk"]]
     for pattern, want in (("/abc/", ["abc"]), ("abc", []), ("/a/|/b/", []), ("/ab+c/", []), ("/ab?/x/", ["x"]), (r"\bads\d+\b", []), ("[?&]utm_source=(x|y)", ["utm", "source"]), (r"^https://foo\.bar/", ["https", "foo", "bar"]), ("/(?:ads|ad)/banner[.]gif$", ["banner", "gif"]), ("(?x)/a/", []), ("/[a-z]x/", []), ("/(a/)?b/", []), ("/a{0,2}/", []), (r"/\Qa\E/", [])):
