@@ -347,3 +347,63 @@ def test_the_matrix_is_planned_while_the_log_is_reduced(spark, monkeypatch):
     monkeypatch.setattr(registry, "_hold", lambda role, df: Log())
     monkeypatch.setattr(registry.A, "assemble", lambda *of, **how: planned.set() or frame)
     assert registry.matrix(spark, "/root/testdata/sf0.001").count() == 3 and counted == [True]
+
+
+def test_model_queries_take_the_projects_parameters(spark, monkeypatch):
+    """Trees, depth and patience that reach the learners are those of conf/settings.yaml."""
+    want, frame, seen = load_settings(Path(__file__).parents[1] / "conf/settings.yaml").models, spark.createDataFrame([("2024-01-30",)], "cutoff_date string"), []
+
+    def fits(tv, jobs, names, params, patience=None):
+        seen.append((params, patience))
+        raise StopIteration
+
+    monkeypatch.setattr(registry, "matrix", lambda spark, sf: frame)
+    monkeypatch.setattr(M, "fit_all", fits)
+    for name in ("model_sweep", "model_final_test", "model_importances", "model_ablation"):
+        with pytest.raises(StopIteration):
+            registry.queries()[name](spark, "")
+    assert seen == [(want["params"], want["patience"])] * 4 and want["params"]["trees"] == 600
+
+
+NOISE = ("good", "user_item_cart_not_buy")
+
+
+def same(found, want):
+    return found.keys() == want.keys() and all(len(e["trees"]) == len(want[j]["trees"]) and all(a == pytest.approx(b) for t, u in zip(e["trees"], want[j]["trees"], strict=True) for a, b in zip(t, u, strict=True)) for j, e in found.items())
+
+
+@pytest.mark.parametrize("patience", [None, 3])
+def test_fits_grown_alone_are_those_of_the_shared_passes(matrix, monkeypatch, patience):
+    days, names = {1: "2024-01-20", 2: "2024-01-21", 3: "2024-01-25"}, [n for n in M.feature_names(matrix) if n not in NOISE]  # no rows on the third day
+    jobs, params = M.fit_jobs(days, (2, None), (1,)), {**PARAMS, "trees": 10, "rows": 0.7, "columns": 0.7, "min_rows": 3}
+    jobs[0]["drop"] = ("noise",)
+    monkeypatch.setattr(M.G, "_together", None)
+    alone = M.fit_all(matrix, jobs, names, params, patience)
+    monkeypatch.undo()
+    monkeypatch.setattr(M.G, "ALONE", 0)
+    together = M.fit_all(matrix, jobs, names, params, patience)
+    assert same(alone, together) and [e.get("best") for e in alone.values()] == [e.get("best") for e in together.values()]
+    if patience:  # what is kept is the best prefix of all trees
+        every = M.fit_all(matrix, jobs, names, params)
+        want = M.best_areas(every, matrix, names, patience)
+        assert {j: e["best"] for j, e in alone.items()} == {j: t for j, (t, _) in want.items()} and any(1 < e["best"] < 10 for e in alone.values())
+        assert M.best_areas(alone, matrix, names, patience) == want
+        assert same(alone, {j: {**e, "trees": e["trees"][: want[j][0]]} for j, e in every.items()})
+
+
+def test_a_fit_has_as_many_and_as_deep_trees_as_its_parameters_say(matrix):
+    names, params = [n for n in M.feature_names(matrix) if n not in NOISE], {**PARAMS, "trees": 40, "depth": 6}
+    trees = M.fit_all(matrix, M.fit_jobs(FOLD, (5,), (1,)), names, params)[0]["trees"]
+    assert len(trees) == 40 and max(t[6] for t in trees) == 6
+    model, _, _ = M.train_final(matrix, matrix, 5, 40, params, 1)
+    assert len(model["trees"]) == 40
+
+
+def test_areas_of_rows_at_hand(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6) / 4 - 0.5, rng.randrange(2)) for _ in range(200)]
+    import numpy as np
+
+    for some in (rows, [(s, 1) for s, _ in rows], rows[:1]):
+        want = M.M.curve_areas(spark.createDataFrame(some, "score double, label int"), []).first()
+        assert M.M.areas(*(np.array(c) for c in zip(*some, strict=True))) == pytest.approx(tuple(want), nan_ok=True)
