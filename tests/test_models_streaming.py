@@ -359,10 +359,10 @@ def test_model_queries_take_the_projects_parameters(spark, monkeypatch):
 
     monkeypatch.setattr(registry, "matrix", lambda spark, sf: frame)
     monkeypatch.setattr(M, "fit_all", fits)
-    for name in ("model_sweep", "model_final_test", "model_importances", "model_ablation"):
+    for name in ("model_sweep", "model_final_test", "model_importances", "model_permutation", "model_ablation"):
         with pytest.raises(StopIteration):
             registry.queries()[name](spark, "")
-    assert seen == [(want["params"], want["patience"])] * 4 and want["params"]["trees"] == 600
+    assert seen == [(want["params"], want["patience"])] * 5 and want["params"]["trees"] == 600
 
 
 NOISE = ("good", "user_item_cart_not_buy")
@@ -407,3 +407,28 @@ def test_areas_of_rows_at_hand(spark):
     for some in (rows, [(s, 1) for s, _ in rows], rows[:1]):
         want = M.M.curve_areas(spark.createDataFrame(some, "score double, label int"), []).first()
         assert M.M.areas(*(np.array(c) for c in zip(*some, strict=True))) == pytest.approx(tuple(want), nan_ok=True)
+
+
+def test_areas_of_whole_days_are_those_of_counted_scores(matrix, monkeypatch):
+    """A day of one block has its areas taken where it is permuted, without another shuffle; unused features cost nothing."""
+    names, days = M.feature_names(matrix), {1: "2024-01-20", 2: "2024-01-21"}
+    params = {**PARAMS, "trees": 12, "depth": 4}
+    poor = [n for n in names if n not in NOISE]
+    ensembles = M.fit_all(matrix, M.fit_jobs(days, (5,), (1,)), poor, params)
+    val = matrix.where("cutoff_date >= '2024-01-20'")
+    want = {(r.job, r.feature, r.rep): r for r in M.M.curve_areas(M.permutation_scores(ensembles, M.permuted(val, poor, 3, 1)), ["job", "feature", "rep"]).collect()}
+    monkeypatch.setattr(M.M, "areas_of_counts", None)
+    got = {(r.job, r.feature, r.rep): r for r in M.permutation_areas(ensembles, val, poor, 3, 1).collect()}
+    assert got.keys() == want.keys() and len({j for j, _, _ in got}) == 2 and all(tuple(got[k]) == pytest.approx(tuple(want[k])) for k in want)
+
+
+def test_permutation_takes_each_folds_best_prefix(matrix):
+    """The model whose features are shuffled is the one that early stopping keeps."""
+    poor, seen = matrix.drop(*NOISE), {}
+    params, areas = {**PARAMS, "trees": 12, "depth": 4}, M.permutation_areas
+    names = M.feature_names(poor)
+    want = M.best_areas(M.fit_all(poor, M.fit_jobs(FOLD, (5,), (S.seed,)), names, params), M.on(poor, FOLD[1]), names, 4)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(M, "permutation_areas", lambda ensembles, *of: seen.update(ensembles) or areas(ensembles, *of))
+        rows = M.permutation_importance(poor, FOLD, 5, S, params, 2, 4).collect()
+    assert {j: len(e["trees"]) for j, e in seen.items()} == {j: t for j, (t, _) in want.items()} and {r.feature for r in rows} == set(names)
