@@ -432,3 +432,18 @@ def test_permutation_takes_each_folds_best_prefix(matrix):
         patch.setattr(M, "permutation_areas", lambda ensembles, *of: seen.update(ensembles) or areas(ensembles, *of))
         rows = M.permutation_importance(poor, FOLD, 5, S, params, 2, 4).collect()
     assert {j: len(e["trees"]) for j, e in seen.items()} == {j: t for j, (t, _) in want.items()} and {r.feature for r in rows} == set(names)
+
+
+def test_the_best_prefix_may_be_long_and_importances_are_of_all_its_trees(matrix, spark, monkeypatch):
+    """From the registered query: prefixes past the third are grown and scored, and the final fit has as many trees as were chosen."""
+    poor, grown = matrix.drop(*NOISE), {}
+    settings = Settings(prediction_days=("2024-01-18", "2024-01-19", "2024-01-20", "2024-01-21"), test_days=("2024-01-21",), first_validation_day="2024-01-20", sale_day="2024-01-20")
+    best, fit = M.best_areas, M.fit_all
+    monkeypatch.setattr(registry, "SETTINGS", settings)
+    monkeypatch.setattr(registry, "matrix", lambda spark, sf: poor)
+    monkeypatch.setattr(M, "best_areas", lambda *of: grown.update(best(*of)) or grown)
+    monkeypatch.setattr(M, "fit_all", lambda tv, jobs, names, params, *how: grown.update(final=fit(tv, jobs, names, params, *how)) or grown["final"])
+    rows = registry.queries()["model_importances"](spark, "").collect()
+    trees = grown.pop("final")[0]["trees"]
+    assert max(t for t, _ in grown.values()) > 3 and len(trees) > 3 and max(t[6] for t in trees) > 3
+    assert {r.feature for r in rows} == set(M.feature_names(poor)) and sum(r.importance for r in rows) == pytest.approx(1, abs=1e-6)
