@@ -447,3 +447,24 @@ def test_the_best_prefix_may_be_long_and_importances_are_of_all_its_trees(matrix
     trees = grown.pop("final")[0]["trees"]
     assert max(t for t, _ in grown.values()) > 3 and len(trees) > 3 and max(t[6] for t in trees) > 3
     assert {r.feature for r in rows} == set(M.feature_names(poor)) and sum(r.importance for r in rows) == pytest.approx(1, abs=1e-6)
+
+
+def test_changed_scores_are_those_of_whole_runs():
+    """A tree is run again only where its way met the shuffled feature; scores are, to the last bit, those of all trees run anew."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (300, 5)).astype(float)
+    split = lambda f, t, lo, hi: [(f, t, lo, hi), (4, 1.5, lo * 2, hi / 3)]
+    trees = []
+    for k in range(9):
+        (f, t, a, b), (g, u, c, d) = split(k % 4, k % 3 + 0.5, rng.normal(), rng.normal())
+        trees.append((np.array([f, 0, g, 0, 0]), np.array([True, False, True, False, False]), np.array([t, 0, u, 0, 0]), np.array([1, 1, 3, 3, 4]), np.array([2, 1, 4, 3, 4]), np.array([0, a, b, c, d]), 2, 0.3))
+    others, seen = [rng.permutation(300) for _ in range(2)], set()
+    for _, f, rep, scores in M._changed_scores({0: {"day": "d", "trees": trees}, 1: {"day": "other", "trees": trees}}, "d", x.copy(), others):
+        changed = x.copy()
+        if f >= 0:
+            changed[:, f] = x[others[rep], f]
+        assert (scores == M.run_trees(trees, changed).sum(axis=1)).all()
+        seen.add((f, rep))
+    assert seen == {(f, rep) for f in range(-1, 5) for rep in range(2)}
